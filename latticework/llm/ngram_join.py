@@ -41,7 +41,7 @@ WORDS, PERCENT = 5, 80
 #: A shingle counts as frequent from this many documents on, by the counts of tasks that saw it LOCAL times or more.
 HEAVY, LOCAL, HEAVY_MOST = 24, 3, 1 << 18
 #: Salts of a frequent shingle's region; classes of the shingle hash for the windows; documents in a block.
-SALTS, CLASSES, BLOCK = 64, 64, 256
+SALTS, CLASSES, BLOCK = 64, 256, 256
 
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -108,19 +108,20 @@ def _parts(batches: Iterator[pa.RecordBatch], size: int = 512) -> Iterator[tuple
 
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, n, digest) and, with doc_id null and hot set, the shingles that a stretch of rows repeats."""
+    """Rows (doc_id, n, digest, classes) and, with hot set, the shingles that a stretch of rows repeats."""
     known, stretch, held = set(), [], 0
+    names = ["doc_id", "n", "digest", "classes", "hot", "count"]
 
     def hot(sets: list[np.ndarray]) -> pa.RecordBatch:
         values, counts = np.unique(np.concatenate(sets), return_counts=True)
         often = counts >= LOCAL
         k = int(often.sum())
-        return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(values[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], ["doc_id", "n", "digest", "hot", "count"])
+        return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.list_(pa.int16())), pa.array(values[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], names)
 
     for part, sets in _parts(batches):
         digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
         k = len(sets)
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], ["doc_id", "n", "digest", "hot", "count"])
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), _classes(sets), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names)
         for s, d in zip(sets, digests, strict=True):
             if d is not None and d not in known:
                 known.add(d)
@@ -133,12 +134,19 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield hot(stretch)
 
 
+def _classes(sets: list[np.ndarray]) -> pa.ListArray:
+    """How many shingles of each class a set has; counts are cut at the type's end, which keeps the windows valid."""
+    counts = [np.minimum(np.bincount((s >> np.uint64(20)).astype(np.int64) % CLASSES, minlength=CLASSES), 32_767) for s in sets]
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * CLASSES, pa.int32()), pa.array(np.concatenate(counts).astype(np.int16)))
+
+
 def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, n_links_seen (links found on the way; at least one if there is any)."""
     spark = docs.sparkSession
     rows = pick(docs, doc_id=F.col(f"`{id_col}`").cast("long"), text=text_col)
-    surveyed = materialize(spark, rows.mapInArrow(_survey, "doc_id long, n long, digest binary, hot long, count long"), "sets")
+    surveyed = materialize(spark, rows.mapInArrow(_survey, "doc_id long, n long, digest binary, classes array<short>, hot long, count long"), "sets")
     metas = surveyed.filter("hot is null").select("doc_id", "n", "digest")
+    vectors = surveyed.filter("hot is null and doc_id is not null and n > 0").select(F.col("doc_id").alias("id"), F.col("n").cast("int").alias("n"), "digest", "classes")
     heavies = surveyed.filter("hot is not null").groupBy("hot").agg(F.sum("count").alias("n")).filter(F.col("n") >= HEAVY)
     heavy = np.sort(np.array([r["hot"] for r in heavies.orderBy(F.desc("n"), "hot").limit(HEAVY_MOST).collect()], np.int64).view(np.uint64))
     heavy = spark.sparkContext.broadcast(heavy)  # at most HEAVY_MOST numbers: 2 MB
@@ -177,14 +185,11 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     regions = materialize(spark, met.mapInArrow(_runs, "h long, salt int, id long, n int"), "regions")
     pivots = regions.groupBy("h").agg(F.min("id").alias("pivot"), F.min(F.struct("id", "n"))["n"].alias("pivot_n"), F.count(F.lit(1)).alias("members"))
     regions = materialize(spark, regions.join(pivots.filter("members > 1"), "h").select("h", "id", "n", "pivot", "pivot_n"), "regions")
+    vectors = vectors.join(regions.select("id").distinct(), "id", "left_semi").join(reps.select("digest", F.col("rep").alias("id")), ["digest", "id"], "left_semi")
+    vectors = materialize(spark, vectors.drop("digest").dropDuplicates(["id"]), "classes")
     star = regions.filter("id <> pivot").filter(_sizes_fit("n", "pivot_n")).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-
-    # The sets of all members of regions, written once.
-    members = materialize(spark, regions.select("id").distinct(), "members")
-    found = probe(rows.filter("doc_id is not null"), bit_filter(members, "id"), "doc_id").filter("hit")
-    found = found.join(members, F.col("doc_id") == F.col("id"), "left_semi").select("doc_id", "text")
-    sets = materialize(spark, found.mapInArrow(_packed, "id long, n int, grams array<long>, classes array<short>"), "member-sets")
-    links = materialize(spark, _verified(star, sets), "links")
+    star = materialize(spark, _near(star, vectors), "star")
+    links = materialize(spark, _verified(star, rows), "links")
 
     # 3. Recursion where members other than the pivot are still apart.
     groups = materialize(spark, connected_components(links), "groups")
@@ -192,7 +197,7 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     open_rows = open_rows.select("h", "id", "n", F.coalesce("component", "id").alias("component"))
     state = open_rows.groupBy("h").agg((F.min("component") != F.max("component")).alias("open"), F.count(F.lit(1)).alias("members"))
     live = open_rows.join(state.filter("open").select("h", "members"), "h")
-    live = live.join(sets.select("id", "classes").dropDuplicates(["id"]), "id")
+    live = live.join(vectors.select("id", "classes"), "id")
     live = live.withColumn("piece", F.pmod(F.xxhash64("id", F.lit(2)), F.ceil(F.col("members") / BLOCK)))
     blocks = live.groupBy("h", "piece").agg(F.collect_list(F.struct("id", "n", "component", "classes")).alias("rows"))
     blocks = materialize(spark, blocks, "blocks")
@@ -200,7 +205,8 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     right = blocks.select("h", F.col("piece").alias("q"), F.col("rows").alias("right_rows"))
     more = left.join(right, "h").filter("p <= q").select("left_rows", "right_rows").mapInArrow(_windows, "a long, b long").distinct()
     more = more.join(star, ["a", "b"], "left_anti")
-    links2 = materialize(spark, _verified(more, sets), "links")
+    more = materialize(spark, more, "windows")
+    links2 = materialize(spark, _verified(more, rows), "links") if more.take(1) else links.limit(0)
     every = links.unionByName(links2)
     final = connected_components(every) if links2.take(1) else groups
     degree = every.select(F.col("a").alias("rep")).unionByName(every.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("seen"))
@@ -208,7 +214,7 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     facts = facts.select("digest", F.coalesce("component", "rep").alias("component_id"), F.coalesce("seen", F.lit(0)).alias("n_links_seen"))
     out = metas.filter("n > 0").join(facts, "digest").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links_seen")
     empty = metas.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links_seen"))
-    discard(spark, sets, blocks)
+    discard(spark, blocks, star, more)
     return out.unionByName(empty)
 
 
@@ -237,12 +243,32 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, given = t.slice(t.num_rows - 1, 1), last
 
 
+def _near(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that the windows over the classes leave."""
+    a = vectors.select(F.col("id").alias("a"), F.col("n").alias("an"), F.col("classes").alias("ac"))
+    b = vectors.select(F.col("id").alias("b"), F.col("n").alias("bn"), F.col("classes").alias("bc"))
+    return pairs.join(b, "b").join(a, "a").mapInArrow(_window_pairs, "a long, b long")
+
+
+def _window_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ac, bc = (np.asarray(batch.column(c).flatten()).reshape(batch.num_rows, -1).astype(np.int32) for c in ("ac", "bc"))
+        sizes = batch.column("an").to_numpy().astype(np.int64) + batch.column("bn").to_numpy()
+        yield batch.select(["a", "b"]).filter(pa.array(_in_window(ac, bc, sizes)))
+
+
+def _in_window(ac: np.ndarray, bc: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """|A xor B| <= (100 - p) / (100 + p) (|A| + |B|) for a link at p percent, and the classes' gaps sum to no more."""
+    return np.abs(ac - bc).sum(1) * (100 + PERCENT) <= (100 - PERCENT) * sizes
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, sets in _parts(batches, 256):
         offsets = np.cumsum([0] + [len(s) for s in sets])
         flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-        classes = np.stack([np.minimum(np.bincount((s >> np.uint64(20)).astype(np.int64) % CLASSES, minlength=CLASSES), 32_767) for s in sets]).astype(np.int16)
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)), pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * CLASSES, pa.int32()), pa.array(classes.ravel()))], ["id", "n", "grams", "classes"])
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], ["id", "n", "grams"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,19 +287,22 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lc = np.asarray(ls.field("classes").flatten()).reshape(len(li), -1).astype(np.int32)
             rc = np.asarray(rs.field("classes").flatten()).reshape(len(ri), -1).astype(np.int32)
             keep = []
-            for at in range(0, len(i), 16_384):
-                a, b = i[at : at + 16_384], j[at : at + 16_384]
-                gap = np.abs(lc[a] - rc[b]).sum(1)
-                # |A xor B| <= (100 - p) / (100 + p) (|A| + |B|) for a link at p percent.
-                fits = gap * (100 + PERCENT) <= (100 - PERCENT) * (ln[a] + rn[b])
+            for at in range(0, len(i), 8192):
+                a, b = i[at : at + 8192], j[at : at + 8192]
+                fits = _in_window(lc[a], rc[b], ln[a] + rn[b])
                 keep.append(np.stack([li[a][fits], ri[b][fits]]))
             pairs = np.concatenate(keep, 1)
             low, high = pairs.min(0), pairs.max(0)
             yield pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], ["a", "b"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) that link."""
+def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that link, by their whole sets; only the texts of their documents move."""
+    spark = rows.sparkSession
+    members = materialize(spark, pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "members")
+    found = probe(rows.filter("doc_id is not null"), bit_filter(members, "id"), "doc_id").filter("hit")
+    found = found.join(members, F.col("doc_id") == F.col("id"), "left_semi").select("doc_id", "text")
+    sets = materialize(spark, found.mapInArrow(_packed, "id long, n int, grams array<long>"), "member-sets")
     a = sets.select(F.col("id").alias("a"), F.col("n").alias("an"), F.col("grams").alias("ag"))
     b = sets.select(F.col("id").alias("b"), F.col("n").alias("bn"), F.col("grams").alias("bg"))
     both = pairs.join(b, "b").join(a, "a").filter(_sizes_fit("an", "bn"))
