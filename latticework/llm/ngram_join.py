@@ -183,8 +183,11 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     entries = entries.withColumn("salt", F.when(F.col("heavy"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int") + 1).otherwise(0)).drop("heavy")
     met = entries.repartition("h", "salt").sortWithinPartitions("h", "salt", "id")
     regions = materialize(spark, met.mapInArrow(_runs, "h long, salt int, id long, n int"), "regions")
-    pivots = regions.groupBy("h").agg(F.min("id").alias("pivot"), F.min(F.struct("id", "n"))["n"].alias("pivot_n"), F.count(F.lit(1)).alias("members"))
-    regions = materialize(spark, regions.join(pivots.filter("members > 1"), "h").select("h", "id", "n", "pivot", "pivot_n"), "regions")
+    # Regions with the same members (a sum and an xor of two 64-bit hashes of the ids) are one.
+    members = F.count(F.lit(1)).alias("members")
+    made = regions.withColumn("k", F.xxhash64("id", F.lit(7))).groupBy("h").agg(F.min("id").alias("pivot"), F.min(F.struct("id", "n"))["n"].alias("pivot_n"), members, F.sum(F.shiftright("k", 32)).alias("sum"), F.bit_xor("k").alias("xor"))
+    made = made.filter("members > 1").groupBy("pivot", "pivot_n", "members", "sum", "xor").agg(F.min("h").alias("h"))
+    regions = materialize(spark, regions.join(made, "h").select("h", "id", "n", "pivot", "pivot_n"), "regions")
     vectors = vectors.join(regions.select("id").distinct(), "id", "left_semi").join(reps.select("digest", F.col("rep").alias("id")), ["digest", "id"], "left_semi")
     vectors = materialize(spark, vectors.drop("digest").dropDuplicates(["id"]), "classes")
     star = regions.filter("id <> pivot").filter(_sizes_fit("n", "pivot_n")).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
@@ -204,8 +207,8 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     left = blocks.select("h", F.col("piece").alias("p"), F.col("rows").alias("left_rows"))
     right = blocks.select("h", F.col("piece").alias("q"), F.col("rows").alias("right_rows"))
     more = left.join(right, "h").filter("p <= q").select("left_rows", "right_rows").mapInArrow(_windows, "a long, b long").distinct()
-    more = more.join(star, ["a", "b"], "left_anti")
     more = materialize(spark, more, "windows")
+    more = materialize(spark, more.join(star, ["a", "b"], "left_anti"), "windows")
     links2 = materialize(spark, _verified(more, rows), "links") if more.take(1) else links.limit(0)
     every = links.unionByName(links2)
     final = connected_components(every) if links2.take(1) else groups
