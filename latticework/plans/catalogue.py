@@ -1,4 +1,262 @@
-"""The registered queries and their SQL."""
+"""The registered queries, one or more for each operator, and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import kernels
+from ..operators import analysis, convert, resample, validate
+from ..operators.matrix import SparseMatrix
+from ..sources.mtx import expand_symmetric, read_mtx, write_mtx
+
+# ---- Base matrices (row, col, value, and seq where the order matters) ----
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def m_dup(spark: SparkSession, d: str) -> SparseMatrix:
+    """lineitem by part and supplier modulo 64, quantities as values; many entries a cell."""
+    df = _read(spark, d, "lineitem").select((F.col("l_partkey") % 64).alias("row"), (F.col("l_suppkey") % 64).alias("col"), F.col("l_quantity").alias("value"))
+    return SparseMatrix(df, 64, 64)
+
+
+def m_sum(spark: SparkSession, d: str) -> SparseMatrix:
+    return m_dup(spark, d).merged()
+
+
+def m_sparse(spark: SparkSession, d: str) -> SparseMatrix:
+    df = _read(spark, d, "lineitem").filter("l_quantity > 45").select((F.col("l_orderkey") % 256).alias("row"), (F.col("l_partkey") % 128).alias("col"), F.col("l_quantity").alias("value"))
+    return SparseMatrix(df, 256, 128).merged()
+
+
+def m_events(spark: SparkSession, d: str) -> SparseMatrix:
+    """events by user and event modulo 64; the event id is the order of the entries."""
+    df = _read(spark, d, "events").select(F.col("user_id").alias("row"), (F.col("event_id") % 64).alias("col"), "value", F.col("event_id").alias("seq"))
+    return SparseMatrix(df, 1 << 40, 64)
+
+
+def m_vectors(spark: SparkSession, d: str) -> SparseMatrix:
+    df = _read(spark, d, "embeddings").select(F.col("vec_id").alias("row"), F.posexplode("embedding").alias("pos", "x"))
+    return SparseMatrix(df.select("row", F.col("pos").cast("long").alias("col"), F.col("x").cast("double").alias("value")), 1 << 40, 64)
+
+
+def m_zeros(spark: SparkSession, d: str) -> SparseMatrix:
+    """The summed matrix with explicit zeros on every fifth antidiagonal."""
+    m = m_sum(spark, d)
+    return m.with_df(m.df.withColumn("value", F.when((F.col("row") + F.col("col")) % 5 == 0, 0.0).otherwise(F.col("value"))))
+
+
+def m_binary(spark: SparkSession, d: str) -> SparseMatrix:
+    m = m_sparse(spark, d)
+    return m.with_df(m.df.withColumn("value", F.lit(1.0)))
+
+
+def m_square(spark: SparkSession, d: str) -> SparseMatrix:
+    """A sparse square matrix with entries on and off the diagonal."""
+    df = _read(spark, d, "lineitem").filter("l_quantity > 40").select((F.col("l_partkey") % 96).alias("row"), (F.col("l_orderkey") % 96).alias("col"), F.col("l_quantity").alias("value"))
+    return SparseMatrix(df.filter("(row + col) % 7 < 3"), 96, 96).merged()
+
+
+_DUP = "SELECT l_partkey % 64 AS r, l_suppkey % 64 AS c, l_quantity AS v FROM lineitem"
+_SUM = f"SELECT r, c, sum(v) AS v FROM ({_DUP}) GROUP BY r, c"
+_SPARSE = "SELECT l_orderkey % 256 AS r, l_partkey % 128 AS c, sum(l_quantity) AS v FROM lineitem WHERE l_quantity > 45 GROUP BY 1, 2"
+_EVENTS = "SELECT user_id AS r, event_id % 64 AS c, value AS v, event_id AS seq FROM events"
+_VECTORS = "SELECT vec_id AS r, unnest(range(0, len(embedding))) AS c, unnest(embedding)::DOUBLE AS v FROM embeddings"
+_ZEROS = f"SELECT r, c, CASE WHEN (r + c) % 5 = 0 THEN 0.0 ELSE v END AS v FROM ({_SUM})"
+_SQUARE = "SELECT l_partkey % 96 AS r, l_orderkey % 96 AS c, sum(l_quantity) AS v FROM lineitem WHERE l_quantity > 40 AND (l_partkey % 96 + l_orderkey % 96) % 7 < 3 GROUP BY 1, 2"
+_OUT = 'r AS "row", c AS col, v AS "value"'
+
+
+def _entries(m: SparseMatrix, digits: int | None = None) -> DataFrame:
+    value = F.col("value").cast("double")
+    return m.df.select("row", "col", (F.round(value, digits) + F.lit(0.0) if digits is not None else value).alias("value"))
+
+
+# ---- SQL of the kernels ----
+
+
+def _nearest_sql(base: str, n: tuple[int, int], m: tuple[int, int], agg: str = "sum(v)") -> str:
+    axis = lambda k: f"SELECT s, unnest(range(greatest(least(ceil((s - 0.5) * {m[k] / n[k]!r}), {m[k]}), 0)::BIGINT, greatest(least(floor((s + 0.5) * {m[k] / n[k]!r}), {m[k]}), 0)::BIGINT)) AS d FROM (SELECT unnest(range(0, {n[k]})) AS s)"
+    return f'WITH m AS ({base}), kr AS ({axis(0)}), kc AS ({axis(1)}) SELECT kr.d AS "row", kc.d AS col, ({agg})::DOUBLE AS "value" FROM m JOIN kr ON kr.s = m.r JOIN kc ON kc.s = m.c WHERE m.v <> 0 GROUP BY 1, 2'
+
+
+def _bilinear_sql(base: str, n: tuple[int, int], m: tuple[int, int]) -> str:
+    def axis(k: int) -> str:
+        y = f"SELECT d, least(floor(d / {m[k] / n[k]!r}), {n[k] - 1})::BIGINT AS i0, greatest(least(d / {m[k] / n[k]!r} - least(floor(d / {m[k] / n[k]!r}), {n[k] - 1}), 1.0), 0.0) AS f FROM (SELECT unnest(range(0, {m[k]})) AS d)"
+        return f"SELECT i0 AS s, d, 1 - f AS w FROM ({y}) WHERE f < 1 UNION ALL SELECT i0 + 1, d, f FROM ({y}) WHERE f > 0 AND i0 + 1 < {n[k]}"
+
+    return f'WITH m AS ({base}), kr AS ({axis(0)}), kc AS ({axis(1)}) SELECT kr.d AS "row", kc.d AS col, sum(m.v * kr.w * kc.w)::DOUBLE AS "value" FROM m JOIN kr ON kr.s = m.r JOIN kc ON kc.s = m.c WHERE m.v <> 0 GROUP BY 1, 2'
+
+
+def _lanczos_sql(base: str, n: int, m: int) -> str:
+    s, rho = m / n, kernels.lanczos_radius(m / n)
+    return f"""
+        WITH m AS ({base}),
+        p AS (SELECT d, floor(d / {s!r})::BIGINT + o AS s, d / {s!r} - floor(d / {s!r}) - o AS x FROM (SELECT unnest(range(0, {m})) AS d), (SELECT unnest(range(-2, 4)) AS o)),
+        k AS (SELECT d, s, CASE WHEN x = 0 THEN 1.0 WHEN abs(x) >= 3 THEN 0.0 ELSE 3 * sin(pi() * x) * sin(pi() * x / 3) / (pi() * x * pi() * x) END AS w FROM p WHERE s >= 0 AND s < {n}),
+        t AS (SELECT d, sum(w) AS tot FROM k GROUP BY d),
+        q AS (SELECT DISTINCT least(floor(r * {s!r} + 0.5), {m - 1})::BIGINT AS r, least(floor(c * {s!r} + 0.5), {m - 1})::BIGINT AS c FROM m),
+        cand AS (SELECT DISTINCT r + i AS r, c + j AS c FROM q, (SELECT unnest(range({-rho}, {rho + 1})) AS i), (SELECT unnest(range({-rho}, {rho + 1})) AS j) WHERE r + i BETWEEN 0 AND {m - 1} AND c + j BETWEEN 0 AND {m - 1}),
+        o AS (SELECT a.d AS r, b.d AS c, sum(m.v * a.w * b.w) / (any_value(ta.tot) * any_value(tb.tot)) AS v FROM m JOIN k a ON a.s = m.r JOIN k b ON b.s = m.c JOIN t ta ON ta.d = a.d JOIN t tb ON tb.d = b.d SEMI JOIN cand ON cand.r = a.d AND cand.c = b.d GROUP BY 1, 2)
+        SELECT r AS "row", c AS col, round(v, 8) + 0.0 AS "value" FROM o WHERE abs(v) > 1e-10"""
+
+
+def _fft_sql(base: str, n: tuple[int, int], m: tuple[int, int], threshold: float) -> str:
+    def axis(k: int) -> str:
+        a, b = n[k], m[k]
+        low, high = (a + 1) // 2, a // 2
+        terms = f"SELECT t, CASE WHEN t >= {b - high} THEN {a} - ({b} - t) ELSE t END AS b FROM (SELECT unnest(range(0, {b})) AS t) WHERE t >= {b - high} OR t < {low}"
+        return f"SELECT j AS d, i AS s, sum(cos(2 * pi() * (t * j / {float(b)!r} - b * i / {float(a)!r}))) / {float(a)!r} AS w FROM ({terms}), (SELECT unnest(range(0, {b})) AS j), (SELECT unnest(range(0, {a})) AS i) GROUP BY 1, 2"
+
+    return f"""
+        WITH m AS ({base}), kr AS ({axis(0)}), kc AS ({axis(1)}),
+        h AS (SELECT m.r, kc.d AS c, sum(m.v * kc.w) AS v FROM m JOIN kc ON kc.s = m.c GROUP BY 1, 2),
+        o AS (SELECT kr.d AS r, h.c, sum(h.v * kr.w) AS v FROM h JOIN kr ON kr.s = h.r GROUP BY 1, 2)
+        SELECT r AS "row", c AS col, round(v, 6) + 0.0 AS "value" FROM o WHERE abs(v) >= {threshold!r}"""
+
+
+def _wavelet_sql(base: str, n: int, m: int) -> str:
+    s = m / n
+    values = ", ".join(f"({tr}, {tc}, {i}, {j}, {w!r})" for tr, tc, i, j, w in kernels.wavelet_impulses(s))
+    return f"""
+        WITH m AS ({base}), h(tr, tc, i, j, w) AS (VALUES {values}),
+        o AS (SELECT floor(4 * (m.r // 4) * {s!r})::BIGINT + h.i AS r, floor(4 * (m.c // 4) * {s!r})::BIGINT + h.j AS c, sum(m.v * h.w::DOUBLE) AS v FROM m JOIN h ON h.tr = m.r % 4 AND h.tc = m.c % 4 GROUP BY 1, 2)
+        SELECT {_OUT} FROM o WHERE abs(v) > 1e-5 AND r < {m} AND c < {m}"""
+
+
+_Q: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+
+
+def _merge(policy: str, make: Callable, keep: int | None = None) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda s, d: _entries(make(s, d).merged(policy), keep)
+
+
+# ---- Scans, projections, filters, access ----
+_Q["coo_scan"] = (lambda s, d: _entries(m_vectors(s, d)), f"SELECT {_OUT} FROM ({_VECTORS})")
+_Q["coo_sorted_rows"] = (lambda s, d: _entries(m_sum(s, d).sorted()), f"SELECT {_OUT} FROM ({_SUM}) ORDER BY r, c")
+_Q["coo_rebased"] = (lambda s, d: m_sum(s, d).df.select((F.col("row") + 1).alias("row"), (F.col("col") + 1).alias("col"), F.greatest(F.lit(0.0), F.least("value", F.lit(500.0))).alias("value")), f'SELECT r + 1 AS "row", c + 1 AS col, greatest(0.0, least(v, 500.0)) AS "value" FROM ({_SUM})')
+_Q["tile_keys"] = (lambda s, d: m_sparse(s, d).df.select(F.expr("(row div 4) * 32 + col div 4").alias("tile"), "row").groupBy("tile").agg(F.count(F.lit(1)).alias("nnz")), f"SELECT (r // 4) * 32 + c // 4 AS tile, count(*) AS nnz FROM ({_SPARSE}) GROUP BY 1")
+_Q["coo_zero_skip"] = (lambda s, d: _entries(m_zeros(s, d).without_zeros()), f"SELECT {_OUT} FROM ({_ZEROS}) WHERE v <> 0")
+_Q["coo_threshold_filter"] = (lambda s, d: _entries(m_vectors(s, d).above(0.2)), f"SELECT {_OUT} FROM ({_VECTORS}) WHERE abs(v) > 0.2")
+_Q["point_get"] = (lambda s, d: m_sum(s, d).cell(5, 7).agg(F.coalesce(F.max("value"), F.lit(0.0)).alias("value"), (F.count(F.lit(1)) > 0).alias("found")), f'SELECT coalesce(max(v), 0.0) AS "value", count(*) > 0 AS found FROM ({_SUM}) WHERE r = 5 AND c = 7')
+_Q["has_entry"] = (lambda s, d: m_square(s, d).cell(1, 95).agg((F.count(F.lit(1)) > 0).alias("found")), f"SELECT count(*) > 0 AS found FROM ({_SQUARE}) WHERE r = 1 AND c = 95")
+_Q["row_slice"] = (lambda s, d: m_sparse(s, d).row_slice(17), f"SELECT {_OUT} FROM ({_SPARSE}) WHERE r = 17")
+_Q["validate_coo"] = (lambda s, d: validate.coo_violations(SparseMatrix(m_dup(s, d).df, 60, 64)), f"SELECT count(*) AS nnz, count(*) FILTER (r >= 60 OR c >= 64) AS out_of_bounds, 0::BIGINT AS bad_values, count(*) FILTER (r >= 60 OR c >= 64) = 0 AS valid FROM ({_DUP})")
+_Q["validate_csr"] = (lambda s, d: validate.csr_violations(m_dup(s, d)), f"SELECT sum(n)::BIGINT AS nnz, 0::BIGINT AS out_of_bounds, count(*) FILTER (n > 1) AS duplicate_cells, count(*) FILTER (n > 1) = 0 AS valid FROM (SELECT count(*) AS n FROM ({_DUP}) GROUP BY r, c)")
+_Q["is_binary"] = (lambda s, d: validate.binary_sample(m_binary(s, d)).union(validate.binary_sample(m_sparse(s, d))), "SELECT unnest([true, false]) AS is_binary")
+
+# ---- Collisions, counts, windows, layouts ----
+_Q["merge_sum"] = (_merge("sum", m_dup), f"SELECT {_OUT} FROM ({_SUM})")
+_Q["merge_avg"] = (_merge("avg", m_dup, 9), f'SELECT r AS "row", c AS col, round(avg(v), 9) + 0.0 AS "value" FROM ({_DUP}) GROUP BY 1, 2')
+_Q["merge_max"] = (_merge("max", m_dup), f'SELECT r AS "row", c AS col, max(v) AS "value" FROM ({_DUP}) GROUP BY 1, 2')
+_Q["merge_min"] = (_merge("min", m_dup), f'SELECT r AS "row", c AS col, min(v) AS "value" FROM ({_DUP}) GROUP BY 1, 2')
+_Q["merge_last"] = (_merge("last", m_events), f'SELECT r AS "row", c AS col, arg_max(v, seq) AS "value" FROM ({_EVENTS}) GROUP BY 1, 2')
+_Q["row_nnz"] = (lambda s, d: convert.row_counts(m_sparse(s, d)), f'SELECT r AS "row", count(*) AS nnz FROM ({_SPARSE}) GROUP BY 1')
+_Q["col_nnz_all"] = (lambda s, d: convert.row_counts(m_square(s, d), "col", empty=True), f"SELECT k AS col, count(r) AS nnz FROM (SELECT unnest(range(0, 96)) AS k) LEFT JOIN ({_SQUARE}) ON c = k GROUP BY 1")
+_Q["row_ptr"] = (lambda s, d: convert.row_ptr(m_sparse(s, d)), f'SELECT k AS "row", coalesce(sum(n) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "start", (sum(n) OVER (ORDER BY k))::BIGINT AS "end" FROM (SELECT k, count(r) AS n FROM (SELECT unnest(range(0, 256)) AS k) LEFT JOIN ({_SPARSE}) ON r = k GROUP BY 1)')
+_Q["row_stats"] = (lambda s, d: convert.row_stats(m_square(s, d)), f"SELECT min(n) AS min_nnz, max(n) AS max_nnz, sum(n) / 96.0::DOUBLE AS avg_nnz FROM (SELECT k, count(r) AS n FROM (SELECT unnest(range(0, 96)) AS k) LEFT JOIN ({_SQUARE}) ON r = k GROUP BY 1)")
+_Q["global_nnz"] = (lambda s, d: m_dup(s, d).memory_estimate(), f"SELECT count(*) AS nnz, count(*) * 20 AS coordinate_bytes, count(*) * 12 + 65 * 8 AS compressed_bytes FROM ({_DUP})")
+_Q["csr_nested"] = (lambda s, d: convert.to_csr(m_sparse(s, d)).select("row", F.size("cols").cast("long").alias("n"), F.array_join(F.col("cols").cast("array<string>"), ",").alias("cols"), F.aggregate("vals", F.lit(0.0), lambda a, x: a + x).alias("total")), f"""SELECT r AS "row", count(*) AS n, string_agg(c::VARCHAR, ',' ORDER BY c) AS cols, sum(v) AS total FROM ({_SPARSE}) GROUP BY 1""")
+_Q["csr_nested_roundtrip"] = (lambda s, d: _entries(convert.from_csr(convert.to_csr(m_dup(s, d), dedup="sum"), 64, 64)), f"SELECT {_OUT} FROM ({_SUM})")
+_Q["intra_row_rank"] = (lambda s, d: convert.row_ranks(m_sparse(s, d)).select("row", "col", "rank"), f'SELECT r AS "row", c AS col, row_number() OVER (PARTITION BY r ORDER BY c) - 1 AS rank FROM ({_SPARSE})')
+_Q["transpose"] = (lambda s, d: _entries(m_sparse(s, d).transposed()), f'SELECT c AS "row", r AS col, v AS "value" FROM ({_SPARSE})')
+_Q["symmetric_expand"] = (lambda s, d: _entries(expand_symmetric(m_square(s, d))), f'SELECT {_OUT} FROM ({_SQUARE}) UNION ALL SELECT c, r, v FROM ({_SQUARE}) WHERE r <> c')
+_Q["skew_expand"] = (lambda s, d: _entries(expand_symmetric(m_square(s, d), -1)), f'SELECT {_OUT} FROM ({_SQUARE}) UNION ALL SELECT c, r, -v FROM ({_SQUARE}) WHERE r <> c')
+_Q["append_union"] = (lambda s, d: _entries(m_sum(s, d).append(m_sum(s, d).transposed()).merged("max")), f'SELECT r AS "row", c AS col, max(v) AS "value" FROM (SELECT r, c, v FROM ({_SUM}) UNION ALL SELECT c, r, v FROM ({_SUM})) GROUP BY 1, 2')
+_Q["range_partition_counts"] = (lambda s, d: convert.row_owners(m_sparse(s, d), 7), f"SELECT p AS part, p * 36 + least(p, 4) AS first_row, 36 + (p < 4)::BIGINT AS \"rows\", count(r) AS nnz FROM (SELECT unnest(range(0, 7)) AS p) LEFT JOIN ({_SPARSE}) ON r >= p * 36 + least(p, 4) AND r < (p + 1) * 36 + least(p + 1, 4) GROUP BY p")
+
+# ---- Scaling ----
+_S = (64, 64)
+_Q["nearest_up2"] = (lambda s, d: _entries(m_dup(s, d).scale("nearest", 128, 128)), _nearest_sql(_DUP, _S, (128, 128)))
+_Q["nearest_up3_gaps"] = (lambda s, d: _entries(m_dup(s, d).scale("nearest", 192, 192)), _nearest_sql(_DUP, _S, (192, 192)))
+_Q["nearest_nonsquare"] = (lambda s, d: _entries(m_sparse(s, d).scale("nearest", 512, 512)), _nearest_sql(_SPARSE, (256, 128), (512, 512)))
+for _p in ("avg", "max", "min"):
+    _Q[f"nearest_{_p}"] = (lambda s, d, p=_p: _entries(m_dup(s, d).scale("nearest", 128, 128, policy=p), 9), _nearest_sql(_DUP, _S, (128, 128), f"round({_p}(v), 9) + 0.0"))
+_Q["nearest_last"] = (lambda s, d: _entries(SparseMatrix(m_events(s, d).df.withColumn("row", F.col("row") % 64), 64, 64).scale("nearest", 128, 128, policy="last")), _nearest_sql(f"SELECT r % 64 AS r, c, v, seq FROM ({_EVENTS})", _S, (128, 128), "arg_max(v, seq)"))
+_Q["bilinear_up2"] = (lambda s, d: _entries(m_dup(s, d).scale("bilinear", 128, 128)), _bilinear_sql(_SUM, _S, (128, 128)))
+_Q["bilinear_down2"] = (lambda s, d: _entries(m_dup(s, d).scale("bilinear", 32, 32)), _bilinear_sql(_SUM, _S, (32, 32)))
+_Q["bilinear_nonsquare"] = (lambda s, d: _entries(m_sparse(s, d).scale("bilinear", 512, 512)), _bilinear_sql(_SPARSE, (256, 128), (512, 512)))
+_Q["bilinear_identity"] = (lambda s, d: _entries(m_zeros(s, d).scale("bilinear", 64, 64)), f"SELECT {_OUT} FROM ({_ZEROS}) WHERE v <> 0")
+_Q["lanczos_up2"] = (lambda s, d: _entries(m_square(s, d).scale("lanczos", 192, 192), 8), _lanczos_sql(_SQUARE, 96, 192))
+_Q["lanczos_down2"] = (lambda s, d: _entries(m_square(s, d).scale("lanczos", 48, 48), 8), _lanczos_sql(_SQUARE, 96, 48))
+_Q["fft_up2"] = (lambda s, d: _entries(m_sum(s, d).scale("fft", 128, 128, threshold=0.05), 6), _fft_sql(_SUM, _S, (128, 128), 0.05))
+_Q["fft_threshold"] = (lambda s, d: _entries(m_square(s, d).scale("fft", 72, 96, threshold=1.0), 6), _fft_sql(_SQUARE, (96, 96), (72, 96), 1.0))
+_Q["wavelet_up2"] = (lambda s, d: _entries(m_sum(s, d).scale("wavelet", 128, 128)), _wavelet_sql(_SUM, 64, 128))
+_Q["wavelet_identity"] = (lambda s, d: _entries(m_square(s, d).scale("wavelet", 96, 96)), f"SELECT {_OUT} FROM ({_SQUARE})")
+
+# ---- Analysis ----
+
+
+def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+_Q["matrix_stats"] = (lambda s, d: _rounded(analysis.matrix_stats(m_sparse(s, d))), f"""SELECT count(*) AS nnz, round(count(*) / 32768.0, 6) + 0.0 AS density, round(1 - count(*) / 32768.0, 6) + 0.0 AS sparsity, min(v) AS "min", max(v) AS "max", sum(v) AS "sum", round(avg(v), 6) + 0.0 AS mean, round(stddev_pop(v), 6) + 0.0 AS std, round(sqrt(sum(v * v)), 6) + 0.0 AS frobenius FROM ({_SPARSE})""")
+_Q["stats_general"] = (lambda s, d: _rounded(analysis.stats_general(m_square(s, d))), f"""
+    WITH m AS ({_SQUARE}), p AS (SELECT r, c FROM m), t AS (SELECT c AS r, r AS c FROM m),
+    x AS (SELECT (SELECT count(*) FROM (SELECT * FROM p INTERSECT SELECT * FROM t)) AS shared, (SELECT count(*) FROM (SELECT * FROM p UNION SELECT * FROM t)) AS any_,
+        (SELECT count(*) FROM m a FULL JOIN m b ON a.r = b.c AND a.c = b.r WHERE coalesce(a.v, 0) <> coalesce(b.v, 0)) AS unlike)
+    SELECT 96::BIGINT AS n, count(*) AS nnz, round(count(*) / 9216.0, 6) + 0.0 AS density, (any_value(unlike) = 0)::INT AS sim, round(any_value(shared) / any_value(any_), 6) + 0.0 AS psym,
+        count(*) FILTER (r = c AND v <> 0) AS diag, count(*) - count(*) FILTER (r = c AND v <> 0) AS ndg, max(abs(r - c)) AS band, (SELECT sum(f)::BIGINT FROM (SELECT max(abs(c - r)) AS f FROM m GROUP BY r)) AS profile,
+        max(v) AS rmx, min(v) AS rmi, round(avg(v), 6) + 0.0 AS mean, round(stddev_pop(v), 6) + 0.0 AS rstd, sum(v) AS "sum", round(stddev_pop(v) / abs(avg(v)), 6) + 0.0 AS dist FROM m, x""")
+_FEATURES_SQL = """
+    SELECT {n}::BIGINT AS n, count(*) AS nnz, round(count(*) / {n}.0 / {n}.0, 6) + 0.0 AS dens,
+        round(coalesce(2.0 * (SELECT count(*) FROM {m} a JOIN {m} b ON a.r = b.c AND a.c = b.r WHERE a.r < a.c) / nullif(count(*) FILTER (r <> c), 0), 1.0), 6) + 0.0 AS psym, count(*) FILTER (r = c) AS diag,
+        count(DISTINCT c - r) AS ndg, round(avg(abs(r - c)) / {n}.0, 6) + 0.0 AS dist, max(abs(r - c)) AS band, (SELECT sum(abs(r - f))::BIGINT FROM (SELECT r, min(c) AS f FROM {m} GROUP BY r)) AS profil,
+        (SELECT max(k) FROM {m}_r) AS rmx, (SELECT min(k) FROM {m}_r WHERE k > 0) AS rmi, round((SELECT stddev_pop(k) FROM {m}_r), 6) + 0.0 AS rstd,
+        (SELECT max(k) FROM {m}_c) AS cmx, (SELECT min(k) FROM {m}_c WHERE k > 0) AS cmi, round((SELECT stddev_pop(k) FROM {m}_c), 6) + 0.0 AS cstd FROM {m}"""
+
+
+def _with_counts(name: str, base: str, n: int) -> str:
+    count = lambda x: f"{name}_{x} AS (SELECT i, count({x}) AS k FROM (SELECT unnest(range(0, {n})) AS i) LEFT JOIN {name} ON {x} = i GROUP BY i)"
+    return f"{name} AS ({base}), {count('r')}, {count('c')}"
+
+
+_Q["features_square"] = (lambda s, d: _rounded(analysis.features_square(m_square(s, d))), f"WITH {_with_counts('m', _SQUARE, 96)} {_FEATURES_SQL.format(n=96, m='m')}")
+_UP = _nearest_sql(_SQUARE, (96, 96), (192, 192))
+_UP_RCV = f'SELECT "row" AS r, col AS c, "value" AS v FROM ({_UP})'
+_Q["compare_scaling"] = (lambda s, d: _rounded(analysis.compare_scaling(m_square(s, d), m_square(s, d).scale("nearest", 192, 192))), f"""
+    WITH a AS (SELECT count(*) AS n, sum(v) AS s, count(*) FILTER (r = c) AS g FROM ({_SQUARE})), b AS (SELECT count(*) AS n, sum(v) AS s, count(*) FILTER (r = c) AS g FROM ({_UP_RCV}))
+    SELECT 2.0::DOUBLE AS row_scale, 2.0::DOUBLE AS col_scale, 'Upscale (Square)' AS scale_type, a.n AS before_nnz, b.n AS after_nnz, round(b.n / a.n, 6) + 0.0 AS nnz_ratio, a.n * 4.0::DOUBLE AS expected_nnz,
+        a.g AS before_diag, b.g AS after_diag, a.g * 2.0::DOUBLE AS expected_diag, a.s AS before_sum, b.s AS after_sum, round(b.s / a.s, 6) + 0.0 AS sum_ratio, abs(b.s / a.s - 1) < 1e-6 AS value_conserved,
+        round((b.n / 36864.0) / (a.n / 9216.0), 6) + 0.0 AS density_ratio, CASE WHEN abs(b.n - a.n * 4.0) < 1 THEN 'Nearest Neighbor' WHEN b.n > a.n * 4.0 THEN 'Bilinear (likely)' ELSE 'Unknown' END AS method FROM a, b""")
+_BI_RCV = f'SELECT "row" AS r, col AS c, "value" AS v FROM ({_bilinear_sql(_SQUARE, (96, 96), (192, 192))})'
+_Q["detect_method"] = (lambda s, d: analysis.detect_method(m_square(s, d), m_square(s, d).scale("bilinear", 192, 192)), f"""
+    SELECT a.n AS before_nnz, b.n AS after_nnz, a.n * 4.0::DOUBLE AS expected_nnz, CASE WHEN abs(b.n - a.n * 4.0) < 1 THEN 'Nearest Neighbor' WHEN b.n > a.n * 4.0 THEN 'Bilinear (likely)' ELSE 'Unknown' END AS method
+    FROM (SELECT count(*) AS n FROM ({_SQUARE})) a, (SELECT count(*) AS n FROM ({_BI_RCV})) b""")
+_LONG = lambda m, n: f"SELECT unnest([{', '.join(repr(f) for f in analysis._FEATURES)}]) AS feature, unnest([{', '.join(f'{f}::DOUBLE' for f in analysis._FEATURES)}]) AS x FROM ({_FEATURES_SQL.format(n=n, m=m).replace('round(', '(').replace(', 6)', ')')})"
+_COMPARED = f"""
+    {_with_counts('m', _SQUARE, 96)}, {_with_counts('u', _UP_RCV, 192)},
+    f AS (SELECT a.feature, a.x AS original, b.x AS generated, a.x * CASE WHEN a.feature IN ({', '.join(repr(f) for f in analysis._GROWING)}) THEN pow(2.0, 1.2) ELSE 1.0 END AS expected FROM ({_LONG('m', 96)}) a JOIN ({_LONG('u', 192)}) b ON a.feature = b.feature),
+    g AS (SELECT *, CASE WHEN expected <> 0 THEN abs(generated - expected) / abs(expected) * 100 WHEN generated = 0 THEN 0.0 ELSE 100.0 END AS diff_pct FROM f)"""
+_GRADE = "CASE WHEN {x} < 10 THEN 'EXCELLENT' WHEN {x} < 20 THEN 'GOOD' WHEN {x} < 30 THEN 'OK' ELSE 'POOR' END AS grade"
+_PAIR = lambda s, d: (m_square(s, d), m_square(s, d).scale("nearest", 192, 192))
+_Q["feature_comparison"] = (lambda s, d: _rounded(analysis.feature_comparison(*_PAIR(s, d)), 5), f"WITH {_COMPARED} SELECT feature, round(original, 5) + 0.0 AS original, round(generated, 5) + 0.0 AS generated, round(expected, 5) + 0.0 AS expected, round(diff_pct, 5) + 0.0 AS diff_pct, {_GRADE.format(x='diff_pct')} FROM g")
+_Q["feature_score"] = (lambda s, d: _rounded(analysis.feature_score(*_PAIR(s, d)), 5), f"WITH {_COMPARED} SELECT round(avg(diff_pct), 5) + 0.0 AS score, count(*) AS features, {_GRADE.format(x='avg(diff_pct)')} FROM g")
+_Q["density_heatmap"] = (lambda s, d: analysis.density_heatmap(m_sparse(s, d), 16), f"SELECT (r * 16) // 256 AS y, (c * 16) // 128 AS x, count(*) AS count FROM ({_SPARSE}) GROUP BY 1, 2")
+_Q["pattern_intersection"] = (lambda s, d: analysis.pattern_intersection(m_square(s, d)), f'SELECT r AS "row", c AS col FROM ({_SQUARE}) INTERSECT SELECT c, r FROM ({_SQUARE})')
+_Q["pattern_union"] = (lambda s, d: analysis.pattern_union(m_square(s, d)), f'SELECT r AS "row", c AS col FROM ({_SQUARE}) UNION SELECT c, r FROM ({_SQUARE})')
+_Q["value_asymmetry"] = (lambda s, d: analysis.value_asymmetry(m_square(s, d)), f'SELECT r AS "row", c AS col, sum(v) AS "value" FROM (SELECT r, c, v FROM ({_SQUARE}) UNION ALL SELECT c, r, -v FROM ({_SQUARE})) GROUP BY 1, 2 HAVING sum(v) <> 0')
+_Q["diagonal_counts"] = (lambda s, d: m_square(s, d).df.groupBy((F.col("col") - F.col("row")).alias("diagonal")).agg(F.count(F.lit(1)).alias("nnz")), f"SELECT c - r AS diagonal, count(*) AS nnz FROM ({_SQUARE}) GROUP BY 1")
+
+
+def mtx_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Written as a Matrix Market file (below the shared folder where one is named) and read back."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/latticework-{spark.sparkContext.applicationId}"
+    path = f"{base.rstrip('/')}/roundtrip-{uuid.uuid4().hex}.mtx"
+    write_mtx(m_sum(spark, d), path)
+    return _entries(read_mtx(spark, path))
+
+
+_Q["mtx_roundtrip"] = (mtx_roundtrip, f"SELECT {_OUT} FROM ({_SUM})")
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: q for k, (q, _) in _Q.items()}
+ORACLE_SQL: dict[str, str] = {k: sql for k, (_, sql) in _Q.items() if sql}
