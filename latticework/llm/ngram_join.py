@@ -40,8 +40,10 @@ from .components import connected_components
 WORDS, PERCENT = 5, 80
 #: A shingle counts as frequent from this many documents on, by the counts of tasks that saw it LOCAL times or more.
 HEAVY, LOCAL, HEAVY_MOST = 24, 3, 1 << 18
-#: Salts of a frequent shingle's region; classes of the shingle hash for the windows; documents in a block.
-SALTS, CLASSES, BLOCK = 64, 256, 256
+#: Salts of a frequent shingle's region; documents in a block.
+SALTS, BLOCK = 64, 256
+#: Classes of a set: the power of two from a quarter of its size on, between these.
+FEWEST, MOST = 256, 4096
 
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -136,8 +138,38 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _classes(sets: list[np.ndarray]) -> pa.ListArray:
     """How many shingles of each class a set has; counts are cut at the type's end, which keeps the windows valid."""
-    counts = [np.minimum(np.bincount((s >> np.uint64(20)).astype(np.int64) % CLASSES, minlength=CLASSES), 32_767) for s in sets]
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * CLASSES, pa.int32()), pa.array(np.concatenate(counts).astype(np.int16)))
+    sizes = [min(MOST, max(FEWEST, 1 << max(0, (len(s) // 4 - 1)).bit_length())) for s in sets]
+    counts = [np.minimum(np.bincount((s >> np.uint64(20)).astype(np.int64) & k - 1, minlength=k), 32_767) for s, k in zip(sets, sizes, strict=True)]
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(np.concatenate(counts).astype(np.int16)))
+
+
+def _folded(vectors: list[np.ndarray], size: int) -> np.ndarray:
+    """Vectors as rows of ``size`` classes; a class of the coarser division is the sum of those it takes in."""
+    return np.stack([v.reshape(-1, size).sum(0, dtype=np.int32) for v in vectors])
+
+
+def _in_window(a: list[np.ndarray], b: list[np.ndarray], i: np.ndarray, j: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For pairs (a[i], b[j]) with |A| + |B| in sizes: |A xor B| <= (100 - p) / (100 + p) (|A| + |B|) for a link at p percent,
+    and the gaps of the classes, at the coarser division of the two, sum to no more."""
+    la, lb = np.array([len(v) for v in a]), np.array([len(v) for v in b])
+    level = np.minimum(la[i], lb[j])
+    out = np.zeros(len(i), bool)
+    for size in np.unique(level):
+        some = np.flatnonzero(level == size)
+        ua, ia = np.unique(i[some], return_inverse=True)
+        ub, jb = np.unique(j[some], return_inverse=True)
+        fa, fb = _folded([a[k] for k in ua], size), _folded([b[k] for k in ub], size)
+        step = max(1, (1 << 21) // int(size))
+        for at in range(0, len(some), step):
+            part = slice(at, at + step)
+            gaps = np.abs(fa[ia[part]] - fb[jb[part]]).sum(1, dtype=np.int64)
+            out[some[part]] = gaps * (100 + PERCENT) <= (100 - PERCENT) * sizes[some[part]]
+    return out
+
+
+def _vectors(column: pa.Array) -> list[np.ndarray]:
+    flat, offsets = column.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *column.value_lengths().to_pylist()])
+    return [flat[x:y] for x, y in zip(offsets, offsets[1:], strict=False)]
 
 
 def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -255,16 +287,11 @@ def _near(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
 
 def _window_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        ac, bc = (np.asarray(batch.column(c).flatten()).reshape(batch.num_rows, -1).astype(np.int32) for c in ("ac", "bc"))
-        sizes = batch.column("an").to_numpy().astype(np.int64) + batch.column("bn").to_numpy()
-        yield batch.select(["a", "b"]).filter(pa.array(_in_window(ac, bc, sizes)))
-
-
-def _in_window(ac: np.ndarray, bc: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """|A xor B| <= (100 - p) / (100 + p) (|A| + |B|) for a link at p percent, and the classes' gaps sum to no more."""
-    return np.abs(ac - bc).sum(1) * (100 + PERCENT) <= (100 - PERCENT) * sizes
+        for at in range(0, batch.num_rows, 2048):
+            part = batch.slice(at, 2048)
+            sizes = part.column("an").to_numpy().astype(np.int64) + part.column("bn").to_numpy()
+            every = np.arange(part.num_rows)
+            yield part.select(["a", "b"]).filter(pa.array(_in_window(_vectors(part.column("ac")), _vectors(part.column("bc")), every, every, sizes)))
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,14 +314,8 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             i, j = np.nonzero(apart)
             if not len(i):
                 continue
-            lc = np.asarray(ls.field("classes").flatten()).reshape(len(li), -1).astype(np.int32)
-            rc = np.asarray(rs.field("classes").flatten()).reshape(len(ri), -1).astype(np.int32)
-            keep = []
-            for at in range(0, len(i), 8192):
-                a, b = i[at : at + 8192], j[at : at + 8192]
-                fits = _in_window(lc[a], rc[b], ln[a] + rn[b])
-                keep.append(np.stack([li[a][fits], ri[b][fits]]))
-            pairs = np.concatenate(keep, 1)
+            fits = _in_window(_vectors(ls.field("classes")), _vectors(rs.field("classes")), i, j, ln[i] + rn[j])
+            pairs = np.stack([li[i[fits]], ri[j[fits]]])
             low, high = pairs.min(0), pairs.max(0)
             yield pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], ["a", "b"])
 
