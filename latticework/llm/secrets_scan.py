@@ -74,9 +74,9 @@ def battery(run: str) -> tuple[str, float]:
     excess = max(k * TEXT_AGREE - 1, 0.5)
     p_chi = _normal((chi - (k - 1) - (n - 1) * excess) / math.sqrt(2 * (k - 1) + 4 * n * excess + 2 * n * excess**2))
     too_uneven = 1 - _normal((chi - (k - 1)) / math.sqrt(2 * (k - 1)))
-    classes = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "m" for c in run]
+    classes = ["d" if c.isdigit() else "u" if c.isupper() else "l" for c in run if c.isalnum()]  # marks join words in texts
     changes = sum(a != b for a, b in zip(classes, classes[1:], strict=False))
-    p_runs = _binomial_tail(n - 1, TEXT_CHANGE, changes)
+    p_runs = _binomial_tail(max(len(classes) - 1, 1), TEXT_CHANGE, changes)
     centred = values - values.mean()
     spread = float((centred**2).sum())
     serial = float((centred[1:] * centred[:-1]).sum()) / spread if spread else 1.0
