@@ -55,45 +55,31 @@ class LibraryEncoder:
         self.pieces.normalizer = normalizers.Sequence([])
         self.pieces.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.split = Splitter(_WORDS)
-        self.memo: dict[str, bytes] = {}  # of words
-        self.runs: dict[str, bytes] = {}  # of runs between blanks, as they stand in texts
+        self.memo: dict[str, bytes] = {}
 
     @staticmethod
     def normalise(text: str) -> str:
         """NFC, then lower case character by character (so no final sigma); white space falls away when splitting."""
         return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
-    def _learn(self, words: set[str]) -> None:
-        fresh = list(words - self.memo.keys())
-        for at in range(0, len(fresh), 4096):
-            part = fresh[at : at + 4096]
-            for w, e in zip(part, self.pieces.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.memo[w] = np.array(e.ids, "<u4").tobytes()
-
-    def _words(self, text: str) -> list[str]:
-        return self.split(self.normalise(text))
-
     def encode(self, texts: list[str]) -> list[bytes]:
-        """No match of the vocabulary's split crosses a blank, so runs between blanks are encoded alone and kept."""
-        if len(self.memo) > MEMO_ENTRIES // 2:
+        if len(self.memo) > MEMO_ENTRIES:
             self.memo.clear()
-        if len(self.runs) > MEMO_ENTRIES * 3 // 4:
-            self.runs.clear()
-        # Python's blanks are the pattern's but for four control characters; texts with these are split whole.
-        plain = lambda p: not any(c in p for c in "\x1c\x1d\x1e\x1f")
-        parts = [[p if k % 2 else (True, p.split()) if plain(p) else (False, self._words(p)) for k, p in enumerate(self.cut(t))] for t in texts]
-        fresh = {r for doc in parts for p in doc if isinstance(p, tuple) and p[0] for r in p[1]} - self.runs.keys()
-        split = {r: self._words(r) for r in fresh}
-        self._learn({w for words in split.values() for w in words} | {w for doc in parts for p in doc if isinstance(p, tuple) and not p[0] for w in p[1]})
-        word = self.memo.__getitem__
-        self.runs.update((r, word(words[0]) if len(words) == 1 else b"".join(map(word, words))) for r, words in split.items())
-        run = self.runs.__getitem__
-        out = [b"".join(np.array([self.special[p]], "<u4").tobytes() if isinstance(p, str) else b"".join(map(run if p[0] else word, p[1])) for p in doc) for doc in parts]
-        for r in [r for r in fresh if len(r) > MEMO_LENGTH]:
-            del self.runs[r]
-            for w in split[r]:
+        parts = [[self.split(self.normalise(p)) if k % 2 == 0 else p for k, p in enumerate(self.cut(t))] for t in texts]
+        lacking = {w for doc in parts for p in doc if isinstance(p, list) for w in p}
+        lacking -= self.memo.keys()
+        long = []
+        fresh = list(lacking)
+        for at in range(0, len(fresh), 4096):
+            words = fresh[at : at + 4096]
+            for w, e in zip(words, self.pieces.encode_batch_fast(words, add_special_tokens=False), strict=True):
+                self.memo[w] = np.array(e.ids, "<u4").tobytes()
                 if len(w) > MEMO_LENGTH:
-                    self.memo.pop(w, None)
+                    long.append(w)
+        get = self.memo.__getitem__
+        out = [b"".join(b"".join(map(get, p)) if isinstance(p, list) else np.array([self.special[p]], "<u4").tobytes() for p in doc) for doc in parts]
+        for w in long:
+            del self.memo[w]
         return out
 
 
