@@ -196,6 +196,8 @@ class MtxReader(DataSourceReader):
             if a > self.first:  # a line belongs to the split in which it begins
                 f.seek(a - 1)
                 f.readline()
+            else:
+                f.seek(self.first)
             while f.tell() < b and (line := f.readline()):
                 words = line.split()
                 if not words:
