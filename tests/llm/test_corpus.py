@@ -253,7 +253,8 @@ def test_pipeline(spark):
         best[k] = min(best.get(k, (1, 0)), (-len(t), i))
     texts = dict(rows)
     kept = [(i, texts[i]) for _, i in best.values()]
-    kept = [(i, t) for i, t in kept if brute_groups(kept)[i][1] == i]
+    groups = brute_groups(kept)
+    kept = [(i, t) for i, t in kept if groups[i][1] == i]
     stay = spark.createDataFrame(kept, "lw long, t string").select("lw")
     left = docs.join(stay, F.col("doc_id") == F.col("lw"), "left_semi")
     counts = {r["doc_id"]: -(-r["taken"] // r["size"]) for r in mixing.mixing_counts(left).collect() if r["taken"]}
