@@ -42,8 +42,8 @@ WORDS, PERCENT = 5, 80
 HEAVY, LOCAL, HEAVY_MOST = 24, 3, 1 << 18
 #: Salts of a frequent shingle's region; documents in a block.
 SALTS, BLOCK = 64, 256
-#: Classes of a set: the power of two from a quarter of its size on, between these.
-FEWEST, MOST = 256, 4096
+#: Classes of a set: the power of two from a quarter of its size on, at least this many; a class counts to 15.
+FEWEST = 32
 
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -118,7 +118,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, counts = np.unique(np.concatenate(sets), return_counts=True)
         often = counts >= LOCAL
         k = int(often.sum())
-        return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.list_(pa.int16())), pa.array(values[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], names)
+        return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.array(values[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], names)
 
     for part, sets in _parts(batches):
         digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
@@ -136,30 +136,43 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield hot(stretch)
 
 
-def _classes(sets: list[np.ndarray]) -> pa.ListArray:
-    """How many shingles of each class a set has; counts are cut at the type's end, which keeps the windows valid."""
-    sizes = [min(MOST, max(FEWEST, 1 << max(0, (len(s) // 4 - 1)).bit_length())) for s in sets]
-    counts = [np.minimum(np.bincount((s >> np.uint64(20)).astype(np.int64) & k - 1, minlength=k), 32_767) for s, k in zip(sets, sizes, strict=True)]
-    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(np.concatenate(counts).astype(np.int16)))
+def _level(n: int) -> int:
+    return max(FEWEST, 1 << (max(n - 1, 0) // 4).bit_length())
 
 
-def _folded(vectors: list[np.ndarray], size: int) -> np.ndarray:
-    """Vectors as rows of ``size`` classes; a class of the coarser division is the sum of those it takes in."""
-    return np.stack([v.reshape(-1, size).sum(0, dtype=np.int32) for v in vectors])
+def _classes(sets: list[np.ndarray]) -> pa.Array:
+    """How many shingles of each class a set has, four bits a class, at the set's division and at the one half as fine.
 
+    Counts are cut at 15, which brings no two further apart, so the windows stay valid. Some 3 n / 16 to 3 n / 8 bytes.
+    """
+    out = []
+    for s in sets:
+        k = _level(len(s))
+        counts = np.bincount((s >> np.uint64(20)).astype(np.int64) & k - 1, minlength=k)
+        both = np.minimum(np.concatenate([counts, counts.reshape(2, -1).sum(0)]), 15).astype(np.uint8)
+        out.append((both[::2] | both[1::2] << 4).tobytes() if len(s) else None)
+    return pa.array(out, pa.binary())
+
+
+def _divided(vectors: list[bytes], size: int) -> np.ndarray:
+    """Counts of ``size`` classes as rows; each vector has that division as its finer or its coarser one."""
+    half = size // 2
+    flat = np.frombuffer(b"".join(v[:half] if len(v) == 3 * half // 2 else v[size : size + half] for v in vectors), np.uint8).reshape(-1, half)
+    return np.stack([flat & 15, flat >> 4], 2).reshape(-1, size).view(np.int8)
 
-def _in_window(a: list[np.ndarray], b: list[np.ndarray], i: np.ndarray, j: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """For pairs (a[i], b[j]) with |A| + |B| in sizes: |A xor B| <= (100 - p) / (100 + p) (|A| + |B|) for a link at p percent,
-    and the gaps of the classes, at the coarser division of the two, sum to no more."""
+
+def _in_window(a: list[bytes], b: list[bytes], i: np.ndarray, j: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For pairs (a[i], b[j]) with |A| + |B| in sizes, whose sizes fit each other: |A xor B| <= (100 - p) / (100 + p) (|A| + |B|)
+    for a link at p percent, and the gaps of the classes, at the coarser division of the two, sum to no more."""
     la, lb = np.array([len(v) for v in a]), np.array([len(v) for v in b])
-    level = np.minimum(la[i], lb[j])
+    level = np.minimum(la[i], lb[j]) // 3 * 4
     out = np.zeros(len(i), bool)
-    for size in np.unique(level):
+    for size in np.unique(level).tolist():
         some = np.flatnonzero(level == size)
         ua, ia = np.unique(i[some], return_inverse=True)
         ub, jb = np.unique(j[some], return_inverse=True)
-        fa, fb = _folded([a[k] for k in ua], size), _folded([b[k] for k in ub], size)
-        step = max(1, (1 << 21) // int(size))
+        fa, fb = _divided([a[k] for k in ua], size), _divided([b[k] for k in ub], size)
+        step = max(1, (1 << 21) // size)
         for at in range(0, len(some), step):
             part = slice(at, at + step)
             gaps = np.abs(fa[ia[part]] - fb[jb[part]]).sum(1, dtype=np.int64)
@@ -167,16 +180,11 @@ def _in_window(a: list[np.ndarray], b: list[np.ndarray], i: np.ndarray, j: np.nd
     return out
 
 
-def _vectors(column: pa.Array) -> list[np.ndarray]:
-    flat, offsets = column.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *column.value_lengths().to_pylist()])
-    return [flat[x:y] for x, y in zip(offsets, offsets[1:], strict=False)]
-
-
 def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, n_links_seen (links found on the way; at least one if there is any)."""
     spark = docs.sparkSession
     rows = pick(docs, doc_id=F.col(f"`{id_col}`").cast("long"), text=text_col)
-    surveyed = materialize(spark, rows.mapInArrow(_survey, "doc_id long, n long, digest binary, classes array<short>, hot long, count long"), "sets")
+    surveyed = materialize(spark, rows.mapInArrow(_survey, "doc_id long, n long, digest binary, classes binary, hot long, count long"), "sets")
     metas = surveyed.filter("hot is null").select("doc_id", "n", "digest")
     vectors = surveyed.filter("hot is null and doc_id is not null and n > 0").select(F.col("doc_id").alias("id"), F.col("n").cast("int").alias("n"), "digest", "classes")
     heavies = surveyed.filter("hot is not null").groupBy("hot").agg(F.sum("count").alias("n")).filter(F.col("n") >= HEAVY)
@@ -233,12 +241,16 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     state = open_rows.groupBy("h").agg((F.min("component") != F.max("component")).alias("open"), F.count(F.lit(1)).alias("members"))
     live = open_rows.join(state.filter("open").select("h", "members"), "h")
     live = live.join(vectors.select("id", "classes"), "id")
-    live = live.withColumn("piece", F.pmod(F.xxhash64("id", F.lit(2)), F.ceil(F.col("members") / BLOCK)))
-    blocks = live.groupBy("h", "piece").agg(F.collect_list(F.struct("id", "n", "component", "classes")).alias("rows"))
+    pieces = F.ceil(F.col("members") / BLOCK)
+    live = live.withColumn("pieces", pieces).withColumn("piece", F.pmod(F.xxhash64("id", F.lit(2)), "pieces"))
+    blocks = live.groupBy("h", "pieces", "piece").agg(F.collect_list(F.struct("id", "n", "component", "classes")).alias("rows"))
     blocks = materialize(spark, blocks, "blocks")
-    left = blocks.select("h", F.col("piece").alias("p"), F.col("rows").alias("left_rows"))
-    right = blocks.select("h", F.col("piece").alias("q"), F.col("rows").alias("right_rows"))
-    more = left.join(right, "h").filter("p <= q").select("left_rows", "right_rows").mapInArrow(_windows, "a long, b long").distinct()
+    # A block meets itself where it lies; only blocks of larger regions are joined.
+    within = blocks.select(F.col("rows").alias("left_rows"), F.lit(None).cast(blocks.schema["rows"].dataType).alias("right_rows"))
+    left = blocks.filter("pieces > 1").select("h", F.col("piece").alias("p"), F.col("rows").alias("left_rows"))
+    right = blocks.filter("pieces > 1").select("h", F.col("piece").alias("q"), F.col("rows").alias("right_rows"))
+    across = left.join(right, "h").filter("p < q").select("left_rows", "right_rows")
+    more = within.mapInArrow(_windows, "a long, b long").unionByName(across.mapInArrow(_windows, "a long, b long")).distinct()
     more = materialize(spark, more, "windows")
     more = materialize(spark, more.join(star, ["a", "b"], "left_anti"), "windows")
     links2 = materialize(spark, _verified(more, rows), "links") if more.take(1) else links.limit(0)
@@ -291,7 +303,7 @@ def _window_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             part = batch.slice(at, 2048)
             sizes = part.column("an").to_numpy().astype(np.int64) + part.column("bn").to_numpy()
             every = np.arange(part.num_rows)
-            yield part.select(["a", "b"]).filter(pa.array(_in_window(_vectors(part.column("ac")), _vectors(part.column("bc")), every, every, sizes)))
+            yield part.select(["a", "b"]).filter(pa.array(_in_window(part.column("ac").to_pylist(), part.column("bc").to_pylist(), every, every, sizes)))
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,19 +314,23 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of two blocks that are in different components and that the triangle inequality leaves."""
+    """Pairs of two blocks, or of one where the other is null, that are in different components and that the triangle inequality leaves."""
     for batch in batches:
         for left, right in zip(batch.column("left_rows"), batch.column("right_rows"), strict=True):
-            ls, rs = left.values, right.values
+            alone = not right.is_valid
+            ls = left.values
+            rs = ls if alone else right.values
             li, ri = ls.field("id").to_numpy(), rs.field("id").to_numpy()
             ln, rn = ls.field("n").to_numpy().astype(np.int64), rs.field("n").to_numpy().astype(np.int64)
             apart = ls.field("component").to_numpy()[:, None] != rs.field("component").to_numpy()[None, :]
             small, large = np.minimum(ln[:, None], rn), np.maximum(ln[:, None], rn)
             apart &= 100 * small >= PERCENT * large
+            if alone:
+                apart &= li[:, None] < ri
             i, j = np.nonzero(apart)
             if not len(i):
                 continue
-            fits = _in_window(_vectors(ls.field("classes")), _vectors(rs.field("classes")), i, j, ln[i] + rn[j])
+            fits = _in_window(ls.field("classes").to_pylist(), rs.field("classes").to_pylist(), i, j, ln[i] + rn[j])
             pairs = np.stack([li[i[fits]], ri[j[fits]]])
             low, high = pairs.min(0), pairs.max(0)
             yield pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], ["a", "b"])
