@@ -143,6 +143,19 @@ def test_ngram_join(spark, docs, none):
     assert kept.columns == docs.columns and {7, 9, None} <= {r["doc_id"] for r in kept.collect()} and 8 not in {r["doc_id"] for r in kept.collect()}
 
 
+def test_windows_keep_every_link():
+    rng = np.random.default_rng(0)
+    some = lambda n: np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+    a = [some(n) for n in (1, 5, 100, 128, 130, 300, 1000, 1280, 5000, 40_000)]
+    b = [np.unique(np.concatenate([s[: max(1, len(s) * 95 // 100)], some(len(s) // 20)])) for s in a] + a
+    i, j = np.array([(x, y) for x in range(len(a)) for y in range(len(b)) if 5 * min(len(a[x]), len(b[y])) >= 4 * max(len(a[x]), len(b[y]))]).T
+    sizes = np.array([len(a[x]) + len(b[y]) for x, y in zip(i, j, strict=True)])
+    kept = ngram_join._in_window(ngram_join._classes(a).to_pylist(), ngram_join._classes(b).to_pylist(), i, j, sizes)
+    common = np.array([len(np.intersect1d(a[x], b[y])) for x, y in zip(i, j, strict=True)])
+    links = 100 * common >= 80 * (sizes - common)
+    assert links.sum() >= len(a) and kept[links].all() and not kept[common == 0].all()
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(40, 16))
