@@ -43,7 +43,7 @@ HEAVY, LOCAL, HEAVY_MOST = 24, 3, 1 << 18
 #: Salts of a frequent shingle's region; documents in a block.
 SALTS, BLOCK = 64, 256
 #: Classes of a set: the power of two from a quarter of its size on, at least this many; a class counts to 15.
-FEWEST = 32
+FEWEST = 256
 
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -143,7 +143,7 @@ def _level(n: int) -> int:
 def _classes(sets: list[np.ndarray]) -> pa.Array:
     """How many shingles of each class a set has, four bits a class, at the set's division and at the one half as fine.
 
-    Counts are cut at 15, which brings no two further apart, so the windows stay valid. Some 3 n / 16 to 3 n / 8 bytes.
+    Counts are cut at 15, which brings no two further apart, so the windows stay valid. Some 3 n / 16 to 3 n / 8 bytes, 192 at least.
     """
     out = []
     for s in sets:
