@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,6 +63,28 @@ def m_square(spark: SparkSession, d: str) -> SparseMatrix:
     return SparseMatrix(df.filter("(row + col) % 7 < 3"), 96, 96).merged()
 
 
+#: Side of the matrices below, of all rows of lineitem: wide enough to be sparse without a filter (0.2% of the cells at sf0.1).
+WIDE, NARROW = 1 << 14, 1 << 13
+
+
+def m_square_whole(spark: SparkSession, d: str) -> SparseMatrix:
+    """All of lineitem by part and order; a square matrix with entries on and off the diagonal."""
+    df = _read(spark, d, "lineitem").select((F.col("l_partkey") % WIDE).alias("row"), (F.col("l_orderkey") % WIDE).alias("col"), F.col("l_quantity").alias("value"))
+    return SparseMatrix(df, WIDE, WIDE).merged()
+
+
+def m_sparse_whole(spark: SparkSession, d: str) -> SparseMatrix:
+    """All of lineitem by order and part."""
+    df = _read(spark, d, "lineitem").select((F.col("l_orderkey") % WIDE).alias("row"), (F.col("l_partkey") % NARROW).alias("col"), F.col("l_quantity").alias("value"))
+    return SparseMatrix(df, WIDE, NARROW).merged()
+
+
+def m_folded_whole(spark: SparkSession, d: str) -> SparseMatrix:
+    """All of lineitem folded to 96 x 96, for results that are dense whatever the input."""
+    df = _read(spark, d, "lineitem").select((F.col("l_partkey") % 96).alias("row"), (F.col("l_orderkey") % 96).alias("col"), F.col("l_quantity").alias("value"))
+    return SparseMatrix(df, 96, 96).merged()
+
+
 _DUP = "SELECT l_partkey % 64 AS r, l_suppkey % 64 AS c, l_quantity AS v FROM lineitem"
 _SUM = f"SELECT r, c, sum(v) AS v FROM ({_DUP}) GROUP BY r, c"
 _SPARSE = "SELECT l_orderkey % 256 AS r, l_partkey % 128 AS c, sum(l_quantity) AS v FROM lineitem WHERE l_quantity > 45 GROUP BY 1, 2"
@@ -69,6 +92,9 @@ _EVENTS = "SELECT user_id AS r, event_id % 64 AS c, value AS v, event_id AS seq
 _VECTORS = "SELECT vec_id AS r, unnest(range(0, len(embedding))) AS c, unnest(embedding)::DOUBLE AS v FROM embeddings"
 _ZEROS = f"SELECT r, c, CASE WHEN (r + c) % 5 = 0 THEN 0.0 ELSE v END AS v FROM ({_SUM})"
 _SQUARE = "SELECT l_partkey % 96 AS r, l_orderkey % 96 AS c, sum(l_quantity) AS v FROM lineitem WHERE l_quantity > 40 AND (l_partkey % 96 + l_orderkey % 96) % 7 < 3 GROUP BY 1, 2"
+_SQUARE_WHOLE = f"SELECT l_partkey % {WIDE} AS r, l_orderkey % {WIDE} AS c, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2"
+_SPARSE_WHOLE = f"SELECT l_orderkey % {WIDE} AS r, l_partkey % {NARROW} AS c, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2"
+_FOLDED_WHOLE = "SELECT l_partkey % 96 AS r, l_orderkey % 96 AS c, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2"
 _OUT = 'r AS "row", c AS col, v AS "value"'
 
 
@@ -258,5 +284,62 @@ def mtx_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 _Q["mtx_roundtrip"] = (mtx_roundtrip, f"SELECT {_OUT} FROM ({_SUM})")
 
+# ---- The queries on m_square and m_sparse again, on all rows of lineitem ----
+
+
+def _sq(name: str, query: Callable[[SparseMatrix], DataFrame], sql: str | None = None, **numbers: int) -> None:
+    _whole(name, lambda s, d: query(m_square_whole(s, d)), _SQUARE, _SQUARE_WHOLE, sql, numbers)
+
+
+def _sp(name: str, query: Callable[[SparseMatrix], DataFrame], sql: str | None = None, **numbers: int) -> None:
+    _whole(name, lambda s, d: query(m_sparse_whole(s, d)), _SPARSE, _SPARSE_WHOLE, sql, numbers)
+
+
+def _whole(name: str, query: Callable, base: str, whole: str, sql: str | None, numbers: dict[str, int]) -> None:
+    """``sql``, or that of the query on the filtered matrix with the whole relation and its sizes (_96=...) put in."""
+    if sql is None:
+        old = _Q[name][1].replace(base, "{whole}")
+        sql = re.sub(r"\b\d+\b", lambda x: str(numbers.get(f"_{x[0]}", x[0])), old).replace("{whole}", whole)
+    _Q[f"{name}_whole"] = (query, sql)
+
+
+_W2 = 2 * WIDE
+_sq("has_entry", lambda m: m.cell(1, 95).agg((F.count(F.lit(1)) > 0).alias("found")))
+_sq("col_nnz_all", lambda m: convert.row_counts(m, "col", empty=True), _96=WIDE)
+_sq("row_stats", convert.row_stats, _96=WIDE)
+_sq("symmetric_expand", lambda m: _entries(expand_symmetric(m)))
+_sq("skew_expand", lambda m: _entries(expand_symmetric(m, -1)))
+_sq("lanczos_up2", lambda m: _entries(m.scale("lanczos", _W2, _W2), 8), _lanczos_sql(_SQUARE_WHOLE, WIDE, _W2))
+_sq("lanczos_down2", lambda m: _entries(m.scale("lanczos", WIDE // 2, WIDE // 2), 8), _lanczos_sql(_SQUARE_WHOLE, WIDE, WIDE // 2))
+_Q["fft_threshold_whole"] = (lambda s, d: _entries(m_folded_whole(s, d).scale("fft", 72, 96, threshold=1.0), 6), _fft_sql(_FOLDED_WHOLE, (96, 96), (72, 96), 1.0))
+_sq("wavelet_identity", lambda m: _entries(m.scale("wavelet", WIDE, WIDE)))
+_sq("stats_general", lambda m: _rounded(analysis.stats_general(m)), _96=WIDE, _9216=WIDE * WIDE)
+_sq("features_square", lambda m: _rounded(analysis.features_square(m)), f"WITH {_with_counts('m', _SQUARE_WHOLE, WIDE)} {_FEATURES_SQL.format(n=WIDE, m='m')}")
+_UP_WHOLE = f'SELECT "row" AS r, col AS c, "value" AS v FROM ({_nearest_sql(_SQUARE_WHOLE, (WIDE, WIDE), (_W2, _W2))})'
+_BI_WHOLE = f'SELECT "row" AS r, col AS c, "value" AS v FROM ({_bilinear_sql(_SQUARE_WHOLE, (WIDE, WIDE), (_W2, _W2))})'
+_put = lambda name, old, new: re.sub(r"\b9216\b", str(WIDE * WIDE), re.sub(r"\b36864\b", str(_W2 * _W2), _Q[name][1].replace(old, "{up}").replace(_SQUARE, "{whole}"))).replace("{up}", new).replace("{whole}", _SQUARE_WHOLE)
+_sq("compare_scaling", lambda m: _rounded(analysis.compare_scaling(m, m.scale("nearest", _W2, _W2))), _put("compare_scaling", _UP_RCV, _UP_WHOLE))
+_sq("detect_method", lambda m: analysis.detect_method(m, m.scale("bilinear", _W2, _W2)), _put("detect_method", _BI_RCV, _BI_WHOLE))
+_COMPARED_WHOLE = _COMPARED.replace(_with_counts("m", _SQUARE, 96), _with_counts("m", _SQUARE_WHOLE, WIDE)).replace(_with_counts("u", _UP_RCV, 192), _with_counts("u", _UP_WHOLE, _W2)).replace(_LONG("m", 96), _LONG("m", WIDE)).replace(_LONG("u", 192), _LONG("u", _W2))
+_sq("feature_comparison", lambda m: _rounded(analysis.feature_comparison(m, m.scale("nearest", _W2, _W2)), 5), _Q["feature_comparison"][1].replace(_COMPARED, _COMPARED_WHOLE))
+_sq("feature_score", lambda m: _rounded(analysis.feature_score(m, m.scale("nearest", _W2, _W2)), 5), _Q["feature_score"][1].replace(_COMPARED, _COMPARED_WHOLE))
+_sq("pattern_intersection", analysis.pattern_intersection)
+_sq("pattern_union", analysis.pattern_union)
+_sq("value_asymmetry", analysis.value_asymmetry)
+_sq("diagonal_counts", lambda m: m.df.groupBy((F.col("col") - F.col("row")).alias("diagonal")).agg(F.count(F.lit(1)).alias("nnz")))
+_sp("tile_keys", lambda m: m.df.select(F.expr(f"(row div 4) * {NARROW // 4} + col div 4").alias("tile"), "row").groupBy("tile").agg(F.count(F.lit(1)).alias("nnz")), _32=NARROW // 4)
+_sp("row_slice", lambda m: m.row_slice(17))
+_sp("is_binary", lambda m: validate.binary_sample(m.with_df(m.df.withColumn("value", F.lit(1.0)))).union(validate.binary_sample(m)))
+_sp("row_nnz", convert.row_counts)
+_sp("row_ptr", convert.row_ptr, _256=WIDE)
+_sp("csr_nested", lambda m: convert.to_csr(m).select("row", F.size("cols").cast("long").alias("n"), F.array_join(F.col("cols").cast("array<string>"), ",").alias("cols"), F.aggregate("vals", F.lit(0.0), lambda a, x: a + x).alias("total")))
+_sp("intra_row_rank", lambda m: convert.row_ranks(m).select("row", "col", "rank"))
+_sp("transpose", lambda m: _entries(m.transposed()))
+_sp("range_partition_counts", lambda m: convert.row_owners(m, 7), _36=WIDE // 7)
+_sp("nearest_nonsquare", lambda m: _entries(m.scale("nearest", _W2, _W2)), _nearest_sql(_SPARSE_WHOLE, (WIDE, NARROW), (_W2, _W2)))
+_sp("bilinear_nonsquare", lambda m: _entries(m.scale("bilinear", _W2, _W2)), _bilinear_sql(_SPARSE_WHOLE, (WIDE, NARROW), (_W2, _W2)))
+_sp("matrix_stats", lambda m: _rounded(analysis.matrix_stats(m)), _32768=WIDE * NARROW)
+_sp("density_heatmap", lambda m: analysis.density_heatmap(m, 16), _256=WIDE, _128=NARROW)
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: q for k, (q, _) in _Q.items()}
 ORACLE_SQL: dict[str, str] = {k: sql for k, (_, sql) in _Q.items() if sql}
