@@ -3,8 +3,10 @@
 Vectors that are equal number by number are one class. Each half of the normalised vectors has a codebook (k-means on
 at most SAMPLE classes); a pair of codes is a cell of the product grid, and every class is in the index. A class visits
 cells by the multi-sequence algorithm (a heap over the two sorted distance lists), nearest first; how many is fitted
-once: PROBES classes, chosen by hash, are compared with all classes by brute force, and the visits stop where TARGET of
-their links are reached. Candidates are verified by cosine in double precision.
+once: PROBES classes, chosen by hash, are compared with all classes by brute force, MOST_PROBES if fewer than LINKED of
+them have links, and the visits stop where TARGET of their links are reached. Where links are still too few to tell,
+the visits also reach TARGET of COPIES perturbed copies of each of PROBES classes, made at the least cosine that links.
+Candidates are verified by cosine in double precision.
 
 Cells and visits travel in blocks of at most BLOCK rows; blocks of a cell meet by an equi-join whose hot cells adaptive
 execution can split. A block pair gives link counts and a spanning forest of its links, never pairs, so a dense group
@@ -17,20 +19,26 @@ one component; an empty table gives an empty result; the label and other columns
 
 from __future__ import annotations
 
+import logging
 import math
+from collections import Counter
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, pick, share
+from .common import discard, materialize, pick, share
 from .components import connected_components
 
+log = logging.getLogger(__name__)
+
 LEAST = 0.95
 SAMPLE, PROBES, TARGET = 16_384, 256, 0.9999
+MOST_PROBES, LINKED, COPIES = 2048, 64, 8
 #: Classes that share a cell on average; the codebooks grow with the root of the classes.
 PER_CELL, MOST_CODES, KMEANS_ROUNDS = 48, 1024, 8
 BLOCK = 256
@@ -113,6 +121,71 @@ def forest(links: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple
     return sorted(pairs)
 
 
+def _ranks(index: MultiIndex, d1: np.ndarray, d2: np.ndarray, partners: np.ndarray) -> np.ndarray:
+    """How many cells a row with these two distance lists visits until it reaches each partner's cell."""
+    e1, e2 = index.lists(partners)
+    cells, at = np.unique(index.cells(e1, e2), return_inverse=True)
+    wide = len(index.books[1])
+    cost = d1[cells // wide] + d2[cells % wide]
+    nearer = np.searchsorted(np.sort(d2), (cost[:, None] - d1[None, :]) + 1e-12 * cost[:, None], side="right")
+    return nearer.sum(1)[at]
+
+
+def _reach(ranks: np.ndarray, counts: np.ndarray) -> int:
+    """The least visits that reach TARGET of the counted ranks."""
+    order = np.argsort(ranks)
+    return int(ranks[order][np.searchsorted(np.cumsum(counts[order]), TARGET * counts.sum())])
+
+
+def copies_ranks(index: MultiIndex, rows: np.ndarray, least: float) -> np.ndarray:
+    """Ranks of COPIES copies of each row, turned in random directions to the cosine ``least``."""
+    rng, out = np.random.default_rng(7), []
+    d1, d2 = index.lists(rows)
+    for i, row in enumerate(rows):
+        turn = rng.normal(size=(COPIES, len(row)))
+        turn = unit(turn - (turn @ row)[:, None] * row)
+        out.append(_ranks(index, d1[i], d2[i], least * row + math.sqrt(max(0.0, 1 - least * least)) * turn))
+    return np.concatenate(out)
+
+
+def fit_visits(classes: DataFrame, n_classes: int, index: Broadcast, least: float) -> int:
+    """How far to go: brute force for the probes, against all classes, and copies where too few probes have links."""
+    spark = classes.sparkSession
+    for most in (PROBES, MOST_PROBES):
+        rows = classes.orderBy(F.xxhash64("cid", F.lit(5)), "cid").limit(most).select("cid", "v").collect()
+        probes = spark.sparkContext.broadcast((np.array([r["cid"] for r in rows]), unit(np.array([r["v"] for r in rows]))))
+
+        def ranks(batches: Iterator[pa.RecordBatch], probes: Broadcast = probes) -> Iterator[pa.RecordBatch]:
+            ids, q = probes.value
+            d1, d2 = index.value.lists(q)
+            found: Counter = Counter()
+            for batch in batches:
+                for at in range(0, batch.num_rows, 1024):
+                    part = batch.slice(at, 1024)
+                    cid, v = part.column("cid").to_numpy(), unit(_matrix(part.column("v")))
+                    links = (q @ v.T >= least) & (ids[:, None] != cid[None, :])
+                    for i in np.flatnonzero(links.any(1)).tolist():
+                        found.update((i, r) for r in _ranks(index.value, d1[i], d2[i], v[links[i]]).tolist())
+            keys = list(found)
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in keys], pa.int64()), pa.array([r for _, r in keys], pa.int64()), pa.array([found[k] for k in keys], pa.int64())], ["probe", "rank", "n"])
+
+        seen = materialize(spark, classes.select("cid", "v").mapInArrow(ranks, "probe long, rank long, n long"), "imi-ranks")
+        linked = seen.select("probe").distinct().count()
+        if linked >= LINKED or len(rows) >= n_classes:
+            break
+    found = seen.groupBy("rank").agg(F.sum("n").alias("n")).collect()
+    discard(spark, seen)
+    visits = 2
+    if found:
+        visits = max(visits, _reach(np.array([r["rank"] for r in found]), np.array([r["n"] for r in found])))
+    if linked < LINKED and len(rows) < n_classes:
+        apart = copies_ranks(index.value, probes.value[1][:PROBES], least)
+        visits = max(visits, _reach(apart, np.ones(len(apart), np.int64)))
+    visits += -(-visits // 2)  # half as many again, for what the probes did not show
+    log.info("%d of %d classes probed, %d with links; %d cells visited", len(rows), n_classes, linked, visits)
+    return visits
+
+
 def class_links(classes: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     """From classes (cid, n, v): (cid, links to vectors of other classes) and edges (a, b) of a spanning forest."""
     spark = classes.sparkSession
@@ -122,34 +195,7 @@ def class_links(classes: DataFrame, least: float) -> tuple[DataFrame, DataFrame]
         sample = classes.select("cid", "v").orderBy("cid").limit(SAMPLE).collect()
     k = min(MOST_CODES, max(1, math.ceil(math.sqrt(n_classes / PER_CELL))))
     index = spark.sparkContext.broadcast(MultiIndex(unit(np.array([r["v"] for r in sample])), k))  # 2 x MOST_CODES half vectors at most
-    # How far to go: brute force for the probes, against all classes.
-    probe_rows = classes.orderBy(F.xxhash64("cid", F.lit(5)), "cid").limit(PROBES).collect()
-    probes = spark.sparkContext.broadcast(([r["cid"] for r in probe_rows], np.array([r["v"] for r in probe_rows])))
-
-    def ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = np.array(probes.value[0]), unit(probes.value[1])
-        d1, d2 = index.value.lists(q)
-        found = np.zeros(0, np.int64)
-        for batch in batches:
-            cid, rows = batch.column("cid").to_numpy(), unit(_matrix(batch.column("v")))
-            hit, at = np.nonzero((q @ rows.T >= least) & (ids[:, None] != cid[None, :]))
-            if len(hit):
-                e1, e2 = index.value.lists(rows[at])
-                cost = d1[hit, e1.argmin(1)] + d2[hit, e2.argmin(1)]
-                for i in np.unique(hit):
-                    grid = np.sort((d1[i][:, None] + d2[i][None, :]).ravel())
-                    found = np.concatenate([found, np.searchsorted(grid, cost[hit == i], side="right")])
-        rank, n = np.unique(found, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(rank, pa.int64()), pa.array(n, pa.int64())], ["rank", "n"])
-
-    seen = classes.select("cid", "v").mapInArrow(ranks, "rank long, n long").groupBy("rank").agg(F.sum("n").alias("n")).orderBy("rank").collect()
-    total, reached, visits = sum(r["n"] for r in seen), 0, 2
-    for r in seen:
-        reached += r["n"]
-        if reached >= TARGET * total:
-            visits = max(2, r["rank"])
-            break
-    visits += -(-visits // 2)  # half as many again, for what the probes did not show
+    visits = fit_visits(classes, n_classes, index, least)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,7 +239,7 @@ def class_links(classes: DataFrame, least: float) -> tuple[DataFrame, DataFrame]
                 some = sums > 0
                 yield pa.RecordBatch.from_arrays([pa.array([*ids[some].tolist(), *(a for a, _ in pairs)], pa.int64()), pa.array([*sums[some].tolist(), *[0] * len(pairs)], pa.int64()), pa.array([*[None] * int(some.sum()), *(b for _, b in pairs)], pa.int64())], ["cid", "links", "other"])
 
-    found = materialize(spark, calls.join(held, "cell").select("held", "calls").mapInArrow(verify, "cid long, links long, other long"), "imi-links")
+    found = materialize(spark, calls.join(held.hint("merge"), "cell").select("held", "calls").mapInArrow(verify, "cid long, links long, other long"), "imi-links")
     counts = found.filter("other is null").groupBy("cid").agg(F.sum("links").alias("links"))
     return counts, found.filter("other is not null").select(F.col("cid").alias("a"), F.col("other").alias("b"))
 

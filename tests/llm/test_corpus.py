@@ -278,3 +278,15 @@ def test_pipeline(spark):
         assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
     assert found.keys() == counts.keys()
     assert sum(found[i] != counts[i] for i in found) <= len({r["source"] for r in docs.select("source").distinct().collect()})
+
+
+def test_vectors_where_links_are_rare(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "PER_CELL", 16)  # as many cells as a large input has
+    rng = np.random.default_rng(4)
+    x = embedding_dedup.unit(rng.normal(size=(6000, 32)))
+    turn = rng.normal(size=(60, 32))
+    turn = embedding_dedup.unit(turn - (turn * x[:60]).sum(1)[:, None] * x[:60])
+    x = np.concatenate([x, 0.955 * x[:60] + np.sqrt(1 - 0.955**2) * turn])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    found = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_vectors(df).filter("n_links > 0").collect()}
+    assert sum(found.get(i, 0) > 0 for i in range(60)) >= 59
