@@ -12,9 +12,9 @@ Cells and visits travel in blocks of at most BLOCK rows; blocks of a cell meet b
 execution can split. A block pair gives link counts and a spanning forest of its links, never pairs, so a dense group
 costs no more rows than it has members.
 
-Defined results: a vector that is null, zero, holds a null or non-finite number, or has another length than most
-(ties: the longer) links with nothing; copies link with each other; rows that repeat an id are rows of their own with
-one component; an empty table gives an empty result; the label and other columns are not read.
+Defined results: a vector that is null, zero, or holds a null or non-finite number links with nothing; vectors of each
+length that occurs are compared among themselves, with one index a length (vectors of one component link by sign, without
+an index); copies link with each other; rows that repeat an id are rows of their own with one component; an empty table gives an empty result; the label and other columns are not read.
 """
 
 from __future__ import annotations
@@ -244,23 +244,32 @@ def class_links(classes: DataFrame, least: float) -> tuple[DataFrame, DataFrame]
     return counts, found.filter("other is not null").select(F.col("cid").alias("a"), F.col("other").alias("b"))
 
 
+def sign_links(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As ``class_links`` for vectors of one component: the cosine is 1 where signs are equal and -1 elsewhere."""
+    signed = classes.select("cid", "n", (F.col("v")[0] > 0).alias("up"))
+    sides = signed.groupBy("up").agg(F.sum("n").alias("all"), F.min("cid").alias("b"))
+    met = signed.join(F.broadcast(sides), "up")
+    return met.select("cid", (F.col("all") - F.col("n")).alias("links")), met.filter("cid <> b").select(F.col("cid").alias("a"), "b")
+
+
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", least: float = LEAST) -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id, kept."""
     spark = vectors.sparkSession
     raw = pick(vectors, vec_id=F.col(f"`{id_col}`").cast("long"), v=F.col(f"`{vec_col}`").cast("array<float>"))
-    sound = F.expr("v is not null and size(v) > 1 and not exists(v, x -> x is null or isnan(x) or abs(x) = float('inf')) and exists(v, x -> x <> 0)")
+    sound = F.expr("v is not null and not exists(v, x -> x is null or isnan(x) or abs(x) = float('inf')) and exists(v, x -> x <> 0)")
     rows = materialize(spark, raw.withColumn("sound", F.coalesce(sound, F.lit(False)) & F.col("vec_id").isNotNull()), "vectors")
-    length = rows.filter("sound").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    usable = rows.filter(F.col("sound") & (F.size("v") == (length["d"] if length else 0)))
+    usable = rows.filter("sound")
     classes = usable.groupBy("v").agg(F.min("vec_id").alias("cid"), F.count(F.lit(1)).alias("n"))
-    classes = materialize(spark, classes.select("cid", "n", "v"), "vector-classes")
-    if not length:
-        out = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-        return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
-    counts, edges = class_links(classes, least)
+    classes = materialize(spark, classes.select("cid", "n", "v", F.size("v").alias("d")), "vector-classes")
+    counts = spark.createDataFrame([], "cid long, links long, d int")
+    edges = spark.createDataFrame([], "a long, b long")
+    for r in classes.groupBy("d").count().filter("count > 1").orderBy("d").collect():
+        some = classes.filter(F.col("d") == r["d"]).select("cid", "n", "v")
+        links, pairs = class_links(some, least) if r["d"] > 1 else sign_links(some)
+        counts, edges = counts.unionByName(links.withColumn("d", F.lit(r["d"]))), edges.unionByName(pairs)
     groups = connected_components(edges)
-    facts = classes.join(counts, "cid", "left").join(groups.withColumnRenamed("node", "cid"), "cid", "left")
+    facts = classes.join(counts, ["cid", "d"], "left").join(groups.withColumnRenamed("node", "cid"), "cid", "left")
     facts = facts.select(F.col("v"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "cid").alias("component_id"))
     joined = usable.join(facts, "v").select("vec_id", "n_links", "component_id")
-    rest = rows.filter(~(F.col("sound") & (F.size("v") == length["d"]))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    rest = rows.filter("not sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return joined.unionByName(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

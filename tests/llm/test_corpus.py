@@ -290,3 +290,13 @@ def test_vectors_where_links_are_rare(spark, monkeypatch):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
     found = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_vectors(df).filter("n_links > 0").collect()}
     assert sum(found.get(i, 0) > 0 for i in range(60)) >= 59
+
+
+def test_vectors_of_each_length_link(spark):
+    rows = [(i, [1.0 + i, 2.0, 3.0]) for i in (0, 9)] + [(20, [5.0, 0.1]), (21, [5.0, 0.2]), (22, [0.1, 5.0]), (30, [2.0]), (31, [3.0]), (32, [-1.0]), (33, [2.0])]
+    rows += [(40 + i, [1.0, 2.0, 3.0, 4.0 + i / 10]) for i in range(5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_vectors(df).collect()}
+    assert [found[i] for i in (0, 9, 20, 21, 22)] == [(0, 0), (0, 9), (1, 20), (1, 20), (0, 22)]
+    assert [found[i] for i in (30, 31, 32, 33)] == [(2, 30), (2, 30), (0, 32), (2, 30)]
+    assert all(found[40 + i] == (4, 40) for i in range(5))
