@@ -39,4 +39,6 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             current = step
             if done:
                 break
+        else:
+            raise RuntimeError(f"connected components are not done after {rounds} rounds")
     return current.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from latticework.llm import bpe, byte_codec, embedding_dedup, exact_dedup, language_id, mixing, ngram_join, queries, secrets_scan, token_counts, token_store, toxicity
+from latticework.llm.components import connected_components
 from latticework.llm.common import crc_mod
 
 from ..conftest import SF_DIR, same_rows
@@ -302,3 +303,10 @@ def test_vectors_of_each_length_link(spark):
     assert [found[i] for i in (0, 9, 20, 21, 22)] == [(0, 0), (0, 9), (1, 20), (1, 20), (0, 22)]
     assert [found[i] for i in (30, 31, 32, 33)] == [(2, 30), (2, 30), (0, 32), (2, 30)]
     assert all(found[40 + i] == (4, 40) for i in range(5))
+
+
+def test_components_that_are_not_done_are_an_error(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(64)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        connected_components(path, rounds=1)
+    assert {r["component"] for r in connected_components(path).collect()} == {0}
