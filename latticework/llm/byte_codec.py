@@ -2,7 +2,7 @@
 
 Tier one: a minimal perfect hash (hash and displace) over the vocabulary resolves a pre-token that is a token
 itself; the key stored at its place confirms the match. Tier two: a heap over linked bytes merges the misses.
-The table is built once by the driver and broadcast; its size is that of the vocabulary file. Each task keeps a
+The table is built once by the driver and broadcast; its size is that of the vocabulary file. Each worker keeps a
 bounded memo of pre-tokens. Nothing is shuffled.
 
 Defined results: a null or empty text gives no ids, the digest of nothing and an empty decoded text; the decoded
@@ -12,6 +12,7 @@ are not read.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import struct
 from collections.abc import Iterator
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from .bpe import Memo, Splitter, heap_encode, read_ranks, split_pattern
-from .common import pick
+from .common import by_bytes, per_worker, pick
 
 _MIX, _WORD = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
@@ -75,6 +76,11 @@ class PerfectHash:
         return self.ranks[s] if self.keys[s] == key else None
 
 
+@functools.lru_cache(1)
+def perfect_hash(vocabulary: str) -> PerfectHash:
+    return PerfectHash(read_ranks(public_tokenizers.path(vocabulary)))
+
+
 class ByteCodec:
     def __init__(self, table: PerfectHash):
         self.table = table
@@ -99,14 +105,13 @@ class ByteCodec:
 
 def byte_encode(docs: DataFrame, vocabulary: str = "byte_bpe_multi_50k.tiktoken", id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, ids_sha256, decoded_sha256, and with ``with_ids`` also ids (binary, unsigned 32-bit) and decoded (binary)."""
-    shared = docs.sparkSession.sparkContext.broadcast(PerfectHash(read_ranks(public_tokenizers.path(vocabulary))))
+    shared = docs.sparkSession.sparkContext.broadcast(perfect_hash(vocabulary))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = None
         for batch in batches:
-            codec = codec or ByteCodec(shared.value)
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            codec = codec or per_worker("codec", vocabulary, lambda: ByteCodec(shared.value))
+            for part in by_bytes(batch, "text", 1 << 20):
                 ids = [codec.encode(t.as_py() or "") for t in part.column("text")]
                 back = [codec.decode(x) for x in ids]
                 cols = [part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(x).hexdigest() for x in back])]
@@ -120,12 +125,12 @@ def byte_encode(docs: DataFrame, vocabulary: str = "byte_bpe_multi_50k.tiktoken"
 
 def byte_decode(encoded: DataFrame, vocabulary: str = "byte_bpe_multi_50k.tiktoken", id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """doc_id and text for rows that hold ids as little-endian unsigned 32-bit integers; null ids decode to an empty text."""
-    shared = encoded.sparkSession.sparkContext.broadcast(PerfectHash(read_ranks(public_tokenizers.path(vocabulary))))
+    shared = encoded.sparkSession.sparkContext.broadcast(perfect_hash(vocabulary))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = None
         for batch in batches:
-            codec = codec or ByteCodec(shared.value)
+            codec = codec or per_worker("codec", vocabulary, lambda: ByteCodec(shared.value))
             texts = [codec.decode(x.as_py() or b"").decode("utf-8", "replace") for x in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 

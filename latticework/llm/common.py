@@ -1,11 +1,14 @@
-"""Shared pieces: scratch tables in the cluster's shared folder, column hygiene, sampling by hash."""
+"""Shared pieces: scratch tables in the cluster's shared folder, column hygiene, sampling by hash, filters, worker state."""
 
 from __future__ import annotations
 
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable, Iterator
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +18,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below spark.checkpoint.dir; a folder of our own only where the session names none."""
+    """A fresh path below spark.checkpoint.dir; a folder of our own only where a local session names none."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that the cluster shares")
         base = os.path.join(tempfile.gettempdir(), f"latticework-{spark.sparkContext.applicationId}")
     return f"{base.rstrip('/')}/latticework/{name}-{uuid.uuid4().hex}"
 
@@ -55,8 +60,31 @@ def share(column: Column, seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(column, F.lit(seed)), 11) / F.lit(float(1 << 53))
 
 
-#: log2 of the bits in a probe filter. 2**23 bits are 256 pieces of 4 KB: what is broadcast never exceeds 1 MB.
-FILTER_BITS = 23
+def by_bytes(batch, column: str, most: int = 4 << 20) -> Iterator:
+    """Slices of an Arrow batch whose texts hold about ``most`` bytes together; a longer text stands alone."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(sizes.astype(np.int64)), 0
+    while at < len(ends):
+        before = int(ends[at - 1]) if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
+_HELD: dict[str, tuple[Hashable, object]] = {}
+
+
+def per_worker(kind: str, key: Hashable, make: Callable[[], object]):
+    """What ``make()`` gives, kept by a Python worker from task to task; one value of a kind at a time."""
+    held = _HELD.get(kind)
+    if held is None or held[0] != key:
+        _HELD[kind] = held = (key, make())
+    return held[1]
+
+
+#: log2 of the bits in a filter: least and greatest. 2**27 bits are 4 096 pieces of 4 KB: what is broadcast never exceeds 16 MB.
+#: A filter has 16 bits a key; beyond some 100 M keys more and more rows count as hits, which costs a shuffle of them, not results.
+FEWEST_BITS, MOST_BITS, KEY_BITS = 23, 27, 4
 _PIECE = 1 << 15
 
 
@@ -64,15 +92,19 @@ def _slot(key: str, bits: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(1 << bits))
 
 
-def bit_filter(keys: DataFrame, key: str, bits: int = FILTER_BITS) -> DataFrame:
-    """A bitmap of hashed keys with a fixed size, in pieces: (piece, bits)."""
+def bit_filter(keys: DataFrame, key: str) -> DataFrame:
+    """A bitmap of hashed keys, in pieces that each stand for a range of the hash: (piece, bits). Its size follows the number of keys."""
+    bits = min(MOST_BITS, max(FEWEST_BITS, keys.count().bit_length() + KEY_BITS))
     slots = keys.select(_slot(key, bits).alias("slot"))
     made = slots.groupBy(F.floor(F.col("slot") / _PIECE).alias("piece")).agg(F.expr(f"bitmap_construct_agg(slot % {_PIECE})").alias("bits"))
-    return materialize(keys.sparkSession, made.coalesce(1), "filter")
+    out = materialize(keys.sparkSession, made.coalesce(1), "filter")
+    out._lw_bits = bits
+    return out
 
 
-def probe(df: DataFrame, filt: DataFrame, key: str, bits: int = FILTER_BITS) -> DataFrame:
+def probe(df: DataFrame, filt: DataFrame, key: str) -> DataFrame:
     """``df`` with ``hit``: false if the key is certainly not in the filter. A false positive costs time, not results."""
+    bits = filt._lw_bits
     at = F.col("lw_slot") % _PIECE
     byte = F.conv(F.hex(F.substring("bits", (at / 8).cast("int") + 1, 1)), 16, 10).cast("int")
     mask = F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), (at % 8).cast("int") + 1)

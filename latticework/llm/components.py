@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,16 +23,18 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """From edges (a, b) of long ids: (node, component), the least id that can be reached; nodes without edges do not appear.
 
+    Goes on until only stars are left, however many rounds that takes; with ``rounds``, not being done by then is an error.
+
     Every step writes its edges to the shared folder. A hot node's rows are pre-aggregated for the minimum, and the
     join that follows is one that adaptive execution can split.
     """
     spark = edges.sparkSession
     current = materialize(spark, edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
     if current.take(1):
-        for _ in range(rounds):
+        for _ in itertools.count() if rounds is None else range(rounds):
             step = materialize(spark, _small_star(_large_star(current)), "cc")
             # Stars only: no centre is a leaf, and each leaf has one centre.
             facts = step.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("a").alias("leaves")).first()

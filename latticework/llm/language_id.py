@@ -1,33 +1,37 @@
 """Language identification by segmentation-marginalised unigrams.
 
-The pieces are those of a fixed public vocabulary: its entries that are letters only, up to MAX_PIECE of them, in
-lower case, and every single letter. Each language has a probability for each piece, fitted by expectation-maximisation
-over all segmentations of the words of a bounded sample: SAMPLE_DOCS documents a language, by hash of the id, and of
-their words the SAMPLE_WORDS (language, word) pairs that are most frequent. A word's probability in a language sums all
-its segmentations (forward algorithm); a document's score multiplies its words' and the languages share one posterior.
-
-Scoring is a scan without shuffle; each task keeps a bounded memo of words. Words of more than CHUNK letters are summed
-in pieces of that length. Defined results: a null text, or one without letters, is ``und`` with score 0; with no
-language to learn every text is ``und``; ties go to the first language by code point; rows that repeat are scored
+The pieces are those of a fixed public vocabulary: all its entries that are letters only, in lower case, and every single
+letter. Each language has a probability for each piece, fitted by expectation-maximisation over all segmentations of the
+words of a bounded sample: SAMPLE_DOCS documents a language, by hash of the id, and of their words up to FIT_LETTERS letters
+the SAMPLE_WORDS most frequent of each language. A word's probability in a language sums all its segmentations (forward
+algorithm, rescaled as it goes, so words of any length keep their sums); a document's score multiplies its words' and the
+languages share one posterior.
+
+Scoring is a scan without shuffle; each worker keeps a bounded memo of words. The model has a column for each language of the
+labels, a set that does not grow with the rows. Defined results: a null text, or one without letters, is ``und`` with score 0;
+with no language to learn every text is ``und``; ties go to the first language by code point; rows that repeat are scored
 each; other columns are never inputs.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import MEMO_ENTRIES
-from .common import pick, share
+from .bpe import MEMO_ENTRIES, MEMO_LENGTH
+from .common import by_bytes, per_worker, pick, share
 
-MAX_PIECE, CHUNK = 6, 48
-SAMPLE_DOCS, SAMPLE_WORDS = 600, 160_000
+#: Bounds of what the model is fitted on; scoring has none.
+SAMPLE_DOCS, SAMPLE_WORDS, FIT_LETTERS = 600, 40_000, 48
+#: Letters of words that are summed side by side.
+BATCH_LETTERS = 1 << 16
 ROUNDS, SMOOTH = 3, 0.05
 UNKNOWN = 1e-7  # a single letter that no language has learned
 _LETTERS = regex.compile(r"\p{L}+")
@@ -39,7 +43,7 @@ def vocabulary_pieces(name: str = "piece_bpe_32k.model") -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(name))
     pieces = (model.id_to_piece(i).lstrip("▁").lower() for i in range(model.get_piece_size()))
-    return list(dict.fromkeys(p for p in pieces if 0 < len(p) <= MAX_PIECE and _LETTERS.fullmatch(p)))
+    return list(dict.fromkeys(p for p in pieces if _LETTERS.fullmatch(p)))
 
 
 class Pieces:
@@ -49,6 +53,7 @@ class Pieces:
 
     def __init__(self, pieces: list[str]):
         self.unknown, self.none = len(pieces), len(pieces) + 1
+        self.longest = max(map(len, pieces), default=1)
         with np.errstate(over="ignore"):
             keys = np.array([self._key(p) for p in pieces], np.uint64)
         self.order = np.argsort(keys)
@@ -89,19 +94,54 @@ def _code_matrix(words: list[str]) -> np.ndarray:
     return np.array(words, dtype=f"<U{wide}").view("<u4").reshape(len(words), wide).astype(np.uint64)
 
 
+def _steps(pieces: Pieces, codes: np.ndarray) -> list[list[tuple[int, np.ndarray, np.ndarray]]]:
+    """For each end position: (size, the words that have a piece of that size there, the pieces' numbers)."""
+    wide = codes.shape[1]
+    out: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[] for _ in range(wide + 1)]
+    for size in range(1, min(pieces.longest, wide) + 1):
+        numbers = pieces.numbers(codes, size)
+        at, word = np.nonzero((numbers != pieces.none).T)
+        edges = np.searchsorted(at, np.arange(wide - size + 2))
+        for k in range(wide - size + 1):
+            if edges[k] < edges[k + 1]:
+                rows = word[edges[k] : edges[k + 1]]
+                out[k + size].append((size, rows, numbers[rows, k]))
+    return out
+
+
 def forward(pieces: Pieces, probs: np.ndarray, words: list[str], edges: bool = False):
-    """log probability of each word in each language (rows by columns); with ``edges`` also alphas and piece numbers."""
+    """log probability of each word in each language (rows by columns); with ``edges`` also alphas and the steps.
+
+    Without ``edges`` the last alphas are scaled up together whenever they get small, so nothing underflows.
+    """
     codes = _code_matrix(words)
     n, wide = codes.shape
-    numbers = [pieces.numbers(codes, size) for size in range(1, min(MAX_PIECE, wide) + 1)]
-    alpha = np.zeros((wide + 1, n, probs.shape[1]))
-    alpha[0] = 1.0
-    for k in range(1, wide + 1):
-        for size in range(1, min(MAX_PIECE, k) + 1):
-            alpha[k] += alpha[k - size] * probs[numbers[size - 1][:, k - size]]
     lengths = np.fromiter(map(len, words), np.int64, n)
-    ends = alpha[lengths, np.arange(n)]
-    return (ends, lengths, alpha, numbers) if edges else np.log(np.maximum(ends, 1e-300))
+    steps = _steps(pieces, codes)
+    if edges:
+        alpha = np.zeros((wide + 1, n, probs.shape[1]))
+        alpha[0] = 1.0
+        for k in range(1, wide + 1):
+            for size, rows, ids in steps[k]:
+                alpha[k][rows] += alpha[k - size][rows] * probs[ids]
+        return alpha[lengths, np.arange(n)], lengths, alpha, steps
+    keep = pieces.longest + 1
+    last = np.zeros((keep, n, probs.shape[1]))  # alphas of the last positions, in a ring
+    last[0] = 1.0
+    scale, out = np.zeros((n, probs.shape[1])), np.zeros((n, probs.shape[1]))
+    for k in range(1, wide + 1):
+        now = last[k % keep]
+        now[:] = 0.0
+        for size, rows, ids in steps[k]:
+            now[rows] += last[(k - size) % keep][rows] * probs[ids]
+        ends = lengths == k
+        out[ends] = np.log(np.maximum(now[ends], 1e-300)) + scale[ends]
+        top = last.max(0)
+        if top.min() < 1e-100:
+            factor = np.where(top < 1e-100, 1 / np.maximum(top, 1e-290), 1.0)
+            last *= factor
+            scale -= np.log(factor)
+    return out
 
 
 def expected(pieces: Pieces, probs: np.ndarray, words: list[str], weights: np.ndarray) -> np.ndarray:
@@ -109,16 +149,15 @@ def expected(pieces: Pieces, probs: np.ndarray, words: list[str], weights: np.nd
     total = np.zeros_like(probs)
     for at in range(0, len(words), 4096):
         part, w = words[at : at + 4096], weights[at : at + 4096]
-        ends, lengths, alpha, numbers = forward(pieces, probs, part, edges=True)
+        ends, lengths, alpha, steps = forward(pieces, probs, part, edges=True)
         n, wide = len(part), alpha.shape[0] - 1
         beta = np.zeros_like(alpha)
         beta[lengths, np.arange(n)] = w / np.maximum(ends, 1e-300)
-        for k in range(wide - 1, -1, -1):
-            for size in range(1, min(MAX_PIECE, wide - k) + 1):
-                ids = numbers[size - 1][:, k]
-                gain = probs[ids] * beta[k + size]
-                beta[k] += gain
-                gain *= alpha[k]
+        for k in range(wide, 0, -1):  # beta at k is whole when its turn comes: pieces that begin there end further on
+            for size, rows, ids in steps[k]:
+                gain = probs[ids] * beta[k][rows]
+                beta[k - size][rows] += gain
+                gain *= alpha[k - size][rows]
                 for lang in range(probs.shape[1]):
                     total[:, lang] += np.bincount(ids, gain[:, lang], minlength=len(total))
     return total
@@ -126,10 +165,10 @@ def expected(pieces: Pieces, probs: np.ndarray, words: list[str], weights: np.nd
 
 class LanguageModel:
     def __init__(self, languages: list[str], pieces: list[str], probs: np.ndarray):
-        self.languages, self.pieces, self.probs = languages, pieces, probs
+        self.languages, self.pieces, self.probs, self.key = languages, pieces, probs, uuid.uuid4().hex
 
-    def scorer(self):
-        return _Scorer(self)
+    def scorer(self) -> _Scorer:
+        return per_worker("language", self.key, lambda: _Scorer(self))
 
 
 class _Scorer:
@@ -140,6 +179,7 @@ class _Scorer:
     def _reset(self) -> None:
         self.ids: dict[str, int] = {}
         self.logs = np.zeros((1024, len(self.model.languages)))
+        self.bulky = 0  # letters of long words in the memo
 
     def _learn(self, words: set[str]) -> None:
         fresh = sorted(words - self.ids.keys(), key=len)
@@ -147,23 +187,24 @@ class _Scorer:
             more = np.zeros((2 * (len(self.ids) + len(fresh)), self.logs.shape[1]))
             more[: len(self.ids)] = self.logs[: len(self.ids)]
             self.logs = more
-        for at in range(0, len(fresh), 4096):
-            part = fresh[at : at + 4096]
+        while fresh:  # by length, as many as their letters allow: a word of a million letters stands alone
+            n = min(len(fresh), 4096)
+            while n > 1 and n * len(fresh[n - 1]) > BATCH_LETTERS:
+                n = n // 2
+            part, fresh = fresh[:n], fresh[n:]
             first = len(self.ids)
-            if len(part[-1]) <= CHUNK:
-                self.logs[first : first + len(part)] = forward(self.index, self.model.probs, part)
-            else:
-                for k, w in enumerate(part):
-                    self.logs[first + k] = forward(self.index, self.model.probs, [w[i : i + CHUNK] for i in range(0, len(w), CHUNK)]).sum(0)
-            self.ids.update(zip(part, range(first, first + len(part)), strict=True))
+            self.logs[first : first + n] = forward(self.index, self.model.probs, part)
+            self.ids.update(zip(part, range(first, first + n), strict=True))
 
     def score(self, texts: list[str | None]) -> list[tuple[str, float]]:
         if not self.model.languages:
             return [("und", 0.0)] * len(texts)
-        if len(self.ids) > MEMO_ENTRIES:
+        if len(self.ids) > MEMO_ENTRIES or self.bulky > MEMO_ENTRIES:
             self._reset()
         split = [_LETTERS.findall(t.lower()) if t else [] for t in texts]
-        self._learn({w for words in split for w in words})
+        every = set().union(*split)
+        self.bulky += sum(len(w) for w in every if len(w) > MEMO_LENGTH)
+        self._learn(every)
         out, get = [], self.ids.__getitem__
         for words in split:
             if not words:
@@ -179,17 +220,17 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     """Learn from rows of ``docs`` where ``train`` holds and the language is known."""
     rows = docs.filter(train & F.col(f"`{lang_col}`").isNotNull())
     rows = pick(rows, doc_id=id_col, text=text_col, lang=lang_col)
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1000).collect()  # languages, not rows
+    spark = docs.sparkSession
+    sizes = rows.groupBy("lang").count().orderBy("lang").collect()  # a row a language
     if not sizes:
         return LanguageModel([], [], np.zeros((0, 0)))
-    rate = F.lit(0.0)
-    for r in sizes:
-        rate = F.when(F.col("lang") == r["lang"], min(1.0, SAMPLE_DOCS / r["count"])).otherwise(rate)
-    words = rows.filter(share(F.col("doc_id"), 31) < rate).select("lang", F.explode(F.expr(r"regexp_extract_all(lower(text), '\\p{L}+', 0)")).alias("word"))
-    words = words.filter(F.length("word") <= CHUNK).groupBy("lang", "word").count().orderBy(F.desc("count"), "lang", "word").limit(SAMPLE_WORDS).collect()
-    languages = sorted({r["lang"] for r in words})
-    if not languages:
-        return LanguageModel([], [], np.zeros((0, 0)))
+    languages = [r["lang"] for r in sizes]
+    rates = spark.createDataFrame([(r["lang"], min(1.0, SAMPLE_DOCS / r["count"])) for r in sizes], "lang string, rate double")
+    some = rows.join(F.broadcast(rates), "lang").filter(share(F.col("doc_id"), 31) < F.col("rate"))
+    words = some.select("lang", F.explode(F.expr(r"regexp_extract_all(lower(text), '\\p{L}+', 0)")).alias("word"))
+    words = words.filter(F.length("word") <= FIT_LETTERS).groupBy("lang", "word").count()
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))
+    words = words.withColumn("nth", first).filter(F.col("nth") <= SAMPLE_WORDS).select("lang", "word", "count").collect()
     pieces = vocabulary_pieces(vocabulary)
     pieces += sorted({c for r in words for c in r["word"]} - set(pieces))
     index = Pieces(pieces)
@@ -221,9 +262,8 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
         scorer = None
         for batch in batches:
             scorer = scorer or shared.value.scorer()
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                found = scorer.score([t.as_py() for t in part.column("text")])
+            for part in by_bytes(batch, "text"):
+                found = scorer.score(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     rows = pick(docs, doc_id=id_col, text=text_col)
@@ -239,9 +279,8 @@ def keep_known(docs: DataFrame, model: LanguageModel, text_col: str = "text", le
         scorer = None
         for batch in batches:
             scorer = scorer or shared.value.scorer()
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                found = scorer.score([t.as_py() for t in part.column(at_text)])
+            for part in by_bytes(batch, text_col):
+                found = scorer.score(part.column(at_text).to_pylist())
                 yield part.filter(pa.array([lang != "und" and score >= least for lang, score in found]))
 
     return docs.mapInArrow(work, docs.schema)

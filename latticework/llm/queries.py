@@ -23,7 +23,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), crc_mod("doc_id", 3) != 1)
     scored = toxicity.toxic_spans(docs, model)
-    return scored.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
+    return scored.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), toxicity.joined_spans("spans").alias("spans"))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixing_counts(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mixing_counts(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,6 +91,25 @@ ORACLE_SQL: dict[str, str] = {
         r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
         SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(r.b) AS component_id FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN r ON r.a = w.doc_id GROUP BY 1, 2
     """,
+    "op6_source_mixing": rf"""
+        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':{mixing.SEED}'), 1, {mixing.PLACE_DIGITS}))::BIGINT AS place FROM documents),
+        p AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+        w AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS k, 2 * source_size AS cap FROM p),
+        x AS (SELECT *, CASE k % 3 WHEN 1 THEN 5 WHEN 2 THEN 2 ELSE 1 END AS weight FROM w),
+        f AS (SELECT *, ((sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+            / (sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level FROM x),
+        t AS (SELECT source, k, source_size, coalesce(least(cap::DOUBLE, weight * (SELECT arg_min(level, cap / weight) FROM f WHERE level <= cap / weight)), cap::DOUBLE) AS target FROM f),
+        h AS (SELECT *, sum(target) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING) AS hi FROM t),
+        g AS (SELECT max(hi) AS total, least(1024, greatest(1, floor(max(hi) / 1048576)))::BIGINT AS block FROM h),
+        e AS (SELECT k, floor((hi - target) / total * 2147483648)::BIGINT AS a, CASE WHEN hi >= total THEN 2147483648 ELSE floor(hi / total * 2147483648)::BIGINT END AS b FROM h, g WHERE target > 0),
+        s AS (SELECT slot, ((slot + 1) % 2147483648 * {mixing.GOLDEN}) % 2147483648 AS u FROM (SELECT unnest(range(0, ceil(total / block)::BIGINT)) AS slot FROM g)),
+        r AS (SELECT k, slot, row_number() OVER (PARTITION BY k ORDER BY slot) - 1 AS j FROM s JOIN e ON u >= a AND u < b),
+        n AS (SELECT k, count(*) AS blocks FROM r GROUP BY k),
+        o AS (SELECT d.doc_id, d.size, t.k, t.source_size, t.target, coalesce(sum(d.size) OVER (PARTITION BY t.k ORDER BY place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first
+            FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source)
+        SELECT o.doc_id, o.size, o.source_size, o.target, (greatest(0, least(first + size, coalesce(blocks, 0) * block) - first) + greatest(0, least(first + source_size + size, coalesce(blocks, 0) * block) - first - source_size))::BIGINT AS taken, coalesce(r.slot, -1) AS first_slot
+        FROM o CROSS JOIN g LEFT JOIN n ON n.k = o.k LEFT JOIN r ON r.k = o.k AND o.size > 0 AND r.j = o.first // g.block
+    """,
     "op5_embedding_dedup": r"""
         WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0),
         l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),

@@ -1,6 +1,6 @@
 """Token counts by heap-and-linked-list byte-pair merging: initial symbols less merges; no ids are made.
 
-Each task keeps a bounded memo from pre-token to count. Scan, count, emit: nothing is shuffled, and a lost task
+Each worker keeps a bounded memo from pre-token to count. Scan, count, emit: nothing is shuffled, and a lost task
 is run again on its own. Defined results: a null or empty text has 0 bytes and 0 tokens; a special string
 inside a text counts as one token, as the library's default has it; any length of text or pre-token is
 processed whole; rows that repeat are counted each; other columns are not read.
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Memo, PairRanks, Splitter, split_pattern, splitter
-from .common import pick
+from .common import per_worker, pick
 
 LIMIT = 512
 
@@ -51,7 +51,7 @@ def token_counts(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", id_col:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = None
         for batch in batches:
-            count = count or counter(shared.value)
+            count = count or per_worker("counts", vocabulary, lambda: counter(shared.value))
             text = pc.fill_null(batch.column("text"), "")
             found = [count(t.as_py()) for t in text]
             symbols, merged = pa.array([s for s, _ in found], pa.int64()), pa.array([m for _, m in found], pa.int64())

@@ -9,7 +9,7 @@ and the document score is the chance that one of its TOP likeliest words is toxi
 fitted to the sample's document labels.
 
 The chain is summed block by block (products of 2 x 2 matrices), so a very long text costs no more per word. Scoring is a
-scan without shuffle; each task keeps a bounded memo of words. Defined results: a null text, or one without words,
+scan without shuffle; each worker keeps a bounded memo of words. Defined results: a null text, or one without words,
 has score 0 and no spans; with no toxic or no clean document to learn from every score is 0; repeated labels of an
 id count as toxic if any is; rows that repeat are scored each; other columns are never inputs.
 """
@@ -17,6 +17,7 @@ id count as toxic if any is; rows that repeat are scored each; other columns are
 from __future__ import annotations
 
 import math
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import MEMO_ENTRIES
-from .common import pick, share
+from .common import by_bytes, per_worker, pick, share
 
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_POINTS = 2000, 4000, 12_000
 FIT_TOKENS, STEPS, RATE, DECAY = 300_000, 80, 0.7, 1e-6
@@ -123,7 +124,7 @@ class ToxicModel:
     """Emission weights over hashed features, a bias, and transition weights."""
 
     def __init__(self, weights: np.ndarray | None, bias: float, trans: np.ndarray):
-        self.weights, self.bias, self.trans, self.scale = weights, bias, trans, (1.0, 0.0)
+        self.weights, self.bias, self.trans, self.scale, self.key = weights, bias, trans, (1.0, 0.0), uuid.uuid4().hex
 
 
 def label_words(docs: list[list[str]], toxic: list[bool]) -> set[str]:
@@ -284,9 +285,8 @@ def toxic_spans(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text
         scorer = None
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
         for batch in batches:
-            scorer = scorer or _Scorer(shared.value)
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            scorer = scorer or per_worker("toxicity", shared.value.key, lambda: _Scorer(shared.value))
+            for part in by_bytes(batch, "text", 1 << 20):
                 texts = [t.as_py() or "" for t in part.column("text")]
                 split = [words_of(t) for t in texts]
                 if scorer.model.weights is None:
@@ -308,3 +308,8 @@ def toxic_spans(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text
 
     rows = pick(docs, doc_id=id_col, text=text_col)
     return rows.mapInArrow(work, f"doc_id {dict(rows.dtypes)['doc_id']}, score double, spans array<struct<start: long, end: long, p: double>>")
+
+
+def joined_spans(spans: str):
+    """The spans as start:end, comma-joined; code points, end exclusive."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")

@@ -197,7 +197,7 @@ def test_mixing(docs, none):
     assert sorted(map(str, mixing.mixing_counts(docs).collect())) == sorted(map(str, rows))
     assert mixing.mixing_counts(none).count() == 0
     assert mixing.mixed_documents(docs).columns == docs.columns
-    _, schedule = mixing.mixing_plan(docs)
+    schedule = mixing.schedule(mixing.mixing_plan(docs))
     slots = [r["source"] for r in schedule.groupBy("slot", "source").count().orderBy("slot").collect()]
     half = len(slots) // 2
     for k in order:  # low discrepancy: each half of the schedule holds its share
