@@ -1,13 +1,16 @@
 """Content-addressed store of token ids.
 
-Encoding: each task splits texts into pre-tokens, asks the tokenizer library for the ids of those its bounded
-memo lacks, and appends the end id to each document. Chunking: a rolling hash over the last ids of a document
+Encoding: each worker splits texts into pre-tokens, asks the tokenizer library for the ids of those its bounded
+memo lacks, and appends the end id to each document; texts that the split could see otherwise than the library, and
+vocabulary files of another build, go to the library whole. Chunking: a rolling hash over the last ids of a document
 cuts its stream, with a least and a greatest length. Files below ``path``: ``chunks`` (each distinct chunk once:
 SHA-256, ids as little-endian unsigned 32-bit integers), ``recipes`` (documents in ascending doc_id order: start,
-length, the chunks' digests and ends, the Merkle root over them) and ``manifest`` (roots over pieces of the
-recipes). Reading checks every chunk against its digest and every document against its root.
+length, the chunks' digests and ends, and the Merkle root of the document: a binary tree over the digests and the length)
+and ``manifest`` (a node for each piece of the recipes, from the roots of its documents, and the tree above them, level
+by level, up to one root). Reading checks every chunk against its digest, every document against its root and every node
+of the manifest against its children; a store that does not verify is an error.
 
-Payloads of chunks that occur once go to the store without a shuffle; a fixed-size filter picks the others,
+Payloads of chunks that occur once go to the store without a shuffle; a filter picks the others,
 which are dropped to one by digest after partial aggregation. Starts are prefix sums in two levels.
 
 Defined results: a null or empty text is the end id alone; null ids come first in order; rows that repeat are
@@ -17,6 +20,7 @@ documents of their own; whole texts of any length; an empty table writes empty f
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import unicodedata
 from collections.abc import Iterator
@@ -28,66 +32,127 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import MEMO_ENTRIES, MEMO_LENGTH, Splitter, splitter
-from .common import bit_filter, discard, materialize, pick, probe, scratch_path
+from .bpe import MEMO_ENTRIES, splitter
+from .common import bit_filter, by_bytes, discard, materialize, per_worker, pick, probe, scratch_path
 
 END_ID = 1
 #: Chunk lengths in ids: least, greatest, and one cut in 2**CUT_BITS places on average.
 LEAST, GREATEST, CUT_BITS, SPAN = 128, 4096, 9, 8
-#: Documents in a piece of the recipes; each piece has one line in the manifest.
-PIECE_DOCS = 1 << 14
-#: The vocabulary's own split: contractions, words, single digits, runs of other marks. Fixed value of its file.
-_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Documents in a piece of the recipes, each a leaf of the manifest; nodes of one level that share a parent.
+PIECE_DOCS, FAN_OUT = 1 << 14, 64
+#: Places in the memo's table of ids.
+_ROOM = 1 << 22
 
 
 class LibraryEncoder:
-    """Ids of whole texts, as the tokenizers library gives them, with a memo of pre-tokens."""
+    """Ids of whole texts, as the tokenizers library gives them, with a memo of pre-tokens where the file's build allows it."""
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        whole = Tokenizer.from_str(spec)
-        self.special = {t.content: i for i, t in whole.get_added_tokens_decoder().items()}
+        self.whole = Tokenizer.from_str(spec)
+        self.whole.no_padding()
+        self.whole.no_truncation()
+        data = json.loads(spec)
+        self.special = {t.content: i for i, t in self.whole.get_added_tokens_decoder().items()}
+        self.pattern = self._pattern(data)
+        if self.pattern is None:
+            return
         self.cut = splitter(list(self.special))
         # The same model for pre-tokens that are normalised and split already.
         self.pieces = Tokenizer.from_str(spec)
         self.pieces.normalizer = normalizers.Sequence([])
         self.pieces.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.split = Splitter(_WORDS)
-        self.memo: dict[str, bytes] = {}
+        self.alike: set[str] = set(map(chr, range(128)))
+        self.strange: set[str] = set()
+        self._reset()
+
+    def _reset(self) -> None:
+        self.places: dict[str, int] = {}
+        self.starts, self.sizes, self.ids, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, "<u4"), 0
+
+    @staticmethod
+    def _pattern(data: dict) -> regex.Pattern | None:
+        """The file's split, if it normalises by NFC and lower case with blanks as blanks, cuts by one pattern, drops what is between and goes on with bytes."""
+        steps = data.get("normalizer") or {}
+        kinds = [(n.get("type"), n.get("content")) for n in steps.get("normalizers", [])]
+        cuts = (data.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        plain = all(not t[k] for t in data.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized"))
+        if kinds != [("NFC", None), ("Replace", " "), ("Lowercase", None)] or steps["normalizers"][1]["pattern"] != {"Regex": r"\s+"} or not plain:
+            return None
+        if [c.get("type") for c in cuts] != ["Split", "ByteLevel"] or cuts[0]["behavior"] != "Removed" or not cuts[0]["invert"] or cuts[1]["use_regex"] or cuts[1]["add_prefix_space"]:
+            return None
+        return regex.compile(cuts[0]["pattern"]["Regex"])
 
     @staticmethod
     def normalise(text: str) -> str:
         """NFC, then lower case character by character (so no final sigma); white space falls away when splitting."""
         return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.memo) > MEMO_ENTRIES:
-            self.memo.clear()
-        parts = [[self.split(self.normalise(p)) if k % 2 == 0 else p for k, p in enumerate(self.cut(t))] for t in texts]
-        lacking = {w for doc in parts for p in doc if isinstance(p, list) for w in p}
-        lacking -= self.memo.keys()
-        long = []
-        fresh = list(lacking)
-        for at in range(0, len(fresh), 4096):
-            words = fresh[at : at + 4096]
-            for w, e in zip(words, self.pieces.encode_batch_fast(words, add_special_tokens=False), strict=True):
-                self.memo[w] = np.array(e.ids, "<u4").tobytes()
-                if len(w) > MEMO_LENGTH:
-                    long.append(w)
-        get = self.memo.__getitem__
-        out = [b"".join(b"".join(map(get, p)) if isinstance(p, list) else np.array([self.special[p]], "<u4").tobytes() for p in doc) for doc in parts]
-        for w in long:
-            del self.memo[w]
+    def _knows(self, text: str) -> bool:
+        """Whether Python's and the library's Unicode tables say the same of every character."""
+        if text.isascii() or self.alike.issuperset(text):
+            return True
+        for c in set(text) - self.alike - self.strange:
+            same = unicodedata.category(c) not in ("Cn", "Cs") and self.whole.normalizer.normalize_str(c) == (" " if c.isspace() else self.normalise(c))
+            words = self.pattern.findall(self.normalise(f"a{c}b{c}{c}"))
+            cut = [w for w, _ in self.whole.pre_tokenizer.pre_tokenize_str(self.whole.normalizer.normalize_str(f"a{c}b{c}{c}"))]
+            (self.alike if same and len(cut) == len(words) else self.strange).add(c)
+        return self.strange.isdisjoint(text)
+
+    def _learn(self, words: list[str]) -> None:
+        for at in range(0, len(words), 4096):
+            part = words[at : at + 4096]
+            found = [e.ids for e in self.pieces.encode_batch_fast(part, add_special_tokens=False)]
+            n, first, flat = len(part), len(self.places), [i for ids in found for i in ids]
+            while first + n > len(self.starts):
+                self.starts, self.sizes = np.concatenate([self.starts, self.starts]), np.concatenate([self.sizes, self.sizes])
+            while self.used + len(flat) > len(self.ids):
+                self.ids = np.concatenate([self.ids, self.ids])
+            sizes = np.fromiter(map(len, found), np.int64, n)
+            self.starts[first : first + n], self.sizes[first : first + n] = self.used + np.cumsum(sizes) - sizes, sizes
+            self.ids[self.used : self.used + len(flat)] = flat
+            self.used += len(flat)
+            self.places.update(zip(part, range(first, first + n), strict=True))
+
+    def _run(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts without special strings that hold known characters only."""
+        split = [self.pattern.findall(self.normalise(t)) for t in texts]
+        flat = [w for words in split for w in words]
+        places = list(map(self.places.get, flat))
+        if None in places:
+            self._learn(list(dict.fromkeys(w for w, p in zip(flat, places, strict=True) if p is None)))
+            places = list(map(self.places.__getitem__, flat))
+        at = np.array(places, np.int64)
+        sizes = self.sizes[at]
+        ends = np.cumsum(sizes)
+        ids = self.ids[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        edges = np.concatenate([[0], ends])[np.cumsum([0, *map(len, split)])]
+        return [ids[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if self.pattern is None:
+            return [np.array(e.ids, "<u4") for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+        if len(self.places) > MEMO_ENTRIES or self.used > _ROOM:
+            self._reset()
+        parts = [self.cut(t) if self._knows(t) else None for t in texts]
+        runs = iter(self._run([p for doc in parts if doc is not None for p in doc[::2]]))
+        out = []
+        for text, doc in zip(texts, parts, strict=True):
+            if doc is None:
+                out.append(np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4"))
+            else:
+                found = [next(runs) if k % 2 == 0 else np.array([self.special[p]], "<u4") for k, p in enumerate(doc)]
+                out.append(found[0] if len(found) == 1 else np.concatenate(found))
         return out
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one document's ids; a function of the ids near each cut, so equal passages cut alike."""
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Places after which a rolling hash over the last SPAN ids says cut; of one stream or of many end to end."""
     n = len(ids)
-    if n <= LEAST:
-        return [n]
+    if n < SPAN:
+        return np.zeros(0, np.int64)
     with np.errstate(over="ignore"):
         mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(29)
@@ -95,15 +160,20 @@ def cuts(ids: np.ndarray) -> list[int]:
         rolled = mixed[SPAN - 1 :].copy()
         for k in range(1, SPAN):
             rolled += mixed[SPAN - 1 - k : n - k] << np.uint64(k)
-    marks = np.flatnonzero(rolled >> np.uint64(64 - CUT_BITS) == 0) + SPAN
+    return np.flatnonzero(rolled >> np.uint64(64 - CUT_BITS) == 0) + SPAN
+
+
+def cuts(n: int, at: list[int]) -> list[int]:
+    """Ends of the chunks of a document of n ids with marks at the given places; a chunk has LEAST ids at least, so a mark
+    that counts hangs on the document's own ids alone, and equal passages cut alike."""
     out, last = [], 0
-    for at in marks.tolist():
-        while at - last > GREATEST:
+    for mark in at:
+        while mark - last > GREATEST:
             last += GREATEST
             out.append(last)
-        if at - last >= LEAST:
-            out.append(at)
-            last = at
+        if mark - last >= LEAST:
+            out.append(mark)
+            last = mark
     while n - last > GREATEST:
         last += GREATEST
         out.append(last)
@@ -116,30 +186,33 @@ def _stage(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     """doc_id, n_tokens, chunks: array of (digest, end, ids or null if this task has given them already)."""
     with open(public_tokenizers.path(vocabulary), encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file: a fixed 2 MB
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.uint32(end_id)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, given = None, set()
         for batch in batches:
-            encoder = encoder or LibraryEncoder(shared.value)
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
+            encoder = encoder or per_worker("encoder", vocabulary, lambda: LibraryEncoder(shared.value))
+            for part in by_bytes(batch, "text"):
                 counts, offsets, digests, ends, payloads = [], [0], [], [], []
-                for ids in encoder.encode([t.as_py() or "" for t in part.column("text")]):
-                    ids += end
-                    counts.append(len(ids) // 4)
-                    last = 0
-                    for stop in cuts(np.frombuffer(ids, "<u4")):
-                        payload = ids[4 * last : 4 * stop]
+                streams = [np.append(ids, end) for ids in encoder.encode([t or "" for t in part.column("text").to_pylist()])]
+                flat = np.concatenate(streams)
+                raw, edges = flat.tobytes(), np.cumsum([0, *map(len, streams)])
+                found = marks(flat)
+                spots = np.searchsorted(found, edges, side="right").tolist()
+                for i, first in enumerate(edges[:-1].tolist()):
+                    counts.append(len(streams[i]))
+                    last = first
+                    for stop in cuts(counts[-1], (found[spots[i] : spots[i + 1]] - first).tolist()):
+                        payload = raw[4 * last : 4 * (first + stop)]
                         digest = hashlib.sha256(payload).digest()
                         digests.append(digest)
                         ends.append(stop)
                         payloads.append(None if digest in given else payload)
                         given.add(digest)
-                        last = stop
+                        last = first + stop
                     offsets.append(len(ends))
-                    if len(given) > MEMO_ENTRIES:
-                        given.clear()
+                if len(given) > MEMO_ENTRIES:
+                    given.clear()
                 inner = pa.StructArray.from_arrays([pa.array(digests, pa.binary()), pa.array(ends, pa.int64()), pa.array(payloads, pa.binary())], ["digest", "end", "ids"])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), inner)], ["doc_id", "n_tokens", "chunks"])
 
@@ -168,17 +241,45 @@ def write_store(docs: DataFrame, path: str, vocabulary: str = "word_bpe_49k.json
     sums = sums.select("piece", first.alias("first"))
     inside = Window.partitionBy("piece").orderBy("doc_id", "n_tokens", "tie").rowsBetween(Window.unboundedPreceding, -1)
     recipes = ranged.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(sums, "piece")
-    recipes = recipes.select("piece", "doc_id", (F.col("first") + F.col("inside")).alias("start"), "n_tokens", "digests", "ends", merkle_root("digests").alias("root"))
+    recipes = recipes.select("piece", "doc_id", (F.col("first") + F.col("inside")).alias("start"), "n_tokens", "digests", "ends", document_root("digests", "n_tokens").alias("root"))
     recipes.sortWithinPartitions("piece", "start").write.parquet(f"{path}/recipes")
-    written = spark.read.parquet(f"{path}/recipes")
-    leaves = written.groupBy("piece").agg(F.min("start").alias("start"), F.sum("n_tokens").alias("n_tokens"), F.count(F.lit(1)).alias("n_docs"), F.sort_array(F.collect_list(F.struct("start", "root"))).alias("roots"))
-    leaves.select("piece", "start", "n_tokens", "n_docs", merkle_root(F.col("roots")["root"]).alias("root")).write.parquet(f"{path}/manifest")
+    # The manifest: a leaf for each piece of the recipes, then FAN_OUT nodes to a parent until one is left.
+    level, left, height = _leaves(spark.read.parquet(f"{path}/recipes")), pieces, 0
+    while True:
+        level = materialize(spark, level, "store-level")
+        level.withColumn("level", F.lit(height)).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+        if left <= 1:
+            break
+        level, left, height = _parents(level), -(-left // FAN_OUT), height + 1
     discard(spark, staged, ranged)
 
 
 def merkle_root(digests):
-    """SHA-256 over the digests in order, each as 64 hex digits: a tree of one level."""
-    return F.sha2(F.array_join(F.transform(digests, F.hex), ""), 256)
+    """Root of a binary tree over hexadecimal digests in order: SHA-256 of each pair, an odd last one goes up alone; of none, SHA-256 of nothing."""
+    hashed = F.aggregate(
+        F.sequence(F.lit(1), F.ceil(F.log2(F.greatest(F.size(digests), F.lit(1)))).cast("int") + 1),
+        digests,
+        lambda level, _: F.when(F.size(level) <= 1, level).otherwise(
+            F.transform(F.sequence(F.lit(0), F.floor((F.size(level) - 1) / 2).cast("int")), lambda i: F.when(2 * i + 1 < F.size(level), F.sha2(F.concat(F.get(level, 2 * i), F.get(level, 2 * i + 1)), 256)).otherwise(F.get(level, 2 * i)))
+        ),
+    )
+    return F.coalesce(F.get(hashed, F.lit(0)), F.sha2(F.lit(""), 256))
+
+
+def document_root(digests: str, n_tokens: str):
+    """The tree over a document's chunks, closed by its length."""
+    return F.sha2(F.concat(merkle_root(F.transform(digests, lambda d: F.lower(F.hex(d)))), F.lit(":"), F.col(n_tokens).cast("string")), 256)
+
+
+def _leaves(recipes: DataFrame) -> DataFrame:
+    """(node, start, n_tokens, n_docs, root): a node for each piece, over its documents' roots in order; a piece holds about PIECE_DOCS of them."""
+    found = recipes.groupBy("piece").agg(F.min("start").alias("start"), F.sum("n_tokens").alias("n_tokens"), F.count(F.lit(1)).alias("n_docs"), F.sort_array(F.collect_list(F.struct("start", "root"))).alias("roots"))
+    return found.select(F.col("piece").cast("long").alias("node"), "start", "n_tokens", "n_docs", merkle_root(F.col("roots")["root"]).alias("root"))
+
+
+def _parents(level: DataFrame) -> DataFrame:
+    found = level.groupBy(F.expr(f"node div {FAN_OUT}").alias("node")).agg(F.min("start").alias("start"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_docs").alias("n_docs"), F.sort_array(F.collect_list(F.struct(F.col("node").alias("at"), "root"))).alias("roots"))
+    return found.select("node", "start", "n_tokens", "n_docs", merkle_root(F.col("roots")["root"]).alias("root"))
 
 
 _CRC = 0xEDB88320
@@ -211,7 +312,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     chunks = spark.read.parquet(f"{path}/chunks")
     facts = chunks.select("digest", F.crc32("ids").alias("crc"), (F.sha2("ids", 256) == F.lower(F.hex("digest"))).alias("intact"))
     recipes = spark.read.parquet(f"{path}/recipes")
-    uses = recipes.select("doc_id", "start", "n_tokens", (F.col("root") == merkle_root("digests")).alias("rooted"), F.explode(F.arrays_zip("digests", "ends")).alias("c"))
+    uses = recipes.select("doc_id", "start", "n_tokens", (F.col("root") == document_root("digests", "n_tokens")).alias("rooted"), F.explode(F.arrays_zip("digests", "ends")).alias("c"))
     uses = uses.select("doc_id", "start", "n_tokens", "rooted", F.col("c.digests").alias("digest"), (4 * (F.col("n_tokens") - F.col("c.ends"))).alias("after"))
     joined = uses.join(facts, "digest", "left")
 
@@ -237,15 +338,26 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def verify_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Pieces whose recipes do not give the manifest's root; empty if the store is whole."""
-    recipes = spark.read.parquet(f"{path}/recipes")
-    now = recipes.groupBy("piece").agg(F.sort_array(F.collect_list(F.struct("start", "root"))).alias("roots"))
-    now = now.select("piece", merkle_root(F.col("roots")["root"]).alias("found"))
-    return spark.read.parquet(f"{path}/manifest").join(now, "piece", "full").filter(~F.col("root").eqNullSafe(F.col("found"))).select("piece", "root", "found")
+    """Nodes of the manifest that their children (for leaves: the recipes) do not give; empty if recipes and manifest are whole."""
+    manifest = spark.read.parquet(f"{path}/manifest")
+    now = _leaves(spark.read.parquet(f"{path}/recipes")).withColumn("level", F.lit(0))
+    top = manifest.agg(F.max("level")).first()[0] or 0
+    for height in range(top):
+        now = now.unionByName(_parents(manifest.filter(F.col("level") == height)).withColumn("level", F.lit(height + 1)))
+    facts = lambda df, p: df.select("level", "node", F.struct("start", "n_tokens", "n_docs", "root").alias(p))
+    both = facts(manifest, "written").join(facts(now, "found"), ["level", "node"], "full")
+    return both.filter(~F.col("written").eqNullSafe(F.col("found")))
 
 
 def stored_tokens(docs: DataFrame, path: str | None = None, **options: object) -> DataFrame:
-    """Write the store (below the shared folder unless ``path`` is given) and read it back."""
-    path = path or scratch_path(docs.sparkSession, "token-store")
+    """Write the store (below the shared folder unless ``path`` is given), check its manifest and read it back.
+
+    A manifest that does not fit the recipes is an error here; a document whose chunks or root are not whole is an error when it is read.
+    """
+    spark = docs.sparkSession
+    path = path or scratch_path(spark, "token-store")
     write_store(docs, path, **options)
-    return read_store(docs.sparkSession, path)
+    if broken := verify_manifest(spark, path).take(1):
+        raise ValueError(f"the token store's manifest does not fit its recipes: {broken[0]}")
+    whole = F.when(F.col("verified"), F.col("ids_crc32")).otherwise(F.raise_error(F.lit("a document of the token store does not verify")).cast("long"))
+    return read_store(spark, path).withColumn("ids_crc32", whole)
