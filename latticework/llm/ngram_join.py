@@ -1,47 +1,60 @@
 """N-gram Jaccard join: documents whose sets of five-word shingles link, and their components, exactly.
 
-Method, and where it leaves the plain form. Jaccard distance is a metric, but over shingles of texts nearly every
-distance to a pivot document is 1, so Voronoi cells of a few global pivots prune nothing and every document would be
-replicated to every cell. The regions are therefore seeded by shared rare shingles, which no linked pair can lack:
-a set A that links has 0.8 |A| shingles in common with its partner, so under any one order both hold a common
-shingle among their first |A| - ceil(0.8 |A|) + 1 (frequent shingles are ordered last).
+A join in the metric space of the sets. Regions are Voronoi cells of pivots; documents near an edge are replicated by windows
+of the triangle inequality; regions are joined recursively. Two metrics serve: Jaccard distance to one-shingle pivots at the
+top, where a general pivot would prune nothing (nearly all texts are at distance 1 of each other), and below that the symmetric
+difference |A xor B|, which is at most (|A| + |B|) / 9 for a link at 80 percent, and is never less than the L1 distance of
+the two sets' counts over classes of the shingle hash.
 
 1. Copies: sets that are equal have one representative.
-2. Regions: the documents that hold a shingle in their prefix. The smallest id of a region is its pivot; the distance of
-   every member to its pivot is computed exactly, and links to it make the first components.
-3. Recursion: regions whose members other than the pivot are still in different components go on. Their members are
-   replicated to blocks; a pair of blocks keeps the pairs of different components that pass the windows of the triangle
-   inequality: | |A| - |B| | and, with the classes of the shingle hash as pivots in the symmetric-difference metric, the
-   sum of | |A_c| - |B_c| | over the classes are at most |A xor B| <= (|A| + |B|) / 9 for any link. These are verified.
-   Pairs of one component need no check, so a group of near copies never gives all its pairs.
+2. Top regions: the pivots are the one-shingle sets. A is at distance 1 - 1/|A| of its own shingles and at 1 of all others; of
+   its nearest pivots the least one (frequent shingles last) is home. A partner may lack |A| - ceil(0.8 |A|) of them, so A is
+   replicated to as many cells after its home: two sets that link meet in the cell of their least common shingle.
+   The least id of a region stands for it: the others' distances to it are taken by classes, and verified links to it make
+   the first components. Pairs of one component need no check from there on.
+3. Recursion, for regions whose members are still apart. First, rings around the empty set, whose distance is the size: a set
+   is at home in its ring and replicated to the next. Then cells: about PIVOTS members are pivots, a set within a ball of radius
+   BALL (|A| + |P|) of its nearest pivot P is at home there, the others stay together for new pivots. A set visits another
+   pivot's cell if a partner could be at home there: its distance is at most that of its nearest pivot plus twice a link's, and
+   at most the ball's radius plus a link's. Links to the home pivot are verified and join components before the next round.
+   Regions of BLOCK members or fewer, and those that pivots do not make smaller, are compared pair by pair under the windows.
+4. Every pair that is left is verified on its words, not on hashes.
 
 Frequent shingles are found by counts within tasks; their list is bounded (HEAVY_MOST) and steers the order only, never
-the result. Their regions are salted. Hot regions of the later steps are split by adaptive execution and blocks.
+the result. Their regions, and rows of large regions at all later steps, are salted.
 
 Defined results: a null text counts as empty; a text without words has no shingles and links with nothing; a text with
-fewer than five words has its whole sequence as one shingle; rows that share an id are one node; a row with a null id
-takes part as a copy only and, without an equal set that has an id, has a null component; an empty table gives an empty
-result; other columns are not read. Shingles are compared by 64-bit hashes.
+fewer than five words has its whole sequence as one shingle; ids are whole numbers; rows that share an id are one node; a row with
+a null id takes part as a copy only and, without an equal set that has an id, has a null component; an empty table gives an empty
+result; other columns are not read. Sets are counted and found equal by 64-bit hashes of their shingles.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, bit_filter, discard, materialize, pick, probe
+from .common import BLANKS, bit_filter, by_bytes, discard, materialize, pick, probe
 from .components import connected_components
 
 WORDS, PERCENT = 5, 80
 #: A shingle counts as frequent from this many documents on, by the counts of tasks that saw it LOCAL times or more.
 HEAVY, LOCAL, HEAVY_MOST = 24, 3, 1 << 18
-#: Salts of a frequent shingle's region; documents in a block.
-SALTS, BLOCK = 64, 256
+#: Bits of the shingle hash that name a top region; regions that share a name by chance are one.
+CELL_BITS = 48
+#: Salts of a frequent shingle's region; members of a region that are compared pair by pair; members that share a salt.
+SALTS, BLOCK, SALT_ROWS = 64, 256, 4096
+#: Pivots of a region, on average, and the radius of their balls as a share of |A| + |P|.
+PIVOTS, BALL = 16, 1 / 6
+#: A round of pivots counts if no new region has more than this share of the old one, and all together no more than SPREAD times its rows.
+SHRINK, SPREAD = 0.7, 3.0
 #: Classes of a set: the power of two from a quarter of its size on, at least this many; a class counts to 15.
 FEWEST = 256
 
@@ -63,50 +76,88 @@ _BLANK[[ord(b) for b in BLANKS]] = True
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
-def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
-    raws = [t.encode() for t in texts]
-    flat = np.frombuffer(b" ".join(raws) + b" ", np.uint8)
-    n = len(flat)
+#: Bytes that are hashed at once.
+CHUNK = 1 << 20
+
+
+@functools.cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """The base's powers and those of its inverse."""
+    with np.errstate(over="ignore"):
+        return tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(CHUNK, b), dtype=np.uint64)]) for b in (_BASE, _INVERSE))
+
+
+def _word_sums(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, length and polynomial sum of each word among at most CHUNK bytes."""
+    powers, back = _powers()
     with np.errstate(over="ignore"):
-        powers = np.full(n, _BASE)
-        powers[0] = 1
-        powers = np.cumprod(powers, dtype=np.uint64)
-        back = np.full(n, _INVERSE)
-        back[0] = 1
-        back = np.cumprod(back, dtype=np.uint64)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUE[flat] * powers, dtype=np.uint64)])
-        blank = _BLANK[flat]
-        edge = np.diff(np.concatenate([[True], blank]).astype(np.int8))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUE[flat] * powers[: len(flat)], dtype=np.uint64)])
+        edge = np.diff(np.concatenate([[True], _BLANK[flat], [True]]).astype(np.int8))
         begins, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        hashes = _mixed(((sums[ends] - sums[begins]) * back[begins]) + (ends - begins).astype(np.uint64) * _MIX)
-        offsets = np.cumsum([0] + [len(r) + 1 for r in raws])
-        first = np.searchsorted(begins, offsets)
-        k = len(hashes)
-        rolled = np.zeros(k, np.uint64)
-        for j in range(words):
-            rolled[: max(k - j, 0)] += hashes[j:] * _ORDER[j % len(_ORDER)] if j < k else 0
-        rolled = _mixed(rolled)
-        out = []
-        for i in range(len(texts)):
-            a, b = first[i], first[i + 1]
-            if b - a >= words:
-                out.append(np.unique(rolled[a : b - words + 1]))
-            elif b > a:
-                whole = np.uint64(b - a) * _BASE
-                for j in range(b - a):
-                    whole = whole + hashes[a + j] * _ORDER[j]
-                out.append(np.array([_mixed(whole)], np.uint64))
-            else:
-                out.append(np.zeros(0, np.uint64))
-    return out
+        return begins, ends - begins, (sums[ends] - sums[begins]) * back[begins]
+
 
+def _word_hashes(sums: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return _mixed(sums + lengths.astype(np.uint64) * _MIX)
+
+
+def _long_hashes(raw: bytes) -> np.ndarray:
+    """Hashes of the words of a long text, chunk by chunk; a word that a chunk's edge cuts is put together again."""
+    sums, lengths, open_ = [], [], False
+    for at in range(0, len(raw), CHUNK):
+        flat = np.frombuffer(raw[at : at + CHUNK], np.uint8)
+        b, n, s = _word_sums(flat)
+        if open_ and len(b) and b[0] == 0:
+            power = pow(int(_BASE), int(lengths[-1][-1]), 1 << 64)
+            sums[-1][-1] = (int(sums[-1][-1]) + int(s[0]) * power) & (1 << 64) - 1
+            lengths[-1][-1] += n[0]
+            n, s = n[1:], s[1:]
+        if len(n):
+            sums.append(s.copy())
+            lengths.append(n.copy())
+        open_ = not _BLANK[flat[-1]]
+    return _word_hashes(np.concatenate(sums), np.concatenate(lengths)) if sums else np.zeros(0, np.uint64)
+
+
+def _shingled(hashes: np.ndarray, words: int) -> np.ndarray:
+    """Hash of the run of ``words`` words from each word on; fewer follow the last ones, whose values mean nothing."""
+    rolled, k = np.zeros(len(hashes), np.uint64), len(hashes)
+    with np.errstate(over="ignore"):
+        for j in range(min(words, k)):
+            rolled[: k - j] += hashes[j:] * _ORDER[j % len(_ORDER)]
+        return _mixed(rolled)
+
+
+def _one_set(hashes: np.ndarray, rolled: np.ndarray, words: int) -> np.ndarray:
+    n = len(hashes)
+    if n >= words:
+        return np.unique(rolled[: n - words + 1])
+    if not n:
+        return np.zeros(0, np.uint64)
+    with np.errstate(over="ignore"):
+        return _mixed(np.array([np.uint64(n) * _BASE + (hashes * _ORDER[:n]).sum(dtype=np.uint64)], np.uint64))
 
-def _parts(batches: Iterator[pa.RecordBatch], size: int = 512) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+
+def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text."""
+    raws = [t.encode() for t in texts]
+    if sum(map(len, raws)) + len(raws) > CHUNK:
+        if len(raws) > 1:
+            return [s for t in texts for s in shingle_sets([t], words)]
+        hashes = _long_hashes(raws[0])
+        return [_one_set(hashes, _shingled(hashes, words), words)]
+    begins, lengths, sums = _word_sums(np.frombuffer(b" ".join(raws) + b" ", np.uint8))
+    hashes = _word_hashes(sums, lengths)
+    rolled = _shingled(hashes, words)
+    first = np.searchsorted(begins, np.cumsum([0] + [len(r) + 1 for r in raws])).tolist()
+    return [_one_set(hashes[a:b], rolled[a:b], words) for a, b in zip(first, first[1:], strict=False)]
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for batch in batches:
-        for at in range(0, batch.num_rows, size):
-            part = batch.slice(at, size)
-            yield part, shingle_sets([t.as_py() or "" for t in part.column("text")])
+        for part in by_bytes(batch, "text", CHUNK - 20_000):
+            yield part, shingle_sets([t or "" for t in part.column("text").to_pylist()])
 
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,12 +212,9 @@ def _divided(vectors: list[bytes], size: int) -> np.ndarray:
     return np.stack([flat & 15, flat >> 4], 2).reshape(-1, size).view(np.int8)
 
 
-def _in_window(a: list[bytes], b: list[bytes], i: np.ndarray, j: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """For pairs (a[i], b[j]) with |A| + |B| in sizes, whose sizes fit each other: |A xor B| <= (100 - p) / (100 + p) (|A| + |B|)
-    for a link at p percent, and the gaps of the classes, at the coarser division of the two, sum to no more."""
-    la, lb = np.array([len(v) for v in a]), np.array([len(v) for v in b])
-    level = np.minimum(la[i], lb[j]) // 3 * 4
-    out = np.zeros(len(i), bool)
+def _gaps(a: list[bytes], b: list[bytes], i: np.ndarray, j: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """For pairs (a[i], b[j]): the L1 distance of their class counts at the division ``level`` that both have."""
+    out = np.zeros(len(i), np.int64)
     for size in np.unique(level).tolist():
         some = np.flatnonzero(level == size)
         ua, ia = np.unique(i[some], return_inverse=True)
@@ -175,94 +223,236 @@ def _in_window(a: list[bytes], b: list[bytes], i: np.ndarray, j: np.ndarray, siz
         step = max(1, (1 << 21) // size)
         for at in range(0, len(some), step):
             part = slice(at, at + step)
-            gaps = np.abs(fa[ia[part]] - fb[jb[part]]).sum(1, dtype=np.int64)
-            out[some[part]] = gaps * (100 + PERCENT) <= (100 - PERCENT) * sizes[some[part]]
+            out[some[part]] = np.abs(fa[ia[part]] - fb[jb[part]]).sum(1, dtype=np.int64)
     return out
 
 
+def _in_window(a: list[bytes], b: list[bytes], i: np.ndarray, j: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For pairs (a[i], b[j]) with |A| + |B| in sizes, whose sizes fit each other: |A xor B| <= (100 - p) / (100 + p) (|A| + |B|)
+    for a link at p percent, and the gaps of the classes, at the coarser division of the two, sum to no more."""
+    la, lb = np.array([len(v) for v in a], np.int64), np.array([len(v) for v in b], np.int64)
+    return _gaps(a, b, i, j, np.minimum(la[i], lb[j]) // 3 * 4) * (100 + PERCENT) <= (100 - PERCENT) * sizes
+
+
 def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, n_links_seen (links found on the way; at least one if there is any)."""
     spark = docs.sparkSession
     rows = pick(docs, doc_id=F.col(f"`{id_col}`").cast("long"), text=text_col)
     surveyed = materialize(spark, rows.mapInArrow(_survey, "doc_id long, n long, digest binary, classes binary, hot long, count long"), "sets")
     metas = surveyed.filter("hot is null").select("doc_id", "n", "digest")
-    vectors = surveyed.filter("hot is null and doc_id is not null and n > 0").select(F.col("doc_id").alias("id"), F.col("n").cast("int").alias("n"), "digest", "classes")
-    heavies = surveyed.filter("hot is not null").groupBy("hot").agg(F.sum("count").alias("n")).filter(F.col("n") >= HEAVY)
-    heavy = np.sort(np.array([r["hot"] for r in heavies.orderBy(F.desc("n"), "hot").limit(HEAVY_MOST).collect()], np.int64).view(np.uint64))
-    heavy = spark.sparkContext.broadcast(heavy)  # at most HEAVY_MOST numbers: 2 MB
 
     # 1. Copies.
     reps = materialize(spark, metas.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.count(F.lit(1)).alias("copies")), "set-reps")
     copies = metas.filter("n > 0").join(reps.filter("copies > 1").select("digest", "rep"), "digest").filter("doc_id is null or doc_id <> rep").select("doc_id")
     copies = materialize(spark, copies.filter("doc_id is not null").distinct(), "set-copies")
 
-    # 2. Regions: prefixes of the representatives, met by shingle.
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, sets in _parts(batches):
-            offsets, shingles, salted, sizes = [0], [], [], []
-            for s in sets:
-                n = len(s)
-                if n:
-                    k = n - (-(-PERCENT * n // 100)) + 1
-                    spot = np.searchsorted(heavy.value, s)
-                    is_heavy = np.zeros(n, bool) if not len(heavy.value) else heavy.value[np.minimum(spot, len(heavy.value) - 1)] == s
-                    light = s[~is_heavy][:k]
-                    chosen = np.concatenate([light, s[is_heavy][: k - len(light)]])
-                    shingles.append(chosen)
-                    salted.append(np.arange(k) >= len(light))
-                offsets.append(offsets[-1] + (len(shingles[-1]) if n else 0))
-                sizes.append(n)
-            flat = np.concatenate(shingles).view(np.int64) if shingles else np.zeros(0, np.int64)
-            marks = np.concatenate(salted) if salted else np.zeros(0, bool)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(marks))], ["doc_id", "n", "h", "heavy"])
-
-    held = rows.filter("doc_id is not null").mapInArrow(prefixes, "doc_id long, n int, h array<long>, heavy array<boolean>").filter("n > 0")
-    held = probe(held, bit_filter(copies, "doc_id"), "doc_id")
-    held = held.filter("not hit").unionByName(held.filter("hit").join(copies, "doc_id", "left_anti")).drop("hit")
-    entries = held.select(F.col("doc_id").alias("id"), "n", F.inline(F.arrays_zip("h", "heavy")))
-    entries = entries.withColumn("salt", F.when(F.col("heavy"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int") + 1).otherwise(0)).drop("heavy")
-    met = entries.repartition("h", "salt").sortWithinPartitions("h", "salt", "id")
-    regions = materialize(spark, met.mapInArrow(_runs, "h long, salt int, id long, n int"), "regions")
-    # Regions with the same members (a sum and an xor of two 64-bit hashes of the ids) are one.
-    members = F.count(F.lit(1)).alias("members")
-    made = regions.withColumn("k", F.xxhash64("id", F.lit(7))).groupBy("h").agg(F.min("id").alias("pivot"), F.min(F.struct("id", "n"))["n"].alias("pivot_n"), members, F.sum(F.shiftright("k", 32)).alias("sum"), F.bit_xor("k").alias("xor"))
-    made = made.filter("members > 1").groupBy("pivot", "pivot_n", "members", "sum", "xor").agg(F.min("h").alias("h"))
-    regions = materialize(spark, regions.join(made, "h").select("h", "id", "n", "pivot", "pivot_n"), "regions")
-    vectors = vectors.join(regions.select("id").distinct(), "id", "left_semi").join(reps.select("digest", F.col("rep").alias("id")), ["digest", "id"], "left_semi")
-    vectors = materialize(spark, vectors.drop("digest").dropDuplicates(["id"]), "classes")
+    # 2. Top regions, one member of each and the links to it.
+    regions = _top_regions(rows, copies, surveyed)
+    held = surveyed.filter("hot is null and doc_id is not null and n > 0").select(F.col("doc_id").alias("id"), F.col("n").cast("int").alias("n"), "digest", "classes")
+    held = held.join(regions.select("id").distinct(), "id", "left_semi").join(reps.select("digest", F.col("rep").alias("id")), ["digest", "id"], "left_semi")
+    vectors = materialize(spark, held.drop("digest").dropDuplicates(["id"]), "classes")
     star = regions.filter("id <> pivot").filter(_sizes_fit("n", "pivot_n")).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    star = materialize(spark, _near(star, vectors), "star")
-    links = materialize(spark, _verified(star, rows), "links")
+    join = _Join(spark, rows)
+    join.check(_near(star, vectors))
 
     # 3. Recursion where members other than the pivot are still apart.
-    groups = materialize(spark, connected_components(links), "groups")
-    open_rows = regions.filter("id <> pivot").select("h", "id", "n").join(groups.withColumnRenamed("node", "id"), "id", "left")
-    open_rows = open_rows.select("h", "id", "n", F.coalesce("component", "id").alias("component"))
-    state = open_rows.groupBy("h").agg((F.min("component") != F.max("component")).alias("open"), F.count(F.lit(1)).alias("members"))
-    live = open_rows.join(state.filter("open").select("h", "members"), "h")
-    live = live.join(vectors.select("id", "classes"), "id")
-    pieces = F.ceil(F.col("members") / BLOCK)
-    live = live.withColumn("pieces", pieces).withColumn("piece", F.pmod(F.xxhash64("id", F.lit(2)), "pieces"))
-    blocks = live.groupBy("h", "pieces", "piece").agg(F.collect_list(F.struct("id", "n", "component", "classes")).alias("rows"))
-    blocks = materialize(spark, blocks, "blocks")
-    # A block meets itself where it lies; only blocks of larger regions are joined.
-    within = blocks.select(F.col("rows").alias("left_rows"), F.lit(None).cast(blocks.schema["rows"].dataType).alias("right_rows"))
-    left = blocks.filter("pieces > 1").select("h", F.col("piece").alias("p"), F.col("rows").alias("left_rows"))
-    right = blocks.filter("pieces > 1").select("h", F.col("piece").alias("q"), F.col("rows").alias("right_rows"))
-    across = left.join(right, "h").filter("p < q").select("left_rows", "right_rows")
-    more = within.mapInArrow(_windows, "a long, b long").unionByName(across.mapInArrow(_windows, "a long, b long")).distinct()
-    more = materialize(spark, more, "windows")
-    more = materialize(spark, more.join(star, ["a", "b"], "left_anti"), "windows")
-    links2 = materialize(spark, _verified(more, rows), "links") if more.take(1) else links.limit(0)
-    every = links.unionByName(links2)
-    final = connected_components(every) if links2.take(1) else groups
+    cells = join.open(regions.filter("id <> pivot").select(F.col("h").alias("cell"), "id", F.lit(True).alias("home"), F.lit(0).alias("level")), vectors)
+    if cells is not None:
+        cells = _rings(cells)
+    while cells is not None and (cells := join.open(cells, vectors)) is not None:
+        left = join.compare(cells.filter(F.col("members") <= BLOCK))
+        split = join.split(cells.filter(F.col("members") > BLOCK), vectors)
+        discard(spark, cells)
+        cells = split
+        if left is not None:
+            join.check(left)
+
+    # The result.
+    final, every = join.groups, join.every()
     degree = every.select(F.col("a").alias("rep")).unionByName(every.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("seen"))
     facts = reps.select("digest", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
     facts = facts.select("digest", F.coalesce("component", "rep").alias("component_id"), F.coalesce("seen", F.lit(0)).alias("n_links_seen"))
     out = metas.filter("n > 0").join(facts, "digest").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links_seen")
     empty = metas.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links_seen"))
-    discard(spark, blocks, star, more)
-    return out.unionByName(empty)
+    out = materialize(spark, out.unionByName(empty), "ngram-groups")
+    discard(spark, regions, vectors, surveyed, reps, copies, *join.scratch)
+    return out
+
+
+def _top_regions(rows: DataFrame, copies: DataFrame, surveyed: DataFrame) -> DataFrame:
+    """Rows (h, id, n, pivot, pivot_n): the members of each region, and the least id among them."""
+    spark = rows.sparkSession
+    heavies = surveyed.filter("hot is not null").groupBy("hot").agg(F.sum("count").alias("n")).filter(F.col("n") >= HEAVY)
+    heavy = np.sort(np.array([r["hot"] for r in heavies.orderBy(F.desc("n"), "hot").limit(HEAVY_MOST).collect()], np.int64).view(np.uint64))
+    heavy = spark.sparkContext.broadcast(heavy)  # at most HEAVY_MOST numbers: 2 MB
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, sets in _parts(batches):
+            ids, sizes, cells, salted = part.column("doc_id").to_numpy(), [], [], []
+            for s in sets:
+                n = len(s)
+                k = n - (-(-PERCENT * n // 100)) + 1 if n else 0
+                spot = np.searchsorted(heavy.value, s)
+                is_heavy = np.zeros(n, bool) if not len(heavy.value) else heavy.value[np.minimum(spot, len(heavy.value) - 1)] == s
+                light = s[~is_heavy][:k]
+                cells.append(np.concatenate([light, s[is_heavy][: k - len(light)]]))
+                salted.append(np.arange(k) >= len(light))
+                sizes.append((n, k))
+            if not cells:
+                continue
+            n, k = np.array(sizes, np.int32).reshape(-1, 2).T
+            flat, ids = np.concatenate(cells) & np.uint64((1 << CELL_BITS) - 1), np.repeat(ids, k)
+            salt = np.where(np.concatenate(salted), 1 + ids % SALTS, 0)
+            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(ids), pa.array(np.repeat(n, k))], ["h", "salt", "id", "n"])
+
+    # Documents that are certainly no copies stay where they are; of the few others the copies go.
+    known = probe(rows.filter("doc_id is not null"), bit_filter(copies, "doc_id"), "doc_id")
+    known = known.filter("not hit").unionByName(known.filter("hit").join(copies, "doc_id", "left_anti")).drop("hit")
+    entries = known.mapInArrow(prefixes, "h long, salt int, id long, n int")
+    met = entries.repartition("h", "salt").sortWithinPartitions("h", "salt", "id")
+    pairs = materialize(spark, met.mapInArrow(_runs, "h long, salt int, id long, n int"), "regions")
+    # Regions with the same members (their number, and a sum and two xors of hashes of the ids) are one.
+    marked = pairs.withColumn("k", F.xxhash64("id", F.lit(7))).withColumn("q", F.xxhash64("id", F.lit(8)))
+    made = marked.groupBy("h").agg(F.min(F.struct("id", "n")).alias("pivot"), F.count(F.lit(1)).alias("members"), F.sum(F.shiftright("k", 32)).alias("sum"), F.bit_xor("k").alias("xor"), F.bit_xor("q").alias("xor2"))
+    made = made.filter("members > 1").groupBy("pivot", "members", "sum", "xor", "xor2").agg(F.min("h").alias("h"))
+    made = materialize(spark, made.select("h", F.col("pivot.id").alias("pivot"), F.col("pivot.n").alias("pivot_n")), "regions-made")
+    regions = materialize(spark, pairs.join(made, "h").select("h", "id", "n", "pivot", "pivot_n"), "regions")
+    discard(spark, pairs, made)
+    return regions
+
+
+class _Join:
+    """What the recursion has found: links, pairs that were checked, components."""
+
+    def __init__(self, spark: SparkSession, rows: DataFrame):
+        self.spark, self.rows = spark, rows
+        self.links: list[DataFrame] = []
+        self.checked: list[DataFrame] = []
+        self.groups: DataFrame = spark.createDataFrame([], "node long, component long")
+        self.scratch: list[DataFrame] = []
+
+    def every(self) -> DataFrame:
+        out = self.spark.createDataFrame([], "a long, b long")
+        for links in self.links:
+            out = out.unionByName(links)
+        return out
+
+    def check(self, pairs: DataFrame) -> None:
+        """Verify pairs (a, b) that were not checked before, and renew the components."""
+        pairs = pairs.distinct()
+        for old in self.checked:
+            pairs = pairs.join(old, ["a", "b"], "left_anti")
+        pairs = materialize(self.spark, pairs, "pairs")
+        self.checked.append(pairs)
+        links = materialize(self.spark, _verified(pairs, self.rows), "links")
+        self.scratch += [pairs, links]
+        if links.take(1):
+            self.links.append(links)
+            # Components so far are stars; new links join them.
+            stars = self.groups.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+            self.groups = materialize(self.spark, connected_components(links.unionByName(stars)), "groups")
+            self.scratch.append(self.groups)
+
+    def open(self, cells: DataFrame, vectors: DataFrame) -> DataFrame | None:
+        """Rows of the regions that have members at home and more than one component, with n, classes, component, homes and members."""
+        named = cells.select("cell", "id", "home", "level").join(self.groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        state = named.groupBy("cell").agg((F.min("component") != F.max("component")).alias("open"), F.count(F.lit(1)).alias("members"), F.count_if("home").alias("homes"))
+        state = materialize(self.spark, state.filter("open and homes > 0").drop("open"), "open")
+        live = materialize(self.spark, named.join(state, "cell").join(vectors, "id"), "cells")
+        discard(self.spark, cells, state)
+        if not live.take(1):
+            discard(self.spark, live)
+            return None
+        return live
+
+    def compare(self, cells: DataFrame) -> DataFrame | None:
+        """Pairs that the windows leave in regions that are compared block by block; at least one of a pair is at home."""
+        row = F.struct("id", "n", "component", "classes", "home")
+        pieces = F.ceil(F.col("members") / BLOCK)
+        parted = cells.withColumn("pieces", pieces).withColumn("piece", F.pmod(F.xxhash64("id", F.lit(2)), "pieces"))
+        blocks = materialize(self.spark, parted.groupBy("cell", "pieces", "piece").agg(F.collect_list(row).alias("rows")), "blocks")
+        # A block meets itself where it lies; only blocks of larger regions are joined.
+        within = blocks.select(F.col("rows").alias("left_rows"), F.lit(None).cast(blocks.schema["rows"].dataType).alias("right_rows"))
+        left = blocks.filter("pieces > 1").select("cell", F.col("piece").alias("p"), F.col("rows").alias("left_rows"))
+        right = blocks.filter("pieces > 1").select("cell", F.col("piece").alias("q"), F.col("rows").alias("right_rows"))
+        across = left.join(right, "cell").filter("p < q").select("left_rows", "right_rows")
+        pairs = within.mapInArrow(_windows, "a long, b long").unionByName(across.mapInArrow(_windows, "a long, b long")).distinct()
+        pairs = materialize(self.spark, pairs, "windows")
+        discard(self.spark, blocks)
+        self.scratch.append(pairs)
+        return pairs if pairs.take(1) else None
+
+    def split(self, cells: DataFrame, vectors: DataFrame) -> DataFrame | None:
+        """One round of pivots: the regions that come of it. Regions that it does not make smaller are compared at once."""
+        if not cells.take(1):
+            return None
+        order = F.xxhash64("id", "cell", F.lit(4))
+        homes = cells.filter("home").withColumn("order", order)
+        first = homes.groupBy("cell").agg(F.min(F.struct("order", "id"))["id"].alias("first"))
+        chosen = homes.join(first, "cell").filter((F.col("id") == F.col("first")) | (F.pmod("order", "homes") < PIVOTS))
+        salts = F.ceil(F.col("members") / SALT_ROWS).cast("long")
+        pivots = chosen.groupBy("cell", "members").agg(F.collect_list(F.struct("id", "n", "classes")).alias("pivots"))  # some PIVOTS of a region
+        pivots = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("members")
+        salted = cells.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(6)), salts))
+        dealt = salted.join(pivots, ["cell", "salt"]).select("cell", "id", "n", "home", "level", "classes", "pivots")
+        dealt = materialize(self.spark, dealt.mapInArrow(_deal, "parent long, pivot long, id long, home boolean, level int, near boolean"), "dealt")
+        self.check(dealt.filter("near and id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")))
+        sizes = dealt.groupBy("parent", "pivot").agg(F.count(F.lit(1)).alias("n")).groupBy("parent").agg(F.max("n").alias("most"), F.sum("n").alias("all"))
+        before = cells.groupBy(F.col("cell").alias("parent")).agg(F.count(F.lit(1)).alias("members"))
+        verdict = sizes.join(before, "parent").select("parent", ((F.col("most") <= SHRINK * F.col("members")) & (F.col("all") <= SPREAD * F.col("members"))).alias("smaller"))
+        verdict = materialize(self.spark, verdict, "verdict")
+        flat = self.compare(cells.join(verdict.filter("not smaller").select(F.col("parent").alias("cell")), "cell", "left_semi"))
+        out = dealt.join(verdict.filter("smaller").select("parent"), "parent").select(F.xxhash64("parent", "pivot").alias("cell"), "id", "home", "level")
+        out = materialize(self.spark, out, "cells")
+        discard(self.spark, dealt, verdict)
+        if flat is not None:
+            self.check(flat)
+        return out
+
+
+def _rings(cells: DataFrame) -> DataFrame:
+    """Regions by size: rings whose bounds grow by 100 / PERCENT, so a partner's ring is the same or a neighbour. ``level`` is a
+    division of the classes that all sets of the ring and of the one before have."""
+    ring = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / PERCENT)) + 1e-9)
+    rings = cells.withColumn("ring", ring).withColumn("at", F.explode(F.array(F.col("ring"), F.col("ring") + 1)))
+    least = F.pow(F.lit(100 / PERCENT), F.col("at") - 1) * 0.999 - 1
+    level = F.greatest(F.lit(FEWEST), F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(least / 4, F.lit(1.0)))))).cast("int")
+    out = rings.select(F.xxhash64("cell", "at").alias("cell"), "id", (F.col("ring") == F.col("at")).alias("home"), level.alias("level"))
+    return materialize(cells.sparkSession, out, "rings")
+
+
+def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each row of a region with its pivots: its home, the cells that it visits, and whether it is near enough to link its pivot."""
+    w = (100 - PERCENT) / (100 + PERCENT)
+    reach = 100 / PERCENT  # a partner's size is at most this times one's own
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            lists = part.column("pivots")
+            counts = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = lists.flatten()
+            pid, pn = flat.field("id").to_numpy(), flat.field("n").to_numpy().astype(np.int64)
+            i, j = np.repeat(np.arange(part.num_rows), counts), np.arange(len(flat))
+            n, level = part.column("n").to_numpy().astype(np.int64), part.column("level").to_numpy().astype(np.int64)
+            gap = _gaps(part.column("classes").to_pylist(), flat.field("classes").to_pylist(), i, j, level[i])
+            begins = np.cumsum(counts) - counts
+            nearest = np.minimum.reduceat(gap, begins)
+            first = np.full(part.num_rows, len(flat))
+            np.minimum.at(first, i, np.where(gap == nearest[i], j, len(flat)))  # the first of the nearest pivots
+            inside = gap[first] <= BALL * (n + pn[first])
+            home = part.column("home").to_numpy(zero_copy_only=False)
+            link = w * (1 + reach) * n  # no partner is further away than this
+            visits = (gap <= nearest[i] + 2 * link[i]) & (gap <= BALL * (reach * n[i] + pn) + link[i])
+            visits &= ~((j == first[i]) & inside[i] & home[i])
+            k = np.flatnonzero(visits)
+            rest = np.flatnonzero(~inside | ~home)  # the others' region: at home there if no ball holds them
+            cell, ids = part.column("cell").to_numpy(), part.column("id").to_numpy()
+            own = np.flatnonzero(inside & home)
+            rows = np.concatenate([own, i[k], rest])
+            pivot = np.concatenate([pid[first[own]], pid[k], np.full(len(rest), -1)])
+            at_home = np.concatenate([np.ones(len(own), bool), np.zeros(len(k), bool), home[rest]])
+            fits = np.concatenate([gap[first[own]] <= w * (n[own] + pn[first[own]]), np.zeros(len(k) + len(rest), bool)])
+            yield pa.RecordBatch.from_arrays([pa.array(cell[rows]), pa.array(pivot, pa.int64()), pa.array(ids[rows]), pa.array(at_home), pa.array(level[rows].astype(np.int32)), pa.array(fits)], ["parent", "pivot", "id", "home", "level", "near"])
 
 
 def _sizes_fit(a: str, b: str):
@@ -306,15 +496,8 @@ def _window_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield part.select(["a", "b"]).filter(pa.array(_in_window(part.column("ac").to_pylist(), part.column("bc").to_pylist(), every, every, sizes)))
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, sets in _parts(batches, 256):
-        offsets = np.cumsum([0] + [len(s) for s in sets])
-        flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], ["id", "n", "grams"])
-
-
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of two blocks, or of one where the other is null, that are in different components and that the triangle inequality leaves."""
+    """Pairs of two blocks, or of one where the other is null, that are in different components, one at home, and that the triangle inequality leaves."""
     for batch in batches:
         for left, right in zip(batch.column("left_rows"), batch.column("right_rows"), strict=True):
             alone = not right.is_valid
@@ -323,6 +506,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             li, ri = ls.field("id").to_numpy(), rs.field("id").to_numpy()
             ln, rn = ls.field("n").to_numpy().astype(np.int64), rs.field("n").to_numpy().astype(np.int64)
             apart = ls.field("component").to_numpy()[:, None] != rs.field("component").to_numpy()[None, :]
+            apart &= ls.field("home").to_numpy(zero_copy_only=False)[:, None] | rs.field("home").to_numpy(zero_copy_only=False)[None, :]
             small, large = np.minimum(ln[:, None], rn), np.maximum(ln[:, None], rn)
             apart &= 100 * small >= PERCENT * large
             if alone:
@@ -336,18 +520,40 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], ["a", "b"])
 
 
+def shingles(text: str, words: int = WORDS) -> set[tuple[bytes, ...]]:
+    """The shingles themselves: of bytes, so only A-Z are lowered and only the six ASCII blanks split."""
+    found = text.encode().lower().split()
+    if len(found) < words:
+        return {tuple(found)} if found else set()
+    return set(zip(*(found[k:] for k in range(words)), strict=False))
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (a, b) of those with (a, b, at, bt) whose texts at and bt link."""
+    memo: tuple[object, set] = (None, set())
+    for batch in batches:
+        for part in by_bytes(batch, "bt", 1 << 22):
+            keep = []
+            for a, at, bt in zip(part.column("a").to_pylist(), part.column("at"), part.column("bt"), strict=True):
+                at = at.as_py()
+                if memo[0] != (a, at):
+                    memo = ((a, at), shingles(at))
+                x, y = memo[1], shingles(bt.as_py())
+                common = len(x & y) if 100 * min(len(x), len(y)) >= PERCENT * max(len(x), len(y)) else 0
+                keep.append(common > 0 and 100 * common >= PERCENT * (len(x) + len(y) - common))
+            yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
 def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) that link, by their whole sets; only the texts of their documents move."""
+    """Those of the pairs (a, b) that link, by their words; only the texts of their documents move."""
     spark = rows.sparkSession
     members = materialize(spark, pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "members")
-    found = probe(rows.filter("doc_id is not null"), bit_filter(members, "id"), "doc_id").filter("hit")
-    found = found.join(members, F.col("doc_id") == F.col("id"), "left_semi").select("doc_id", "text")
-    sets = materialize(spark, found.mapInArrow(_packed, "id long, n int, grams array<long>"), "member-sets")
-    a = sets.select(F.col("id").alias("a"), F.col("n").alias("an"), F.col("grams").alias("ag"))
-    b = sets.select(F.col("id").alias("b"), F.col("n").alias("bn"), F.col("grams").alias("bg"))
-    both = pairs.join(b, "b").join(a, "a").filter(_sizes_fit("an", "bn"))
-    both = both.withColumn("common", F.size(F.array_intersect("ag", "bg")))
-    return both.filter(100 * F.col("common") >= PERCENT * (F.col("an") + F.col("bn") - F.col("common"))).select("a", "b").distinct()
+    found = probe(rows.filter("doc_id is not null and text is not null"), bit_filter(members, "id"), "doc_id").filter("hit")
+    found = materialize(spark, found.join(members, F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "text"), "member-texts", compression="zstd")
+    both = pairs.join(found.select(F.col("id").alias("b"), F.col("text").alias("bt")), "b").join(found.select(F.col("id").alias("a"), F.col("text").alias("at")), "a")
+    out = materialize(spark, both.select("a", "b", "at", "bt").mapInArrow(_linked, "a long, b long").distinct(), "verified")
+    discard(spark, members, found)
+    return out
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
