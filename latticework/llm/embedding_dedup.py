@@ -1,7 +1,7 @@
 """Embedding near-dedup over an inverted multi-index.
 
-Vectors that are equal number by number are one class. Each half of the normalised vectors has a codebook (k-means on
-at most SAMPLE classes); a pair of codes is a cell of the product grid, and every class is in the index. A class visits
+Vectors that are equal number by number are one class. Each half of the normalised vectors has a codebook of up to MOST_CODES
+codes (16 MB for vectors of 128 components; k-means on about SAMPLE classes, SAMPLE_CODE to a code where there are more codes); a pair of codes is a cell of the product grid, and every class is in the index. A class visits
 cells by the multi-sequence algorithm (a heap over the two sorted distance lists), nearest first; how many is fitted
 once: PROBES classes, chosen by hash, are compared with all classes by brute force, MOST_PROBES if fewer than LINKED of
 them have links, and the visits stop where TARGET of their links are reached. Where links are still too few to tell,
@@ -40,7 +40,9 @@ LEAST = 0.95
 SAMPLE, PROBES, TARGET = 16_384, 256, 0.9999
 MOST_PROBES, LINKED, COPIES = 2048, 64, 8
 #: Classes that share a cell on average; the codebooks grow with the root of the classes.
-PER_CELL, MOST_CODES, KMEANS_ROUNDS = 48, 1024, 8
+PER_CELL, MOST_CODES, KMEANS_ROUNDS = 48, 1 << 14, 8
+#: Sampled classes to a code.
+SAMPLE_CODE = 8
 BLOCK = 256
 
 
@@ -63,6 +65,14 @@ def kmeans(rows: np.ndarray, k: int, seed: int) -> np.ndarray:
     return centres
 
 
+def _nearest(distances: np.ndarray, most: int) -> np.ndarray:
+    """Places of the ``most`` least distances, nearest first."""
+    if most >= len(distances):
+        return distances.argsort(kind="stable")
+    some = np.argpartition(distances, most - 1)[:most]
+    return some[distances[some].argsort(kind="stable")]
+
+
 def _distances(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.maximum((rows**2).sum(1)[:, None] - 2 * rows @ centres.T + (centres**2).sum(1), 0)
 
@@ -84,10 +94,9 @@ class MultiIndex:
     def visits(self, d1: np.ndarray, d2: np.ndarray, most: int) -> list[list[int]]:
         """Multi-sequence traversal: for each row the ``most`` cells of least distance, in order."""
         wide = len(self.books[1])
-        first, second = d1.argsort(1, kind="stable"), d2.argsort(1, kind="stable")
         out = []
         for i in range(len(d1)):
-            o1, o2 = first[i], second[i]
+            o1, o2 = _nearest(d1[i], most), _nearest(d2[i], most)  # no visit goes further down a list than there are visits
             a, b = d1[i][o1].tolist(), d2[i][o2].tolist()
             heap, pushed, found = [(a[0] + b[0], 0, 0)], {(0, 0)}, []
             while heap and len(found) < most:
@@ -190,13 +199,16 @@ def class_links(classes: DataFrame, least: float) -> tuple[DataFrame, DataFrame]
     """From classes (cid, n, v): (cid, links to vectors of other classes) and edges (a, b) of a spanning forest."""
     spark = classes.sparkSession
     n_classes = classes.count()
-    sample = classes.filter(share(F.col("cid"), 11) < min(1.0, SAMPLE / max(n_classes, 1))).select("cid", "v").orderBy("cid").limit(2 * SAMPLE).collect()
-    if not sample:
-        sample = classes.select("cid", "v").orderBy("cid").limit(SAMPLE).collect()
     k = min(MOST_CODES, max(1, math.ceil(math.sqrt(n_classes / PER_CELL))))
+    wanted = max(SAMPLE, SAMPLE_CODE * k)
+    sample = classes.filter(share(F.col("cid"), 11) < min(1.0, wanted / max(n_classes, 1))).select("cid", "v").orderBy("cid").limit(2 * wanted).collect()
+    if not sample:
+        sample = classes.select("cid", "v").orderBy("cid").limit(wanted).collect()
     index = spark.sparkContext.broadcast(MultiIndex(unit(np.array([r["v"] for r in sample])), k))  # 2 x MOST_CODES half vectors at most
     visits = fit_visits(classes, n_classes, index, least)
 
+    kind = dict(classes.dtypes)["v"]
+
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
@@ -204,7 +216,7 @@ def class_links(classes: DataFrame, least: float) -> tuple[DataFrame, DataFrame]
                 d1, d2 = index.value.lists(unit(_matrix(part.column("v"))))
                 yield pa.RecordBatch.from_arrays([part.column("cid"), part.column("n"), part.column("v"), pa.array(index.value.cells(d1, d2), pa.int64()), pa.array(index.value.visits(d1, d2, visits), pa.list_(pa.int64()))], ["cid", "n", "v", "cell", "visits"])
 
-    placed = materialize(spark, classes.mapInArrow(assign, "cid long, n long, v array<float>, cell long, visits array<long>"), "imi-placed")
+    placed = materialize(spark, classes.mapInArrow(assign, f"cid long, n long, v {kind}, cell long, visits array<long>"), "imi-placed")
     # Blocks: rows of a cell, and rows that visit a cell, in pieces of about BLOCK by hash.
     sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("held"))
     fanned = placed.select("cid", "n", "v", F.col("cell").alias("own"), "visits", F.explode("visits").alias("cell"))
@@ -255,7 +267,8 @@ def sign_links(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", least: float = LEAST) -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id, kept."""
     spark = vectors.sparkSession
-    raw = pick(vectors, vec_id=F.col(f"`{id_col}`").cast("long"), v=F.col(f"`{vec_col}`").cast("array<float>"))
+    kind = "array<float>" if dict(vectors.dtypes)[vec_col] == "array<float>" else "array<double>"  # floats are doubles in every product
+    raw = pick(vectors, vec_id=F.col(f"`{id_col}`").cast("long"), v=F.col(f"`{vec_col}`").cast(kind))
     sound = F.expr("v is not null and not exists(v, x -> x is null or isnan(x) or abs(x) = float('inf')) and exists(v, x -> x <> 0)")
     rows = materialize(spark, raw.withColumn("sound", F.coalesce(sound, F.lit(False)) & F.col("vec_id").isNotNull()), "vectors")
     usable = rows.filter("sound")
