@@ -16,7 +16,7 @@ from .sources.mtx import read_mtx, write_mtx
 
 log = logging.getLogger("latticework")
 #: Execution policies that are accepted and left to Spark's planner.
-POLICIES = ("auto", "seq", "par", "par-unseq", "mpi")
+POLICIES = ("auto", "seq", "par", "par-unseq", "cuda", "mpi")
 
 
 def parser() -> argparse.ArgumentParser:

@@ -53,8 +53,16 @@ class SparseMatrix:
         return SparseMatrix(df, self.n_rows, self.n_cols)
 
     def append(self, other: SparseMatrix) -> SparseMatrix:
-        """The entries of both, duplicates and all."""
-        return self.with_df(self.df.unionByName(other.df, allowMissingColumns=True))
+        """The entries of both, duplicates and all; those of ``other`` come later. Entries without an order of their own have none among
+        themselves: they come together, after or before the others as the parts do."""
+        if "seq" not in self.df.columns and "seq" not in other.df.columns:
+            return self.with_df(self.df.unionByName(other.df))
+        mine, theirs = (m.df if "seq" in m.df.columns else m.df.withColumn("seq", F.lit(0).cast("long")) for m in (self, other))
+        # One row each: how far the second part moves so that it begins after the first one's end.
+        last = mine.agg(F.max("seq").alias("last")).crossJoin(F.broadcast(theirs.agg(F.min("seq").alias("first"))))
+        shift = last.select((F.coalesce("last", F.lit(-1)) - F.coalesce("first", F.lit(0)) + 1).alias("lw_shift"))
+        moved = theirs.crossJoin(F.broadcast(shift)).withColumn("seq", F.col("seq") + F.col("lw_shift")).drop("lw_shift")
+        return self.with_df(mine.unionByName(moved))
 
     def clear(self) -> SparseMatrix:
         return self.with_df(self.df.limit(0))
@@ -120,32 +128,41 @@ class SparseMatrix:
         return scale(self, method, n_rows, n_cols, **options)
 
 
+#: Entries that a builder takes one by one; more belong in DataFrames.
+MOST_SINGLE = 1_000_000
+
+
 class MatrixBuilder:
-    """Collects entries on the driver and DataFrames of entries; ``finalize`` merges them by a policy."""
+    """Collects entries on the driver (MOST_SINGLE at most) and DataFrames of entries, in the order they are added; ``finalize`` merges them by a policy."""
 
     def __init__(self, spark: SparkSession, n_rows: int, n_cols: int):
         self.spark, self.n_rows, self.n_cols = spark, n_rows, n_cols
-        self.entries: list[tuple[int, int, float]] = []
-        self.frames: list[DataFrame] = []
+        self.parts: list[list[tuple[int, int, float]] | DataFrame] = []
         self.added = 0
 
     def add(self, row: int, col: int, value: float) -> MatrixBuilder:
         if not (0 <= row < self.n_rows and 0 <= col < self.n_cols):
             raise InvalidArgument("an entry lies outside the matrix")
-        self.entries.append((row, col, value))
+        if self.added >= MOST_SINGLE:
+            raise InvalidArgument(f"more than {MOST_SINGLE} single entries: add them as a DataFrame")
+        if not self.parts or isinstance(self.parts[-1], DataFrame):
+            self.parts.append([])
+        self.parts[-1].append((row, col, value))
         self.added += 1
         return self
 
     def add_batch(self, batch: Iterable[tuple[int, int, float]] | DataFrame) -> MatrixBuilder:
         if isinstance(batch, DataFrame):
-            self.frames.append(batch)
+            self.parts.append(batch)
         else:
             for r, c, v in batch:
                 self.add(r, c, v)
         return self
 
     def finalize(self, policy: str = "sum") -> SparseMatrix:
-        out = SparseMatrix.from_entries(self.spark, self.entries, self.n_rows, self.n_cols)
-        for frame in self.frames:
-            out = out.append(out.with_df(frame))
+        out = SparseMatrix.empty(self.spark, self.n_rows, self.n_cols)
+        for part in self.parts:
+            if isinstance(part, DataFrame) and "seq" not in part.columns:
+                part = part.withColumn("seq", F.monotonically_increasing_id())  # the order in which the frame is read
+            out = out.append(out.with_df(part) if isinstance(part, DataFrame) else SparseMatrix.from_entries(self.spark, part, self.n_rows, self.n_cols))
         return out.merged(policy)

@@ -24,13 +24,22 @@ def scale_nearest(m: SparseMatrix, n_rows: int, n_cols: int, policy: str = "sum"
     return SparseMatrix(df.select(F.col("r").alias("row"), F.col("c").alias("col"), "value"), n_rows, n_cols)
 
 
+#: A weight counts above this. Up to its inverse many cells no product of two true weights comes near it, so it cuts rounding noise only.
+LEAST_WEIGHT = 1e-12
+
+
 def scale_bilinear(m: SparseMatrix, n_rows: int, n_cols: int, precision: str = "f64") -> SparseMatrix:
-    """Sums of weighted neighbours. Rows go first and are summed before columns are spread: the shuffles move
-    nnz * s and nnz * s * s rows instead of four times as many."""
+    """Sums of weighted neighbours whose weight, the product of both axes', is above LEAST_WEIGHT. Rows go first and are summed before
+    columns are spread, with the cut on each axis: the shuffles move nnz * s and nnz * s * s rows instead of four times as many. Where true
+    weights can come near the cut (single precision, or very many cells) both axes are spread before the product is cut."""
     df = merge_entries(m.without_zeros().df)
     df = kernels.bilinear(df, "row", m.n_rows, n_rows, "r", "wr", precision)
-    df = df.groupBy("r", "col").agg(F.sum(F.col("value") * F.col("wr")).alias("value"))
-    df = kernels.bilinear(df, "col", m.n_cols, n_cols, "c", "wc", precision).filter("wc > 1e-12")
+    if precision == "f32" or n_rows * n_cols > 1 / LEAST_WEIGHT:
+        df = kernels.bilinear(df, "col", m.n_cols, n_cols, "c", "wc", precision).filter(F.col("wr") * F.col("wc") > LEAST_WEIGHT)
+        df = df.groupBy(F.col("r").alias("row"), F.col("c").alias("col")).agg(F.sum(F.col("value") * F.col("wr") * F.col("wc")).alias("value"))
+        return SparseMatrix(df, n_rows, n_cols)
+    df = df.filter(F.col("wr") > LEAST_WEIGHT).groupBy("r", "col").agg(F.sum(F.col("value") * F.col("wr")).alias("value"))
+    df = kernels.bilinear(df, "col", m.n_cols, n_cols, "c", "wc", precision).filter(F.col("wc") > LEAST_WEIGHT)
     df = df.groupBy(F.col("r").alias("row"), F.col("c").alias("col")).agg(F.sum(F.col("value") * F.col("wc")).alias("value"))
     return SparseMatrix(df, n_rows, n_cols)
 
@@ -46,7 +55,10 @@ def lanczos_candidates(m: SparseMatrix, size: int) -> DataFrame:
 
 
 def scale_lanczos(m: SparseMatrix, n_rows: int, n_cols: int, candidate_cap: int | None = None) -> SparseMatrix:
-    """Normalised three-lobed kernel on the candidates. The candidates cut the spread entries before they are summed."""
+    """Normalised three-lobed kernel on the candidates. The candidates cut the spread entries before they are summed.
+
+    ``candidate_cap`` keeps the first candidates by row and column; there is none unless it is asked for.
+    """
     if m.n_rows != m.n_cols or n_rows != n_cols:
         raise InvalidArgument("Lanczos scaling goes from square to square")
     candidates = lanczos_candidates(m, n_rows)
@@ -63,7 +75,8 @@ def scale_lanczos(m: SparseMatrix, n_rows: int, n_cols: int, candidate_cap: int
 def scale_fft(m: SparseMatrix, n_rows: int, n_cols: int, threshold: float | None = None, batch_rows: int | None = 256) -> SparseMatrix:
     """Fourier interpolation along each row, then down the columns within batches of rows; small results are dropped.
 
-    The threshold is 0.7 for binary matrices and 0.1 for others unless it is given. Kernels of a size that may be broadcast
+    The threshold is 0.7 for binary matrices and 0.1 for others unless it is given. Of entries of one cell the last counts, or their sum
+    where they have no order. Kernels of a size that may be broadcast
     are joined; beyond that, each batch of rows is transformed by one grouped call that holds batch_rows dense rows.
     """
     if threshold is None:
@@ -73,7 +86,7 @@ def scale_fft(m: SparseMatrix, n_rows: int, n_cols: int, threshold: float | None
     if n_cols < m.n_cols // 2 or n_rows < m.n_rows // 2:
         raise Unsupported("Fourier scaling below half the size has no defined result")
     batches = kernels.fourier_batches(m.n_rows, n_rows, batch_rows)
-    df = merge_entries(m.df, "last" if "seq" in m.df.columns else "max")
+    df = merge_entries(m.df, "last" if "seq" in m.df.columns else "sum")
     if m.n_cols * n_cols <= kernels.BROADCAST_ROWS:
         k_col = kernels.kernel_relation(m.spark, [(0, m.n_cols, 0, n_cols)])
         df = df.join(kernels.sized(k_col, m.n_cols * n_cols), F.col("col") == F.col("src"))
@@ -117,7 +130,8 @@ def _fft_by_batch(df: DataFrame, m: SparseMatrix, n_rows: int, n_cols: int, batc
 
 
 def scale_wavelet(m: SparseMatrix, n_rows: int, n_cols: int, policy: str = "sum", allow_anisotropic: bool = False) -> SparseMatrix:
-    """Two-level Haar tiles of 4 x 4, as a join with the impulse responses of a tile's 16 cells (at most 25 600 rows)."""
+    """Two-level Haar tiles of 4 x 4, as a join with the impulse responses of a tile's 16 cells (at most 25 600 rows). Of entries of one cell
+    the last counts, or their sum where they have no order."""
     s = float(np.float32(n_rows) / np.float32(m.n_rows))
     if not allow_anisotropic and n_cols * m.n_rows != n_rows * m.n_cols:
         raise InvalidArgument("wavelet scaling uses the row ratio for both axes; allow_anisotropic=True accepts another column ratio")

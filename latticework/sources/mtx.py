@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import io
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -63,12 +65,14 @@ def parse_header(lines: list[str]) -> MtxInfo:
     raise FormatError("no line of dimensions")
 
 
-def read_header(spark: SparkSession, path: str, most_comments: int = 10_000) -> MtxInfo:
-    """Reads the file's first lines through Spark, so any store that Spark reads will do."""
+def read_header(spark: SparkSession, path: str) -> MtxInfo:
+    """Reads the file's first lines through Spark, so any store that Spark reads will do; more of them while all are comments."""
+    most = 64
     try:
-        lines = [r[0] for r in spark.read.text(path).limit(64).collect()]
-        if all(x.startswith("%") for x in lines[1:]):
-            lines = [r[0] for r in spark.read.text(path).limit(most_comments).collect()]
+        lines = [r[0] for r in spark.read.text(path).limit(most).collect()]
+        while len(lines) == most and all(x.startswith("%") for x in lines[1:]):
+            most *= 16
+            lines = [r[0] for r in spark.read.text(path).limit(most).collect()]
     except Exception as e:
         if "PATH_NOT_FOUND" in str(e):
             raise FileError(f"no such file: {path}") from e
@@ -154,8 +158,17 @@ def write_mtx(m: SparseMatrix, path: str, compressed: bool = False, single_file:
         fs.delete(fs_path(parts), True)
 
 
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file, on any file system that Spark writes."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    out.write(bytearray(text, "utf-8"))
+    out.close()
+
+
 class MtxDataSource(DataSource):
-    """``spark.read.format("mtx").load(path)`` for files that all executors can open; splits the file by bytes."""
+    """``spark.read.format("mtx").load(path)``: local and shared paths and the stores that Arrow's file systems reach; read_mtx reads
+    all that Spark's text scan does. Planning counts the lines once; entries are read split by split."""
 
     @classmethod
     def name(cls) -> str:
@@ -168,11 +181,15 @@ class MtxDataSource(DataSource):
         return MtxReader(self.options)
 
 
+#: Bytes that are read at once.
+_BUFFER = 1 << 20
+
+
 class MtxReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path = options["path"].removeprefix("file://")
+        self.path = options["path"]
         self.splits = int(options.get("splits", "8"))
-        with open(self.path, "rb") as f:
+        with self._open() as f:
             lines = []
             while line := f.readline():
                 lines.append(line.decode())
@@ -181,29 +198,61 @@ class MtxReader(DataSourceReader):
             self.first = f.tell()
             self.last = f.seek(0, 2)
         self.info = parse_header(lines)
+        if self.info.object != "matrix" or self.info.format != "coordinate":
+            raise Unsupported("only coordinate matrices are read")
         if self.info.symmetry == "symmetric":
             self.signs: tuple[int, ...] = (1,)
         else:
             self.signs = (-1,) if self.info.symmetry == "skew-symmetric" else ()
 
+    def _open(self) -> io.BufferedReader:
+        from pyarrow import ArrowInvalid, fs
+
+        if self.path.startswith("file:"):
+            store, name = fs.LocalFileSystem(), "/" + self.path.removeprefix("file:").lstrip("/")
+        elif "://" in self.path:
+            try:
+                store, name = fs.FileSystem.from_uri(self.path)
+            except ArrowInvalid as e:
+                raise Unsupported(f"this source cannot open {self.path}; read_mtx can") from e
+        else:
+            store, name = fs.LocalFileSystem(), self.path
+        return io.BufferedReader(store.open_input_file(name), _BUFFER)
+
+    def _lines(self, f: io.BufferedReader, a: int, b: int) -> Iterator[bytes]:
+        """Lines that begin in a split and are not blank."""
+        if a > self.first:
+            f.seek(a - 1)
+            f.readline()
+        else:
+            f.seek(self.first)
+        at = f.tell()
+        while at < b and (line := f.readline()):
+            at += len(line)
+            if not line.isspace():
+                yield line
+
     def partitions(self) -> list[InputPartition]:
         edges = [self.first + (self.last - self.first) * k // self.splits for k in range(self.splits + 1)]
-        return [InputPartition((a, b)) for a, b in zip(edges, edges[1:], strict=False)]
+        out, before = [], 0
+        with self._open() as f:
+            for a, b in zip(edges, edges[1:], strict=False):
+                out.append(InputPartition((a, b, before)))
+                before += sum(1 for _ in self._lines(f, a, b))
+        if before < self.info.nnz:
+            raise FormatError(f"{self.info.nnz} entries are announced, {before} found")
+        return out
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        a, b = partition.value
-        with open(self.path, "rb") as f:
-            if a > self.first:  # a line belongs to the split in which it begins
-                f.seek(a - 1)
-                f.readline()
-            else:
-                f.seek(self.first)
-            while f.tell() < b and (line := f.readline()):
+        a, b, before = partition.value
+        with self._open() as f:
+            for line in itertools.islice(self._lines(f, a, b), max(0, self.info.nnz - before)):  # lines after the last entry are ignored
                 words = line.split()
-                if not words:
-                    continue
-                row, col = int(words[0]) - 1, int(words[1]) - 1
-                value = 1.0 if self.info.value == "pattern" else float(words[2])
+                try:
+                    row, col = int(words[0]) - 1, int(words[1]) - 1
+                    value = 1.0 if self.info.value == "pattern" else float(words[2])
+                except (IndexError, ValueError) as e:
+                    raise FormatError(f"no entry: {line!r}") from e
                 if not (0 <= row < self.info.n_rows and 0 <= col < self.info.n_cols):
                     raise FormatError("an entry lies outside the matrix")
                 yield row, col, value

@@ -172,3 +172,62 @@ def test_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert {(r["row"], r["col"]): r["value"] for r in spark.table("scaled").collect()} == cells(m.scale("bilinear", 8, 8))
+
+
+def test_the_order_of_entries_survives_appending(spark):
+    first = SparseMatrix.from_entries(spark, [(0, 0, 1.0), (0, 0, 2.0), (0, 0, 3.0)], 2, 2)
+    second = SparseMatrix.from_entries(spark, [(0, 0, 9.0)], 2, 2)
+    assert cells(first.append(second).merged("last")) == {(0, 0): 9.0}
+    assert cells(second.append(first).merged("last")) == {(0, 0): 3.0}
+    frame = spark.createDataFrame([(0, 0, 5.0), (1, 1, 6.0)], "row long, col long, value double")
+    assert cells(SparseMatrix.builder(spark, 2, 2).add(0, 0, 1.0).add_batch(frame).finalize("last")) == {(0, 0): 5.0, (1, 1): 6.0}
+    assert cells(SparseMatrix.builder(spark, 2, 2).add_batch(frame).add(0, 0, 1.0).finalize("last")) == {(0, 0): 1.0, (1, 1): 6.0}
+    assert cells(SparseMatrix.empty(spark, 2, 2).append(first).merged("last")) == {(0, 0): 3.0}
+    assert SparseMatrix.builder(spark, 2, 2).finalize().nnz() == 0
+
+
+def test_bilinear_has_no_noise_cells(spark):
+    m = SparseMatrix.from_entries(spark, [(7, 3, 1.0), (2, 9, 4.0)], 14, 14)
+    up, across = cells(m.scale("bilinear", 34, 34)), cells(m.transposed().scale("bilinear", 34, 34))
+    assert {(c, r) for r, c in across} == set(up) and min(up.values()) > 1e-6
+    assert all(abs(across[c, r] - v) < 1e-12 for (r, c), v in up.items())
+    direct = cells(m.scale("bilinear", 34, 34, precision="f32"))
+    assert all(abs(direct[k] - v) < 1e-5 for k, v in up.items())
+
+
+@pytest.mark.parametrize(("shape", "label"), [((4, 2, 8, 4), "Upscale (Square 2.00x)"), ((4, 4, 8, 4), "Scale (Non-square 2.00x1.00)"), ((4, 4, 4, 4), "Identity (1x)"), ((8, 8, 2, 4), "Downscale (Non-square 0.25x0.50)")])
+def test_scale_types(spark, shape, label):
+    assert analysis.scale_type(SparseMatrix.empty(spark, *shape[:2]), SparseMatrix.empty(spark, *shape[2:])) == label
+
+
+def test_empty_matrices_have_results(spark):
+    none, one = SparseMatrix.empty(spark, 4, 4), SparseMatrix.from_entries(spark, [(0, 0, 2.0)], 8, 8)
+    assert set(analysis.stats_general(none).first().asDict().values()) <= {0, 0.0, 1, 1.0, 4}
+    assert None not in analysis.features_square(none).first()
+    r = analysis.compare_scaling(none, one).first()
+    assert (r["method"], r["nnz_ratio"], r["expected_nnz"], r["nnz_match"], r["sum_ratio"], r["value_conserved"]) == ("Unknown", float("inf"), 0.0, False, float("inf"), False)
+    r = analysis.compare_scaling(none, none).first()
+    assert (r["nnz_ratio"], r["nnz_match"], r["diag_match"], r["value_conserved"], r["density_ratio"]) == (0.0, True, True, True, 0.0)
+    assert analysis.feature_comparison(none, none).count() == 14 and analysis.feature_bars(none, none).count() == 10
+    assert "Unknown" in analysis.comparison_text(none, one) and "Upscale (Square 2.00x)" in analysis.comparison_text(none, one)
+
+
+def test_feature_grades(spark):
+    m = vector(spark, 8)
+    rows = {r["feature"]: r for r in analysis.feature_comparison(m, m.scale("nearest", 16, 16)).collect()}
+    assert abs(rows["nnz"]["expected"] - 8 * 2**1.2) < 1e-9 and abs(rows["dens"]["expected"] - 2**1.2 / 4 / 8) < 1e-12
+    assert abs(rows["rmi"]["expected"] - 2**0.2) < 1e-9 and rows["profil"]["expected"] == 0.0 and rows["psym"]["grade"] == "GOOD"
+    scored = [rows[f]["diff_pct"] * w for f, w in analysis.SCORED.items()]
+    assert abs(analysis.feature_score(m, m.scale("nearest", 16, 16)).first()["score"] - sum(scored) / 6) < 1e-9
+
+
+def test_source_counts_entries(spark, tmp_path):
+    register(spark)
+    load = lambda text, splits: spark.read.format("mtx").option("splits", splits).load(put(tmp_path / f"s{abs(hash(text))}.mtx", text))
+    text = HEADER.format("real", "general") + "9 9 4\n" + "".join(f"{k} {k} {k}.5\n\n" for k in range(1, 8))
+    for splits in (1, 3, 9):
+        assert sorted((r["row"], r["value"]) for r in load(text, splits).collect()) == [(k - 1, k + 0.5) for k in range(1, 5)]
+    with pytest.raises(Exception, match="announced"):
+        load(HEADER.format("real", "general") + "9 9 4\n1 1 1\n2 2 2\n", 2).collect()
+    many = "%%MatrixMarket matrix coordinate real general\n" + "% note\n" * 200 + "2 2 1\n2 2 3.5\n"
+    assert cells(read_mtx(spark, put(tmp_path / "many.mtx", many))) == {(1, 1): 3.5}
