@@ -193,7 +193,7 @@ def test_mixing(docs, none):
         given |= {k: 2.0 * sizes[k] for k in full}
         left -= sum(2.0 * sizes[k] for k in full)
         open_ -= full
-    assert all(abs(given[k] - targets[k]) < 1e-6 and abs(sums[k] - targets[k]) <= 1 for k in order)
+    assert all(abs(given[k] - targets[k]) < 1e-6 and abs(sums[k] - targets[k]) <= 8 for k in order)
     assert sorted(map(str, mixing.mixing_counts(docs).collect())) == sorted(map(str, rows))
     assert mixing.mixing_counts(none).count() == 0
     assert mixing.mixed_documents(docs).columns == docs.columns
@@ -271,14 +271,13 @@ def test_pipeline(spark):
     kept = [(i, t) for i, t in kept if groups[i][1] == i]
     stay = spark.createDataFrame(kept, "lw long, t string").select("lw")
     left = docs.join(stay, F.col("doc_id") == F.col("lw"), "left_semi")
-    counts = {r["doc_id"]: -(-r["taken"] // r["size"]) for r in mixing.mixing_counts(left).collect() if r["taken"]}
+    counts = {r["doc_id"]: -(-r["taken"] // r["size"]) for r in mixing.mixing_counts(left).collect() if r["taken"]}  # passes
     out = corpus_pipeline.run(spark, SF_DIR).collect()
     found = {}
     for r in out:
         found[r["doc_id"]] = found.get(r["doc_id"], 0) + 1
         assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
-    assert found.keys() == counts.keys()
-    assert sum(found[i] != counts[i] for i in found) <= len({r["source"] for r in docs.select("source").distinct().collect()})
+    assert found == counts
 
 
 def test_vectors_where_links_are_rare(spark, monkeypatch):
@@ -310,3 +309,275 @@ def test_components_that_are_not_done_are_an_error(spark):
     with pytest.raises(RuntimeError):
         connected_components(path, rounds=1)
     assert {r["component"] for r in connected_components(path).collect()} == {0}
+
+
+# ---- Registered queries on whole tables ----
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    return {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()}
+
+
+def test_toxicity_query_on_held_out_rows(spark):
+    d = "/root/testdata/sf0.01"
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    whole = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    rows = queries.QUERIES["op2_toxicity"](spark, d).collect()
+    assert len(rows) == len(whole) and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in rows)
+    held = [r for r in rows if r["held_out"] and r["doc_id"] in labels]
+    assert sum(r["predicted"] == labels[r["doc_id"]] for r in held) >= 0.95 * len(held) and any(r["spans"] for r in held)
+    for r in rows:
+        assert r["predicted"] == (r["score"] >= 0.7) and 0 <= r["score"] <= 1
+        for span in filter(None, r["spans"].split(",")):  # whole words of the text
+            a, b = map(int, span.split(":"))
+            assert re.fullmatch(r"\w+", whole[r["doc_id"]][a:b])
+
+
+def test_language_query_on_held_out_rows(spark):
+    d = "/root/testdata/sf0.01"
+    lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    rows = queries.QUERIES["op3_language_id"](spark, d).collect()
+    held = [r for r in rows if r["held_out"] and lang[r["doc_id"]] is not None]
+    assert len(rows) == len(lang) and sum(r["lang_pred"] == lang[r["doc_id"]] for r in held) >= 0.95 * len(held)
+
+
+def test_token_queries_against_the_libraries(spark, texts):
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    byte, word = (Tokenizer.from_file(P.path(n)) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
+    tik = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+    as_bytes = lambda ids: np.array(ids, "<u4").tobytes()
+    for r in queries.QUERIES["op7_token_counts"](spark, SF_DIR).collect():
+        n = len(byte.encode(texts[r["doc_id"]], add_special_tokens=False).ids)
+        assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(texts[r["doc_id"]].encode()), n, n > 512)
+    for r in queries.QUERIES["op8_byte_bpe"](spark, SF_DIR).collect():
+        ids = tik.encode_ordinary(texts[r["doc_id"]])
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(as_bytes(ids)).hexdigest())
+        assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
+    rows, start = {r["doc_id"]: r for r in queries.QUERIES["op10_token_store"](spark, SF_DIR).collect()}, 0
+    for i in sorted(texts):
+        ids = word.encode(texts[i], add_special_tokens=False).ids + [1]
+        assert (rows[i]["start"], rows[i]["n_tokens"], rows[i]["ids_crc32"]) == (start, len(ids), zlib.crc32(as_bytes(ids)))
+        start += len(ids)
+
+
+def plain_base(text):
+    """The contract's base spans by plain patterns."""
+    out = [(m.start(), 0, m.end(), "assign") for m in re.finditer(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A) if len(m[1]) >= 6]
+    out += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    out += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(out)
+
+
+def test_secret_query_against_plain_patterns(spark, texts):
+    for r in queries.QUERIES["op9_secret_scan"](spark, SF_DIR).collect():
+        base = plain_base(texts[r["doc_id"]])
+        joined = [f"{kind}:{a}:{b}" for a, _, b, kind in base]
+        assert r["base_sha256"] == hashlib.sha256(",".join(joined).encode()).hexdigest()
+        assert [r[f"n_{k}"] for k in ("assign", "access", "hex")] == [sum(s[3] == k for s in base) for k in ("assign", "access", "hex")]
+        assert [s for s in r["spans"].split(",") if s and not s.startswith("random")] == joined
+
+
+# ---- Odd cases ----
+
+
+def test_exact_dedup_keeps_the_longest_of_rows_that_share_an_id(spark, monkeypatch):
+    df = spark.createDataFrame([(7, "ab", "x"), (7, "a b      ", "y"), (7, "a b      ", "z"), (8, "ab ", "w"), (9, "c", "v")], "doc_id long, text string, tag string")
+    assert sorted((r["doc_id"], r["text"]) for r in exact_dedup.exact_dedup(df).collect()) == [(7, "a b      "), (9, "c")]
+    monkeypatch.setattr(exact_dedup, "FAN_IN", 2)
+    monkeypatch.setattr(exact_dedup.F, "sha2", lambda c, n: F.lit("00" * 32))
+    assert sorted((r["doc_id"], r["text"]) for r in exact_dedup.exact_dedup(df).collect()) == [(7, "a b      "), (9, "c")]
+
+
+def test_compaction_goes_level_by_level(spark):
+    rows = [(run, bytes([d]), (-(run % 3), run), 1) for run in range(9) for d in range(run + 1)]
+    runs = spark.createDataFrame(rows, "run long, digest binary, best struct<neg: long, id: long>, n long")
+    found = {r["digest"][0]: (r["best"]["neg"], r["best"]["id"], r["n"]) for r in exact_dedup.compact(runs, 2).collect()}
+    assert found == {d: (*min((-(run % 3), run) for run in range(d, 9)), 9 - d) for d in range(9)}
+
+
+def test_words_of_any_length_keep_all_segmentations(spark):
+    pieces = language_id.Pieces(["a", "b", "ab", "ba", "aba"])
+    probs = np.array([[0.1, 0.3], [0.2, 0.1], [0.3, 0.1], [0.15, 0.2], [0.05, 0.01], [1e-7, 1e-7], [0.0, 0.0]])
+    number = {p: i for i, p in enumerate(["a", "b", "ab", "ba", "aba"])}
+    words = ["ab" * 600 + "q" * 200, "a", "ba" * 40, "q" * 44 + "abab"]
+    found = language_id.forward(pieces, probs, words)
+    for w, row in zip(words, found, strict=True):
+        for lang in range(2):
+            sums = [0.0]  # logarithms, place by place
+            for k in range(1, len(w) + 1):
+                terms = [sums[k - n] + np.log(probs[number.get(w[k - n : k], 5), lang]) for n in (1, 2, 3) if n <= k and (n == 1 or w[k - n : k] in number)]
+                sums.append(np.logaddexp.reduce(terms))
+            assert abs(row[lang] - sums[-1]) < 1e-6 * max(1, abs(sums[-1]))
+    assert found[3][0] != found[3][1]
+
+
+def test_many_languages_are_all_learned(spark):
+    words = {f"l{k:04d}": chr(0x4E00 + k) for k in range(1100)}
+    df = spark.createDataFrame([(i, c * 3, lang) for i, (lang, c) in enumerate(words.items())], "doc_id long, text string, lang string")
+    model = language_id.fit(df, F.lit(True))
+    assert len(model.languages) == 1100
+    assert language_id._Scorer(model).score([words["l0003"], words["l1099"]])[1][0] == "l1099"
+
+
+def test_ngram_regions_split_by_pivots(spark, monkeypatch):
+    """Clusters and chains that share a passage, with regions of more than a few members cut by pivots."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    monkeypatch.setattr(ngram_join, "SALT_ROWS", 16)
+    rng = np.random.default_rng(6)
+    common = [str(x) for x in rng.integers(0, 10_000, 40)]
+    rows = [(0, None), (1, "")]
+    for c in range(8):
+        words = common + [str(x) for x in rng.integers(0, 10_000, 120 if c % 2 else 300)]
+        for k in range(14):
+            words = list(words)
+            words[rng.integers(0, len(words))] = f"q{k}"
+            rows.append((100 * c + 10 + k, " ".join(words)))
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == brute_groups(rows)
+
+
+def test_dealing_meets_every_link():
+    """One round of pivots: linked sets of a ring share a region in which one of them is at home."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    some = lambda n: np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+    sets = []
+    for _ in range(12):
+        s = some(300)
+        for _ in range(8):
+            sets.append(s)
+            s = np.unique(np.concatenate([rng.choice(s, len(s) - rng.integers(0, 40), replace=False), some(rng.integers(0, 30))]))
+    sets = [s for s in sets if 240 <= len(s) <= 360]
+    n, classes, home = [len(s) for s in sets], ngram_join._classes(sets).to_pylist(), rng.random(len(sets)) < 0.8
+    chosen = [{"id": k, "n": n[k], "classes": classes[k]} for k in range(0, len(sets), 9)]
+    batch = pa.RecordBatch.from_pylist([{"cell": 5, "id": k, "n": n[k], "home": bool(home[k]), "level": 256, "classes": classes[k], "pivots": chosen} for k in range(len(sets))])
+    where = {}
+    for out in ngram_join._deal(iter([batch])):
+        for r in out.to_pylist():
+            where.setdefault(r["id"], {})[r["pivot"]] = r["home"]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if (home[a] or home[b]) and 100 * (c := len(np.intersect1d(sets[a], sets[b]))) >= 80 * (n[a] + n[b] - c)]
+    assert len(links) > 50 and all(any(where[a][k] or where[b][k] for k in where[a].keys() & where[b].keys()) for a, b in links)
+    assert sum(map(len, where.values())) < 4 * len(sets)
+
+
+def test_long_texts_hash_as_short_ones(monkeypatch):
+    rng = np.random.default_rng(1)
+    many = ["".join(rng.choice(list("abA \t\nz"), rng.integers(0, 400))) for _ in range(40)]
+    whole = ngram_join.shingle_sets(many)
+    assert [len(s) for s in whole] == [len(ngram_join.shingles(t)) for t in many]
+    monkeypatch.setattr(ngram_join, "CHUNK", 37)
+    ngram_join._powers.cache_clear()
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(whole, ngram_join.shingle_sets(many), strict=True))
+    ngram_join._powers.cache_clear()
+
+
+def test_the_schedule_decides_the_mix(docs, monkeypatch):
+    def sums(rows):
+        out = {}
+        for r in rows:
+            out[r["source"]] = out.get(r["source"], 0) + r["taken"]
+        return out
+
+    before = mixing.mixing_counts(docs).collect()
+    passes = {r["doc_id"]: -(-r["taken"] // r["size"]) for r in before if r["taken"] and r["doc_id"] not in (9, None)}
+    found = {}
+    for r in mixing.mixed_documents(docs).collect():
+        found[r["doc_id"]] = found.get(r["doc_id"], 0) + 1
+    assert {k: v for k, v in found.items() if k not in (9, None)} == passes
+    slots = [r["slot"] for r in mixing.mixing_plan(docs).slots.collect()]
+    assert len(set(slots)) == len(slots)
+    monkeypatch.setattr(mixing, "GOLDEN", 0)  # all points fall on the first source
+    after = sums(mixing.mixing_counts(docs).collect())
+    assert after != sums(before) and [k for k, v in after.items() if v] == ["s1"]
+
+
+def test_encoder_agrees_with_the_library_on_every_code_point():
+    from tokenizers import Tokenizer
+
+    with open(P.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = f.read()
+    lib, own = Tokenizer.from_str(spec), token_store.LibraryEncoder(spec)
+    every = [f"a{chr(i)}b {chr(i)}{chr(i)}9" for i in range(0x20000) if not 0xD800 <= i < 0xE000]
+    for at in range(0, len(every), 4096):
+        part = every[at : at + 4096]
+        assert [x.tolist() for x in own.encode(part)] == [e.ids for e in lib.encode_batch_fast(part, add_special_tokens=False)]
+    with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        other = f.read()
+    assert token_store.LibraryEncoder(other).encode(["A naïve Text"])[0].tolist() == Tokenizer.from_str(other).encode("A naïve Text").ids
+
+
+def test_merkle_root(spark):
+    def root(level):
+        if not level:
+            return hashlib.sha256(b"").hexdigest()
+        while len(level) > 1:
+            level = [hashlib.sha256("".join(level[i : i + 2]).encode()).hexdigest() if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+        return level[0]
+
+    leaves = [[hashlib.sha256(bytes([k, n])).hexdigest() for k in range(n)] for n in (0, 1, 2, 3, 5, 8, 13)]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(leaves)], "i int, x array<string>").select("i", token_store.merkle_root(F.col("x")).alias("root"))
+    assert {r["i"]: r["root"] for r in rows.collect()} == {i: root(x) for i, x in enumerate(leaves)}
+
+
+def test_a_damaged_store_is_found(spark, docs, tmp_path):
+    path = str(tmp_path / "store")
+    token_store.write_store(docs, path)
+    chunks = spark.read.parquet(f"{path}/chunks").collect()
+    bad = [(r["digest"], bytes(r["ids"]) + b"\0\0\0\0" if k == 0 else r["ids"]) for k, r in enumerate(chunks)]
+    spark.createDataFrame(bad, "digest binary, ids binary").write.mode("overwrite").parquet(f"{path}/chunks")
+    assert token_store.verify_manifest(spark, path).count() == 0
+    assert {r["verified"] for r in token_store.read_store(spark, path).collect()} == {True, False}
+    recipes = spark.createDataFrame(spark.read.parquet(f"{path}/recipes").collect()[1:], spark.read.parquet(f"{path}/recipes").schema)
+    recipes.write.mode("overwrite").parquet(f"{path}/recipes")
+    assert token_store.verify_manifest(spark, path).count() > 0
+
+
+def test_long_tokens_and_decoding(spark):
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    rows = [(1, "a" * 20_000), (2, "xq" * 9_000 + "ß" * 500), (3, None), (4, "kurz")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    tik = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+    byte, word = (Tokenizer.from_file(P.path(n)) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
+    coded = byte_codec.byte_encode(df)
+    assert {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in coded.collect()} == {i: tik.encode_ordinary(t or "") for i, t in rows}
+    assert {r["doc_id"]: r["text"] for r in byte_codec.byte_decode(coded).collect()} == {i: t or "" for i, t in rows}
+    assert {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(df).collect()} == {i: len(byte.encode(t or "").ids) for i, t in rows}
+    assert {r["doc_id"]: r["n_tokens"] for r in token_store.stored_tokens(df).collect()} == {i: len(word.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in rows}
+
+
+def test_secrets_are_controlled_over_the_table(spark):
+    rng = np.random.default_rng(5)
+    letters = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 40)) for _ in range(30)]
+    keys = [base64.b64encode(rng.bytes(33)).decode() for _ in range(30)]
+    plain = ["internationalization" * 2, "The-quick-brown-fox-jumps-over", "donaudampfschifffahrtsgesellschaft", "anticonstitutionnellement"] * 10
+    rows = [(i, f"é {x} end") for i, x in enumerate(letters + keys + plain)] + [(500, None), (501, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in secrets_scan.secret_spans(df).collect()}
+    assert all(found[i] == f"random:2:{2 + len(keys[i - 30].rstrip('='))}" for i in range(30, 60) if found[i]) and sum(found[i] != "" for i in range(30, 60)) >= 27
+    assert sum(found[i] == "random:2:42" for i in range(30)) >= 27
+    assert not any(found[i] for i in range(60, 100)) and found[500] == found[501] == ""
+    assert secrets_scan.battery("qzjxkvwpbfhqzmtrnxycwdgu")[1] < 1e-6
+
+
+def test_vectors_of_doubles(spark):
+    near = [0.95, (1 - 0.95**2) ** 0.5]
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, near), (3, [0.9499999999, (1 - 0.9499999999**2) ** 0.5]), (1, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    rows = sorted((r["vec_id"], r["n_links"]) for r in embedding_dedup.near_vectors(df).collect())
+    assert rows[0][0] == rows[1][0] == 1 and rows[0] == rows[1] and rows[3] == (3, 1)
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").limit(60)
+    odd = docs.limit(6).unionByName(docs.limit(3).withColumn("text", F.lit(None).cast("string")).withColumn("doc_id", F.col("doc_id") + 10_000)).unionByName(docs)
+    odd.withColumn("lw_id", F.lit("x")).withColumn("digest", F.lit(1)).write.parquet(str(tmp_path / "a" / "documents.parquet"))
+    rows = corpus_pipeline.run(spark, str(tmp_path / "a")).collect()
+    known = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert rows and all(r["decoded_sha256"] == hashlib.sha256(known[r["doc_id"]].encode()).hexdigest() for r in rows)
+    docs.limit(0).write.parquet(str(tmp_path / "b" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "b")).count() == 0
