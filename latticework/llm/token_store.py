@@ -5,9 +5,9 @@ memo lacks, and appends the end id to each document; texts that the split could
 vocabulary files of another build, go to the library whole. Chunking: a rolling hash over the last ids of a document
 cuts its stream, with a least and a greatest length. Files below ``path``: ``chunks`` (each distinct chunk once:
 SHA-256, ids as little-endian unsigned 32-bit integers), ``recipes`` (documents in ascending doc_id order: start,
-length, the chunks' digests and ends, and the Merkle root of the document: a binary tree over the digests and the length)
-and ``manifest`` (a node for each piece of the recipes, from the roots of its documents, and the tree above them, level
-by level, up to one root). Reading checks every chunk against its digest, every document against its root and every node
+length, the chunks' digests and ends, and the document's node of a Merkle tree: the hash of its chunks' digests and its length)
+and ``manifest`` (the tree above: leaves over LEAF_DOCS documents in order, then 2**FAN_BITS nodes to a parent, level by level, up to
+one root). Reading checks every chunk against its digest, every document against its root and every node
 of the manifest against its children; a store that does not verify is an error.
 
 Payloads of chunks that occur once go to the store without a shuffle; a filter picks the others,
@@ -38,8 +38,8 @@ from .common import bit_filter, by_bytes, discard, materialize, per_worker, pick
 END_ID = 1
 #: Chunk lengths in ids: least, greatest, and one cut in 2**CUT_BITS places on average.
 LEAST, GREATEST, CUT_BITS, SPAN = 128, 4096, 9, 8
-#: Documents in a piece of the recipes, each a leaf of the manifest; nodes of one level that share a parent.
-PIECE_DOCS, FAN_OUT = 1 << 14, 64
+#: Documents in a piece of the recipes, up to MOST_PIECES pieces; documents to a leaf of the manifest; binary digits of a parent's children.
+PIECE_DOCS, MOST_PIECES, LEAF_DOCS, FAN_BITS = 1 << 14, 20_000, 1 << 10, 6
 #: Places in the memo's table of ids.
 _ROOM = 1 << 22
 
@@ -63,7 +63,11 @@ class LibraryEncoder:
         # The same model for pre-tokens that are normalised and split already.
         self.pieces = Tokenizer.from_str(spec)
         self.pieces.normalizer = normalizers.Sequence([])
-        self.pieces.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.pieces.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        # Every pre-token's last id, and no other, has the file's mark of a word's end: so many can be encoded in one call.
+        suffix, vocab = data["model"]["end_of_word_suffix"], self.whole.get_vocab(False)
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
         self.alike: set[str] = set(map(chr, range(128)))
         self.strange: set[str] = set()
         self._reset()
@@ -79,7 +83,7 @@ class LibraryEncoder:
         kinds = [(n.get("type"), n.get("content")) for n in steps.get("normalizers", [])]
         cuts = (data.get("pre_tokenizer") or {}).get("pretokenizers", [])
         plain = all(not t[k] for t in data.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized"))
-        if kinds != [("NFC", None), ("Replace", " "), ("Lowercase", None)] or steps["normalizers"][1]["pattern"] != {"Regex": r"\s+"} or not plain:
+        if data["model"]["type"] != "BPE" or not data["model"].get("end_of_word_suffix") or kinds != [("NFC", None), ("Replace", " "), ("Lowercase", None)] or steps["normalizers"][1]["pattern"] != {"Regex": r"\s+"} or not plain:
             return None
         if [c.get("type") for c in cuts] != ["Split", "ByteLevel"] or cuts[0]["behavior"] != "Removed" or not cuts[0]["invert"] or cuts[1]["use_regex"] or cuts[1]["add_prefix_space"]:
             return None
@@ -104,14 +108,16 @@ class LibraryEncoder:
     def _learn(self, words: list[str]) -> None:
         for at in range(0, len(words), 4096):
             part = words[at : at + 4096]
-            found = [e.ids for e in self.pieces.encode_batch_fast(part, add_special_tokens=False)]
-            n, first, flat = len(part), len(self.places), [i for ids in found for i in ids]
+            flat = np.array(self.pieces.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            n, first, stops = len(part), len(self.places), np.flatnonzero(self.last[flat]) + 1
+            if len(stops) != n:
+                raise ValueError("the vocabulary does not mark the end of every word")
             while first + n > len(self.starts):
                 self.starts, self.sizes = np.concatenate([self.starts, self.starts]), np.concatenate([self.sizes, self.sizes])
             while self.used + len(flat) > len(self.ids):
                 self.ids = np.concatenate([self.ids, self.ids])
-            sizes = np.fromiter(map(len, found), np.int64, n)
-            self.starts[first : first + n], self.sizes[first : first + n] = self.used + np.cumsum(sizes) - sizes, sizes
+            sizes = np.diff(stops, prepend=0)
+            self.starts[first : first + n], self.sizes[first : first + n] = self.used + stops - sizes, sizes
             self.ids[self.used : self.used + len(flat)] = flat
             self.used += len(flat)
             self.places.update(zip(part, range(first, first + n), strict=True))
@@ -233,53 +239,48 @@ def write_store(docs: DataFrame, path: str, vocabulary: str = "word_bpe_49k.json
 
     # Recipes in ascending order, in pieces; each piece's first start is the sum of the pieces before.
     slim = staged.select("doc_id", "n_tokens", F.expr("transform(chunks, c -> c.digest)").alias("digests"), F.expr("transform(chunks, c -> c.end)").alias("ends"))
-    pieces = max(1, -(-slim.count() // PIECE_DOCS))
+    pieces = min(MOST_PIECES, max(1, -(-slim.count() // PIECE_DOCS)))
     ranged = slim.withColumn("tie", F.element_at("digests", 1)).repartitionByRange(pieces, F.col("doc_id"), F.col("n_tokens"), F.col("tie")).withColumn("piece", F.spark_partition_id())
     ranged = materialize(spark, ranged, "store-ranged")
-    sums = ranged.groupBy("piece").agg(F.sum("n_tokens").alias("words"))
+    sums = ranged.groupBy("piece").agg(F.sum("n_tokens").alias("words"), F.count(F.lit(1)).alias("docs"))
+    most = sums.agg(F.max("docs")).first()[0] or 1
+    bits = (((most - 1) // LEAF_DOCS).bit_length() + FAN_BITS - 1) // FAN_BITS * FAN_BITS  # of a leaf's number in its piece
     first = F.coalesce(F.sum("words").over(Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sums = sums.select("piece", first.alias("first"))
-    inside = Window.partitionBy("piece").orderBy("doc_id", "n_tokens", "tie").rowsBetween(Window.unboundedPreceding, -1)
-    recipes = ranged.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(sums, "piece")
-    recipes = recipes.select("piece", "doc_id", (F.col("first") + F.col("inside")).alias("start"), "n_tokens", "digests", "ends", document_root("digests", "n_tokens").alias("root"))
-    recipes.sortWithinPartitions("piece", "start").write.parquet(f"{path}/recipes")
-    # The manifest: a leaf for each piece of the recipes, then FAN_OUT nodes to a parent until one is left.
-    level, left, height = _leaves(spark.read.parquet(f"{path}/recipes")), pieces, 0
+    order = Window.partitionBy("piece").orderBy("doc_id", "n_tokens", "tie")
+    recipes = ranged.withColumn("inside", F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")).withColumn("nth", F.row_number().over(order) - 1).join(sums, "piece")
+    leaf = F.shiftleft(F.col("piece").cast("long"), bits) + F.expr(f"nth div {LEAF_DOCS}")
+    recipes = recipes.select(leaf.alias("leaf"), "doc_id", (F.col("first") + F.col("inside")).alias("start"), "n_tokens", "digests", "ends", document_node("digests", "n_tokens").alias("root"))
+    recipes.sortWithinPartitions("leaf", "start").write.parquet(f"{path}/recipes")
+    # The manifest: level by level, until one node is left.
+    level, height = _leaves(spark.read.parquet(f"{path}/recipes")), 0
     while True:
         level = materialize(spark, level, "store-level")
-        level.withColumn("level", F.lit(height)).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
-        if left <= 1:
+        level.withColumn("level", F.lit(height)).write.mode("append").parquet(f"{path}/manifest")
+        if level.count() <= 1:
             break
-        level, left, height = _parents(level), -(-left // FAN_OUT), height + 1
+        level, height = _parents(level), height + 1
     discard(spark, staged, ranged)
 
 
-def merkle_root(digests):
-    """Root of a binary tree over hexadecimal digests in order: SHA-256 of each pair, an odd last one goes up alone; of none, SHA-256 of nothing."""
-    hashed = F.aggregate(
-        F.sequence(F.lit(1), F.ceil(F.log2(F.greatest(F.size(digests), F.lit(1)))).cast("int") + 1),
-        digests,
-        lambda level, _: F.when(F.size(level) <= 1, level).otherwise(
-            F.transform(F.sequence(F.lit(0), F.floor((F.size(level) - 1) / 2).cast("int")), lambda i: F.when(2 * i + 1 < F.size(level), F.sha2(F.concat(F.get(level, 2 * i), F.get(level, 2 * i + 1)), 256)).otherwise(F.get(level, 2 * i)))
-        ),
-    )
-    return F.coalesce(F.get(hashed, F.lit(0)), F.sha2(F.lit(""), 256))
+def _node(children):
+    """A node of the tree: SHA-256 over its children's hashes in order, as hexadecimal digits."""
+    return F.sha2(F.array_join(children, ""), 256)
 
 
-def document_root(digests: str, n_tokens: str):
-    """The tree over a document's chunks, closed by its length."""
-    return F.sha2(F.concat(merkle_root(F.transform(digests, lambda d: F.lower(F.hex(d)))), F.lit(":"), F.col(n_tokens).cast("string")), 256)
+def document_node(digests: str, n_tokens: str):
+    return F.sha2(F.concat(F.array_join(F.transform(digests, F.hex), ""), F.lit(":"), F.col(n_tokens).cast("string")), 256)
 
 
 def _leaves(recipes: DataFrame) -> DataFrame:
-    """(node, start, n_tokens, n_docs, root): a node for each piece, over its documents' roots in order; a piece holds about PIECE_DOCS of them."""
-    found = recipes.groupBy("piece").agg(F.min("start").alias("start"), F.sum("n_tokens").alias("n_tokens"), F.count(F.lit(1)).alias("n_docs"), F.sort_array(F.collect_list(F.struct("start", "root"))).alias("roots"))
-    return found.select(F.col("piece").cast("long").alias("node"), "start", "n_tokens", "n_docs", merkle_root(F.col("roots")["root"]).alias("root"))
+    """(node, start, n_tokens, n_docs, root): the nodes over the documents of a leaf."""
+    found = recipes.groupBy(F.col("leaf").alias("node")).agg(F.min("start").alias("start"), F.sum("n_tokens").alias("n_tokens"), F.count(F.lit(1)).alias("n_docs"), F.sort_array(F.collect_list(F.struct("start", "root"))).alias("roots"))
+    return found.select("node", "start", "n_tokens", "n_docs", _node(F.col("roots")["root"]).alias("root"))
 
 
 def _parents(level: DataFrame) -> DataFrame:
-    found = level.groupBy(F.expr(f"node div {FAN_OUT}").alias("node")).agg(F.min("start").alias("start"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_docs").alias("n_docs"), F.sort_array(F.collect_list(F.struct(F.col("node").alias("at"), "root"))).alias("roots"))
-    return found.select("node", "start", "n_tokens", "n_docs", merkle_root(F.col("roots")["root"]).alias("root"))
+    found = level.groupBy(F.shiftright("node", FAN_BITS).alias("node")).agg(F.min("start").alias("start"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_docs").alias("n_docs"), F.sort_array(F.collect_list(F.struct(F.col("node").alias("at"), "root"))).alias("roots"))
+    return found.select("node", "start", "n_tokens", "n_docs", _node(F.col("roots")["root"]).alias("root"))
 
 
 _CRC = 0xEDB88320
@@ -312,7 +313,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     chunks = spark.read.parquet(f"{path}/chunks")
     facts = chunks.select("digest", F.crc32("ids").alias("crc"), (F.sha2("ids", 256) == F.lower(F.hex("digest"))).alias("intact"))
     recipes = spark.read.parquet(f"{path}/recipes")
-    uses = recipes.select("doc_id", "start", "n_tokens", (F.col("root") == document_root("digests", "n_tokens")).alias("rooted"), F.explode(F.arrays_zip("digests", "ends")).alias("c"))
+    uses = recipes.select("doc_id", "start", "n_tokens", (F.col("root") == document_node("digests", "n_tokens")).alias("rooted"), F.explode(F.arrays_zip("digests", "ends")).alias("c"))
     uses = uses.select("doc_id", "start", "n_tokens", "rooted", F.col("c.digests").alias("digest"), (4 * (F.col("n_tokens") - F.col("c.ends"))).alias("after"))
     joined = uses.join(facts, "digest", "left")
 

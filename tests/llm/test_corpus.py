@@ -510,17 +510,34 @@ def test_encoder_agrees_with_the_library_on_every_code_point():
     assert token_store.LibraryEncoder(other).encode(["A naïve Text"])[0].tolist() == Tokenizer.from_str(other).encode("A naïve Text").ids
 
 
-def test_merkle_root(spark):
-    def root(level):
-        if not level:
-            return hashlib.sha256(b"").hexdigest()
-        while len(level) > 1:
-            level = [hashlib.sha256("".join(level[i : i + 2]).encode()).hexdigest() if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
-        return level[0]
-
-    leaves = [[hashlib.sha256(bytes([k, n])).hexdigest() for k in range(n)] for n in (0, 1, 2, 3, 5, 8, 13)]
-    rows = spark.createDataFrame([(i, x) for i, x in enumerate(leaves)], "i int, x array<string>").select("i", token_store.merkle_root(F.col("x")).alias("root"))
-    assert {r["i"]: r["root"] for r in rows.collect()} == {i: root(x) for i, x in enumerate(leaves)}
+def test_the_manifest_is_a_tree(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_store, "PIECE_DOCS", 40)
+    monkeypatch.setattr(token_store, "LEAF_DOCS", 4)
+    monkeypatch.setattr(token_store, "FAN_BITS", 2)
+    path = str(tmp_path / "store")
+    df = spark.createDataFrame([(i, f"text {i} of some words " * (i % 7)) for i in range(150)], "doc_id long, text string")
+    token_store.write_store(df, path)
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    recipes = sorted(spark.read.parquet(f"{path}/recipes").collect(), key=lambda r: r["start"])
+    nodes = {}
+    for r in recipes:
+        assert r["root"] == sha("".join(d.hex().upper() for d in r["digests"]) + f":{r['n_tokens']}")
+        nodes.setdefault(r["leaf"], []).append(r["root"])
+    assert all(len(v) <= 4 for v in nodes.values()) and [r["doc_id"] for r in recipes] == list(range(150))
+    manifest = {(r["level"], r["node"]): r["root"] for r in spark.read.parquet(f"{path}/manifest").collect()}
+    level, seen = 0, 0
+    while True:
+        nodes = {k: sha("".join(v)) for k, v in nodes.items()}
+        assert {k: manifest[level, k] for k in nodes} == nodes
+        seen += len(nodes)
+        if len(nodes) == 1:
+            break
+        above = {}
+        for k in sorted(nodes):
+            above.setdefault(k >> 2, []).append(nodes[k])
+        nodes, level = above, level + 1
+    assert seen == len(manifest) and level >= 3
+    assert token_store.verify_manifest(spark, path).count() == 0
 
 
 def test_a_damaged_store_is_found(spark, docs, tmp_path):
