@@ -36,12 +36,16 @@ def materialize(spark: SparkSession, df: DataFrame, name: str, **options: object
     return out
 
 
+def discard_path(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def discard(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete scratch tables that no later plan reads."""
     for t in tables:
         if path := getattr(t, "_lw_path", None):
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            discard_path(spark, path)
 
 
 def pick(df: DataFrame, **columns: str | Column) -> DataFrame:
