@@ -3,6 +3,12 @@
 Language ID (documents without a known language go), exact dedup, n-gram Jaccard join (one document of each group
 stays), mixing sources to target weights (a row for each pass that takes words of a document), and byte-level BPE
 encoding and decoding.
+
+Defined results: a null text, or one without a letter, has no language and goes in the first stage; of rows that repeat even the id
+one stays in the second; of equal texts the longest original stays, then the least id; of linked documents the least id stays,
+and a row with a null id links with nothing; a document that the mix takes in two passes is there twice, with equal columns; an
+empty table gives an empty result; texts of any length pass whole; further columns of documents, whatever their names, are carried
+up to the last stage and never read.
 """
 
 from __future__ import annotations
@@ -10,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from latticework.llm import byte_codec, exact_dedup, language_id, mixing, ngram_join
-from latticework.llm.common import crc_mod, scratch_path
+from latticework.llm.common import crc_mod, discard_path, scratch_path
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,10 +52,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, from the documents of ``sf_dir``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages, from the documents of ``sf_dir``. A stage's documents are deleted when the next ones are written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = scratch_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            discard_path(spark, before)
+        before = path
     return docs
