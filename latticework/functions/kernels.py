@@ -63,14 +63,15 @@ def lanczos_weight(x: Column) -> Column:
     return F.when(x == 0, 1.0).when(F.abs(x) >= 3, 0.0).otherwise(3 * F.sin(px) * F.sin(px / 3) / (px * px))
 
 
-def lanczos(df: DataFrame, axis: str, n_src: int, n_dst: int, out: str, weight: str, total: str) -> DataFrame:
-    """Destinations for which the index is one of the six samples, its weight, and the weight of all samples in bounds."""
-    s = _scale(n_src, n_dst, "f64")
-    i = F.col(axis).cast("double")
-    lo = F.greatest(F.lit(0), F.floor((i - 4) * s))
-    hi = F.least(F.ceil((i + 4) * s) + 1, F.lit(n_dst))
-    df = _explode(df, lo, hi, out)
-    y = F.col(out).cast("double") / F.lit(s)
+def lanczos_reach(axis: str, n_src: int, n_dst: int) -> tuple[Column, Column]:
+    """[low, high) of destinations among which are all that sample the index."""
+    s, i = F.lit(_scale(n_src, n_dst, "f64")), F.col(axis).cast("double")
+    return F.greatest(F.lit(0), F.floor((i - 4) * s)), F.least(F.ceil((i + 4) * s) + 1, F.lit(n_dst))
+
+
+def lanczos_weights(df: DataFrame, axis: str, n_src: int, n_dst: int, out: str, weight: str, total: str) -> DataFrame:
+    """Of rows with a source index and a destination: those where the index is one of the six samples, its weight, and the weight of all samples in bounds."""
+    y = F.col(out).cast("double") / F.lit(_scale(n_src, n_dst, "f64"))
     base, frac = F.floor(y), y - F.floor(y)
     offset = F.col(axis) - base
     df = df.filter((offset >= -2) & (offset <= 3)).withColumn(weight, lanczos_weight(frac - offset.cast("double")))
@@ -78,6 +79,12 @@ def lanczos(df: DataFrame, axis: str, n_src: int, n_dst: int, out: str, weight:
     return df.withColumn(total, sum(parts[1:], parts[0]))
 
 
+def lanczos(df: DataFrame, axis: str, n_src: int, n_dst: int, out: str, weight: str, total: str) -> DataFrame:
+    """A row for each destination that samples the index, with weights."""
+    low, high = lanczos_reach(axis, n_src, n_dst)
+    return lanczos_weights(_explode(df, low, high, out), axis, n_src, n_dst, out, weight, total)
+
+
 def lanczos_radius(scale: float) -> int:
     """How far candidates reach around a scaled index."""
     return 0 if scale <= 1 else max(2, min(6, math.ceil(math.sqrt(scale))))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -45,30 +46,35 @@ def scale_bilinear(m: SparseMatrix, n_rows: int, n_cols: int, precision: str = "
 
 
 def lanczos_candidates(m: SparseMatrix, size: int) -> DataFrame:
-    """Distinct cells around the scaled place of every stored entry, explicit zeros included."""
+    """Cells around the scaled place of every stored entry, explicit zeros included; a cell may come more than once."""
     s = size / m.n_rows
     rho = kernels.lanczos_radius(s)
     near = lambda c: F.least(F.floor(F.col(c) * F.lit(s) + 0.5), F.lit(size - 1))
     places = m.df.select(near("row").alias("r"), near("col").alias("c")).distinct()
     around = lambda c: F.explode(F.sequence(F.greatest(F.col(c) - rho, F.lit(0)), F.least(F.col(c) + rho, F.lit(size - 1))))
-    return places.select(around("r").alias("row"), "c").select("row", around("c").alias("col")).distinct()
+    return places.select(around("r").alias("row"), "c").select("row", around("c").alias("col"))
 
 
 def scale_lanczos(m: SparseMatrix, n_rows: int, n_cols: int, candidate_cap: int | None = None) -> SparseMatrix:
-    """Normalised three-lobed kernel on the candidates. The candidates cut the spread entries before they are summed.
+    """Normalised three-lobed kernel on the candidates.
 
-    ``candidate_cap`` keeps the first candidates by row and column; there is none unless it is asked for.
+    The row axis is spread and summed; then stretches of a row's candidates meet the sums that reach into them, so columns are spread to
+    candidates only. ``candidate_cap`` keeps the first candidates by row and column; there is none unless it is asked for.
     """
     if m.n_rows != m.n_cols or n_rows != n_cols:
         raise InvalidArgument("Lanczos scaling goes from square to square")
     candidates = lanczos_candidates(m, n_rows)
     if candidate_cap is not None:
-        candidates = candidates.orderBy("row", "col").limit(candidate_cap)
+        candidates = candidates.distinct().orderBy("row", "col").limit(candidate_cap)
+    width = max(16, math.ceil(6 * n_cols / m.n_cols))  # columns of a stretch; it has no more candidates than that
+    stretches = candidates.groupBy(F.col("row").alias("r"), F.expr(f"col div {width}").alias("stretch")).agg(F.collect_set("col").alias("cs"))
     df = kernels.lanczos(merge_entries(m.df).filter("value <> 0"), "row", m.n_rows, n_rows, "r", "wr", "tr")
     df = df.groupBy("r", "col").agg(F.sum(F.col("value") * F.col("wr") / F.col("tr")).alias("value"))
-    df = kernels.lanczos(df, "col", m.n_cols, n_cols, "c", "wc", "tc")
-    df = df.select(F.col("r").alias("row"), F.col("c").alias("col"), (F.col("value") * F.col("wc") / F.col("tc")).alias("value"))
-    df = df.join(candidates, ["row", "col"], "left_semi").groupBy("row", "col").agg(F.sum("value").alias("value"))
+    low, high = kernels.lanczos_reach("col", m.n_cols, n_cols)
+    df = df.withColumn("lo", low).withColumn("hi", high).filter("hi > lo").withColumn("stretch", F.explode(F.expr(f"sequence(lo div {width}, (hi - 1) div {width})")))
+    df = df.join(stretches, ["r", "stretch"]).select("r", "col", "value", F.explode("cs").alias("c"))
+    df = kernels.lanczos_weights(df, "col", m.n_cols, n_cols, "c", "wc", "tc")
+    df = df.groupBy(F.col("r").alias("row"), F.col("c").alias("col")).agg(F.sum(F.col("value") * F.col("wc") / F.col("tc")).alias("value"))
     return SparseMatrix(df.filter(F.abs("value") > 1e-10), n_rows, n_cols)
 
 

@@ -13,7 +13,7 @@ from ..errors import InvalidArgument
 from ..functions import kernels
 from ..operators import analysis, convert, resample, validate
 from ..operators.matrix import SparseMatrix
-from ..sources.mtx import expand_symmetric, put_text, read_mtx, write_mtx
+from ..sources.mtx import expand_symmetric, put_text, read_csr, read_mtx, write_mtx
 from ..sources.mtx import register as register_mtx
 from ..streaming.resample_stream import resample_stream
 
@@ -374,6 +374,13 @@ def mtx_pattern(spark: SparkSession, d: str) -> DataFrame:
     return _entries(read_mtx(spark, path))
 
 
+def mtx_csr_summed(spark: SparkSession, d: str) -> DataFrame:
+    """A file with several lines a cell, read into the row-compressed layout."""
+    path = _scratch(spark, "duplicates.mtx")
+    write_mtx(m_dup(spark, d), path)
+    return _entries(convert.from_csr(read_csr(spark, path), 64, 64))
+
+
 def stream_nearest(spark: SparkSession, d: str) -> DataFrame:
     """Entries that arrive as a stream of files, scaled as they come; the last state is written and read."""
     source, target, state = (_scratch(spark, f"stream-{k}") for k in ("in", "out", "state"))
@@ -414,6 +421,7 @@ _Q["mtx_roundtrip"] = (mtx_roundtrip, f"SELECT {_OUT} FROM ({_SUM})")
 _Q["mtx_compressed"] = (lambda s, d: mtx_roundtrip(s, d, True), f"SELECT {_OUT} FROM ({_SUM})")
 _Q["mtx_source"] = (mtx_source, f"SELECT {_OUT} FROM ({_SUM})")
 _Q["mtx_pattern"] = (mtx_pattern, 'SELECT r::BIGINT AS "row", c::BIGINT AS col, 1.0::DOUBLE AS "value" FROM (VALUES (0, 0), (2, 0), (0, 2), (3, 1), (1, 3)) AS t(r, c)')
+_Q["mtx_csr_summed"] = (mtx_csr_summed, f"SELECT {_OUT} FROM ({_SUM})")
 _Q["stream_nearest"] = (stream_nearest, _nearest_sql(_SUM, _S, (128, 128)))
 _Q["refused_policy"] = (refused_policy, "SELECT true AS refused")
 _Q["row_range"] = (lambda s, d: s.createDataFrame([convert.row_range(m_sparse(s, d), 17)], "first long, last long"), f"SELECT count(*) FILTER (r < 17) AS first, count(*) FILTER (r <= 17) AS last FROM ({_SPARSE})")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..errors import FileError, FormatError, Unsupported
+from ..operators.convert import to_csr
 from ..operators.matrix import SparseMatrix
 from ..operators.validate import coo_violations, csr_violations
 
@@ -117,6 +118,11 @@ def read_mtx(spark: SparkSession, path: str, strict_compat: bool = False, check:
     return m
 
 
+def read_csr(spark: SparkSession, path: str, dedup: str = "sum") -> DataFrame:
+    """A file in the row-compressed layout (row, cols, vals); entries of one cell are merged by the policy ``dedup``."""
+    return to_csr(read_mtx(spark, path), dedup=dedup)
+
+
 def expand_symmetric(m: SparseMatrix, sign: int = 1) -> SparseMatrix:
     """The entries and the mirror images of those off the diagonal."""
     mirror = m.df.filter("row <> col").withColumns({"row": F.col("col"), "col": F.col("row"), "value": F.col("value") * sign})
