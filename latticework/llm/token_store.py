@@ -20,6 +20,7 @@ documents of their own; whole texts of any length; an empty table writes empty f
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import os
 import unicodedata
@@ -44,6 +45,19 @@ PIECE_DOCS, MOST_PIECES, LEAF_DOCS, FAN_BITS = 1 << 14, 20_000, 1 << 10, 6
 _ROOM = 1 << 22
 
 
+class _Places(dict):
+    """Numbers words as they come; ``fresh`` are those since the last look."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        place = self[word] = len(self)
+        self.fresh.append(word)
+        return place
+
+
 class LibraryEncoder:
     """Ids of whole texts, as the tokenizers library gives them, with a memo of pre-tokens where the file's build allows it."""
 
@@ -73,7 +87,7 @@ class LibraryEncoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.places: dict[str, int] = {}
+        self.places = _Places()
         self.starts, self.sizes, self.ids, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, "<u4"), 0
 
     @staticmethod
@@ -105,12 +119,16 @@ class LibraryEncoder:
             (self.alike if same and len(cut) == len(words) else self.strange).add(c)
         return self.strange.isdisjoint(text)
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self) -> None:
+        """Ids of the fresh words, in order."""
+        words, self.places.fresh = self.places.fresh, []
+        first = len(self.places) - len(words)
         for at in range(0, len(words), 4096):
             part = words[at : at + 4096]
             flat = np.array(self.pieces.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            n, first, stops = len(part), len(self.places), np.flatnonzero(self.last[flat]) + 1
+            n, stops = len(part), np.flatnonzero(self.last[flat]) + 1
             if len(stops) != n:
+                self._reset()  # nothing half learned is left to a next try
                 raise ValueError("the vocabulary does not mark the end of every word")
             while first + n > len(self.starts):
                 self.starts, self.sizes = np.concatenate([self.starts, self.starts]), np.concatenate([self.sizes, self.sizes])
@@ -120,21 +138,19 @@ class LibraryEncoder:
             self.starts[first : first + n], self.sizes[first : first + n] = self.used + stops - sizes, sizes
             self.ids[self.used : self.used + len(flat)] = flat
             self.used += len(flat)
-            self.places.update(zip(part, range(first, first + n), strict=True))
+            first += n
 
     def _run(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of texts without special strings that hold known characters only."""
         split = [self.pattern.findall(self.normalise(t)) for t in texts]
-        flat = [w for words in split for w in words]
-        places = list(map(self.places.get, flat))
-        if None in places:
-            self._learn(list(dict.fromkeys(w for w, p in zip(flat, places, strict=True) if p is None)))
-            places = list(map(self.places.__getitem__, flat))
-        at = np.array(places, np.int64)
+        counts = np.cumsum([0, *map(len, split)])
+        at = np.fromiter(map(self.places.__getitem__, itertools.chain.from_iterable(split)), np.int64, int(counts[-1]))
+        if self.places.fresh:
+            self._learn()
         sizes = self.sizes[at]
         ends = np.cumsum(sizes)
         ids = self.ids[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        edges = np.concatenate([[0], ends])[np.cumsum([0, *map(len, split)])]
+        edges = np.concatenate([[0], ends])[counts]
         return [ids[a:b] for a, b in zip(edges, edges[1:], strict=False)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
