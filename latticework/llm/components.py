@@ -37,8 +37,9 @@ def connected_components(edges: DataFrame, rounds: int | None = None) -> DataFra
         for _ in itertools.count() if rounds is None else range(rounds):
             step = materialize(spark, _small_star(_large_star(current)), "cc")
             # Stars only: no centre is a leaf, and each leaf has one centre.
-            facts = step.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("a").alias("leaves")).first()
-            done = facts["n"] == facts["leaves"] and not step.select(F.col("a").alias("x")).join(step.select(F.col("b").alias("x")).distinct(), "x", "left_semi").take(1)
+            nodes = step.select(F.col("a").alias("x"), F.lit(1).alias("up")).unionByName(step.select(F.col("b").alias("x"), F.lit(0).alias("up")))
+            per = nodes.groupBy("x").agg(F.sum("up").alias("ups"), F.min("up").alias("centre"))
+            done = not per.filter("ups > 1 or (ups = 1 and centre = 0)").take(1)
             discard(spark, current)
             current = step
             if done:

@@ -248,24 +248,25 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     # 2. Top regions, one member of each and the links to it.
     regions = _top_regions(rows, copies, surveyed)
+    members = materialize(spark, regions.select("id").distinct(), "region-ids")
     held = surveyed.filter("hot is null and doc_id is not null and n > 0").select(F.col("doc_id").alias("id"), F.col("n").cast("int").alias("n"), "digest", "classes")
-    held = held.join(regions.select("id").distinct(), "id", "left_semi").join(reps.select("digest", F.col("rep").alias("id")), ["digest", "id"], "left_semi")
-    vectors = materialize(spark, held.drop("digest").dropDuplicates(["id"]), "classes")
+    held = probe(held, bit_filter(members, "id"), "id").filter("hit").drop("hit").join(members, "id", "left_semi")
+    vectors = materialize(spark, held.dropDuplicates(["id", "digest"]).drop("digest"), "classes")  # an id with several texts has all their vectors
     star = regions.filter("id <> pivot").filter(_sizes_fit("n", "pivot_n")).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     join = _Join(spark, rows)
     join.check(_near(star, vectors))
 
     # 3. Recursion where members other than the pivot are still apart.
-    cells = join.open(regions.filter("id <> pivot").select(F.col("h").alias("cell"), "id", F.lit(True).alias("home"), F.lit(0).alias("level")), vectors)
-    if cells is not None:
+    cells = regions.filter("id <> pivot").select(F.col("h").alias("cell"), "id", F.lit(True).alias("home"), F.lit(0).alias("level"), F.lit(False).alias("flat"))
+    if (cells := join.open(cells, vectors)) is not None:
         cells = _rings(cells)
     while cells is not None and (cells := join.open(cells, vectors)) is not None:
-        left = join.compare(cells.filter(F.col("members") <= BLOCK))
-        split = join.split(cells.filter(F.col("members") > BLOCK), vectors)
-        discard(spark, cells)
+        direct = (F.col("members") <= BLOCK) | F.col("flat")
+        pairs = join.compare(cells.filter(direct))
+        split, near = join.split(cells.filter(~direct))
+        join.check(pairs if near is None else pairs.unionByName(near))
+        discard(spark, cells, pairs)
         cells = split
-        if left is not None:
-            join.check(left)
 
     # The result.
     final, every = join.groups, join.every()
@@ -275,7 +276,7 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     out = metas.filter("n > 0").join(facts, "digest").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links_seen")
     empty = metas.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links_seen"))
     out = materialize(spark, out.unionByName(empty), "ngram-groups")
-    discard(spark, regions, vectors, surveyed, reps, copies, *join.scratch)
+    discard(spark, regions, members, vectors, surveyed, reps, copies, *join.scratch)
     return out
 
 
@@ -355,7 +356,7 @@ class _Join:
 
     def open(self, cells: DataFrame, vectors: DataFrame) -> DataFrame | None:
         """Rows of the regions that have members at home and more than one component, with n, classes, component, homes and members."""
-        named = cells.select("cell", "id", "home", "level").join(self.groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        named = cells.select("cell", "id", "home", "level", "flat").join(self.groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         state = named.groupBy("cell").agg((F.min("component") != F.max("component")).alias("open"), F.count(F.lit(1)).alias("members"), F.count_if("home").alias("homes"))
         state = materialize(self.spark, state.filter("open and homes > 0").drop("open"), "open")
         live = materialize(self.spark, named.join(state, "cell").join(vectors, "id"), "cells")
@@ -365,7 +366,7 @@ class _Join:
             return None
         return live
 
-    def compare(self, cells: DataFrame) -> DataFrame | None:
+    def compare(self, cells: DataFrame) -> DataFrame:
         """Pairs that the windows leave in regions that are compared block by block; at least one of a pair is at home."""
         row = F.struct("id", "n", "component", "classes", "home")
         pieces = F.ceil(F.col("members") / BLOCK)
@@ -379,13 +380,13 @@ class _Join:
         pairs = within.mapInArrow(_windows, "a long, b long").unionByName(across.mapInArrow(_windows, "a long, b long")).distinct()
         pairs = materialize(self.spark, pairs, "windows")
         discard(self.spark, blocks)
-        self.scratch.append(pairs)
-        return pairs if pairs.take(1) else None
+        return pairs
 
-    def split(self, cells: DataFrame, vectors: DataFrame) -> DataFrame | None:
-        """One round of pivots: the regions that come of it. Regions that it does not make smaller are compared at once."""
+    def split(self, cells: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+        """One round of pivots: the regions that come of it, and pairs of near members and their pivots. Regions that it does not make
+        smaller stay as they are and are marked flat: the next round compares them block by block."""
         if not cells.take(1):
-            return None
+            return None, None
         order = F.xxhash64("id", "cell", F.lit(4))
         homes = cells.filter("home").withColumn("order", order)
         first = homes.groupBy("cell").agg(F.min(F.struct("order", "id"))["id"].alias("first"))
@@ -396,18 +397,15 @@ class _Join:
         salted = cells.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(6)), salts))
         dealt = salted.join(pivots, ["cell", "salt"]).select("cell", "id", "n", "home", "level", "classes", "pivots")
         dealt = materialize(self.spark, dealt.mapInArrow(_deal, "parent long, pivot long, id long, home boolean, level int, near boolean"), "dealt")
-        self.check(dealt.filter("near and id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")))
         sizes = dealt.groupBy("parent", "pivot").agg(F.count(F.lit(1)).alias("n")).groupBy("parent").agg(F.max("n").alias("most"), F.sum("n").alias("all"))
         before = cells.groupBy(F.col("cell").alias("parent")).agg(F.count(F.lit(1)).alias("members"))
         verdict = sizes.join(before, "parent").select("parent", ((F.col("most") <= SHRINK * F.col("members")) & (F.col("all") <= SPREAD * F.col("members"))).alias("smaller"))
         verdict = materialize(self.spark, verdict, "verdict")
-        flat = self.compare(cells.join(verdict.filter("not smaller").select(F.col("parent").alias("cell")), "cell", "left_semi"))
-        out = dealt.join(verdict.filter("smaller").select("parent"), "parent").select(F.xxhash64("parent", "pivot").alias("cell"), "id", "home", "level")
-        out = materialize(self.spark, out, "cells")
-        discard(self.spark, dealt, verdict)
-        if flat is not None:
-            self.check(flat)
-        return out
+        made = dealt.join(verdict.filter("smaller").select("parent"), "parent").select(F.xxhash64("parent", "pivot").alias("cell"), "id", "home", "level", F.lit(False).alias("flat"))
+        same = cells.join(verdict.filter("not smaller").select(F.col("parent").alias("cell")), "cell", "left_semi").select("cell", "id", "home", "level", F.lit(True).alias("flat"))
+        out = materialize(self.spark, made.unionByName(same), "cells")
+        self.scratch += [dealt, verdict]
+        return out, dealt.filter("near and id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
 
 
 def _rings(cells: DataFrame) -> DataFrame:
@@ -417,7 +415,7 @@ def _rings(cells: DataFrame) -> DataFrame:
     rings = cells.withColumn("ring", ring).withColumn("at", F.explode(F.array(F.col("ring"), F.col("ring") + 1)))
     least = F.pow(F.lit(100 / PERCENT), F.col("at") - 1) * 0.999 - 1
     level = F.greatest(F.lit(FEWEST), F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(least / 4, F.lit(1.0)))))).cast("int")
-    out = rings.select(F.xxhash64("cell", "at").alias("cell"), "id", (F.col("ring") == F.col("at")).alias("home"), level.alias("level"))
+    out = rings.select(F.xxhash64("cell", "at").alias("cell"), "id", (F.col("ring") == F.col("at")).alias("home"), level.alias("level"), F.lit(False).alias("flat"))
     return materialize(cells.sparkSession, out, "rings")
 
 
@@ -548,8 +546,8 @@ def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) that link, by their words; only the texts of their documents move."""
     spark = rows.sparkSession
     members = materialize(spark, pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "members")
-    found = probe(rows.filter("doc_id is not null and text is not null"), bit_filter(members, "id"), "doc_id").filter("hit")
-    found = materialize(spark, found.join(members, F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "text"), "member-texts", compression="zstd")
+    found = probe(rows.filter("doc_id is not null and text is not null"), bit_filter(members, "id"), "doc_id").filter("hit")  # and a few others, which the joins drop
+    found = materialize(spark, found.select(F.col("doc_id").alias("id"), "text"), "member-texts", compression="zstd")
     both = pairs.join(found.select(F.col("id").alias("b"), F.col("text").alias("bt")), "b").join(found.select(F.col("id").alias("a"), F.col("text").alias("at")), "a")
     out = materialize(spark, both.select("a", "b", "at", "bt").mapInArrow(_linked, "a long, b long").distinct(), "verified")
     discard(spark, members, found)
