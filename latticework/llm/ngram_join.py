@@ -192,23 +192,28 @@ def _level(n: int) -> int:
 
 
 def _classes(sets: list[np.ndarray]) -> pa.Array:
-    """How many shingles of each class a set has, four bits a class, at the set's division and at the one half as fine.
+    """How many shingles of each class a set has, four bits a class, at the set's division and, unless that is the coarsest, at the one half as fine.
 
-    Counts are cut at 15, which brings no two further apart, so the windows stay valid. Some 3 n / 16 to 3 n / 8 bytes, 192 at least.
+    Counts are cut at 15, which brings no two further apart, so the windows stay valid. Some 3 n / 16 to 3 n / 8 bytes, 128 at least.
     """
     out = []
     for s in sets:
         k = _level(len(s))
         counts = np.bincount((s >> np.uint64(20)).astype(np.int64) & k - 1, minlength=k)
-        both = np.minimum(np.concatenate([counts, counts.reshape(2, -1).sum(0)]), 15).astype(np.uint8)
+        both = np.minimum(np.concatenate([counts, counts.reshape(2, -1).sum(0)]) if k > FEWEST else counts, 15).astype(np.uint8)
         out.append((both[::2] | both[1::2] << 4).tobytes() if len(s) else None)
     return pa.array(out, pa.binary())
 
 
+def _levels(lengths: np.ndarray) -> np.ndarray:
+    """The finer division of vectors of so many bytes."""
+    return np.where(lengths == FEWEST // 2, FEWEST, lengths // 3 * 4)
+
+
 def _divided(vectors: list[bytes], size: int) -> np.ndarray:
     """Counts of ``size`` classes as rows; each vector has that division as its finer or its coarser one."""
     half = size // 2
-    flat = np.frombuffer(b"".join(v[:half] if len(v) == 3 * half // 2 else v[size : size + half] for v in vectors), np.uint8).reshape(-1, half)
+    flat = np.frombuffer(b"".join(v[:half] if len(v) <= 3 * half // 2 else v[size : size + half] for v in vectors), np.uint8).reshape(-1, half)
     return np.stack([flat & 15, flat >> 4], 2).reshape(-1, size).view(np.int8)
 
 
@@ -231,7 +236,7 @@ def _in_window(a: list[bytes], b: list[bytes], i: np.ndarray, j: np.ndarray, siz
     """For pairs (a[i], b[j]) with |A| + |B| in sizes, whose sizes fit each other: |A xor B| <= (100 - p) / (100 + p) (|A| + |B|)
     for a link at p percent, and the gaps of the classes, at the coarser division of the two, sum to no more."""
     la, lb = np.array([len(v) for v in a], np.int64), np.array([len(v) for v in b], np.int64)
-    return _gaps(a, b, i, j, np.minimum(la[i], lb[j]) // 3 * 4) * (100 + PERCENT) <= (100 - PERCENT) * sizes
+    return _gaps(a, b, i, j, _levels(np.minimum(la[i], lb[j]))) * (100 + PERCENT) <= (100 - PERCENT) * sizes
 
 
 def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -527,30 +532,43 @@ def shingles(text: str, words: int = WORDS) -> set[tuple[bytes, ...]]:
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (a, b) of those with (a, b, at, bt) whose texts at and bt link."""
-    memo: tuple[object, set] = (None, set())
+    """Pairs (a, b) that link, from rows (hub, salt, member, id, text) in order: a hub's own texts come before its members'."""
+    key, hubs = None, []
     for batch in batches:
-        for part in by_bytes(batch, "bt", 1 << 22):
-            keep = []
-            for a, at, bt in zip(part.column("a").to_pylist(), part.column("at"), part.column("bt"), strict=True):
-                at = at.as_py()
-                if memo[0] != (a, at):
-                    memo = ((a, at), shingles(at))
-                x, y = memo[1], shingles(bt.as_py())
-                common = len(x & y) if 100 * min(len(x), len(y)) >= PERCENT * max(len(x), len(y)) else 0
-                keep.append(common > 0 and 100 * common >= PERCENT * (len(x) + len(y) - common))
-            yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for part in by_bytes(batch, "text"):
+            found: list[tuple[int, int]] = []
+            for hub, salt, member, i, text in zip(*(part.column(c).to_pylist() for c in ("hub", "salt", "member", "id", "text")), strict=True):
+                if key != (hub, salt):
+                    key, hubs = (hub, salt), []
+                x = shingles(text)
+                if not member:
+                    hubs.append(x)
+                elif any(_link(x, y) for y in hubs):
+                    found.append((hub, i))
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+
+
+def _link(x: set, y: set) -> bool:
+    if not x or not y or 100 * min(len(x), len(y)) < PERCENT * max(len(x), len(y)):
+        return False
+    common = len(x & y)
+    return 100 * common >= PERCENT * (len(x) + len(y) - common)
 
 
 def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) that link, by their words; only the texts of their documents move."""
+    """Those of the pairs (a, b) that link, by their words. Each text of a pair goes once to the pair's hub a; hubs of many pairs are salted."""
     spark = rows.sparkSession
-    members = materialize(spark, pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "members")
-    found = probe(rows.filter("doc_id is not null and text is not null"), bit_filter(members, "id"), "doc_id").filter("hit")  # and a few others, which the joins drop
-    found = materialize(spark, found.select(F.col("doc_id").alias("id"), "text"), "member-texts", compression="zstd")
-    both = pairs.join(found.select(F.col("id").alias("b"), F.col("text").alias("bt")), "b").join(found.select(F.col("id").alias("a"), F.col("text").alias("at")), "a")
-    out = materialize(spark, both.select("a", "b", "at", "bt").mapInArrow(_linked, "a long, b long").distinct(), "verified")
-    discard(spark, members, found)
+    counts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("long").alias("salts")).withColumnRenamed("a", "hub")
+    counts = materialize(spark, counts, "hubs")
+    members = pairs.join(counts, F.col("a") == F.col("hub")).select("hub", F.pmod(F.xxhash64("b"), "salts").alias("salt"), F.lit(True).alias("member"), F.col("b").alias("id"))
+    hubs = counts.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("member"), F.col("hub").alias("id"))
+    wanted = materialize(spark, members.unionByName(hubs), "wanted")
+    ids = materialize(spark, wanted.select("id").distinct(), "wanted-ids")
+    found = probe(rows.filter("doc_id is not null and text is not null"), bit_filter(ids, "id"), "doc_id").filter("hit")  # and a few others, which the join drops
+    met = wanted.join(found.select(F.col("doc_id").alias("id"), "text"), "id").select("hub", "salt", "member", "id", "text")
+    met = met.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "member")
+    out = materialize(spark, met.mapInArrow(_linked, "a long, b long").distinct(), "verified")
+    discard(spark, counts, wanted, ids)
     return out
 
 
