@@ -75,15 +75,20 @@ def by_bytes(batch, column: str, most: int = 4 << 20) -> Iterator:
         at = stop
 
 
-_HELD: dict[str, tuple[Hashable, object]] = {}
+_HELD: dict[tuple[str, Hashable], object] = {}
 
 
 def per_worker(kind: str, key: Hashable, make: Callable[[], object]):
-    """What ``make()`` gives, kept by a Python worker from task to task; one value of a kind at a time."""
-    held = _HELD.get(kind)
-    if held is None or held[0] != key:
-        _HELD[kind] = held = (key, make())
-    return held[1]
+    """What ``make()`` gives, kept by a Python worker from task to task; one value at a time."""
+    if (kind, key) not in _HELD:
+        _HELD.clear()
+        _HELD[kind, key] = make()
+    return _HELD[kind, key]
+
+
+def release_worker() -> None:
+    """Drop what the worker keeps: its memory belongs to the tasks of another operator."""
+    _HELD.clear()
 
 
 #: log2 of the bits in a filter: least and greatest. 2**27 bits are 4 096 pieces of 4 KB: what is broadcast never exceeds 16 MB.

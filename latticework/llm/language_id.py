@@ -25,11 +25,13 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import MEMO_ENTRIES, MEMO_LENGTH
+from .bpe import MEMO_LENGTH
 from .common import by_bytes, per_worker, pick, share
 
 #: Bounds of what the model is fitted on; scoring has none.
 SAMPLE_DOCS, SAMPLE_WORDS, FIT_LETTERS = 600, 40_000, 48
+#: Words of a worker's memo, beyond which it is emptied.
+MEMO_WORDS = 300_000
 #: Letters of words that are summed side by side.
 BATCH_LETTERS = 1 << 16
 ROUNDS, SMOOTH = 3, 0.05
@@ -199,7 +201,7 @@ class _Scorer:
     def score(self, texts: list[str | None]) -> list[tuple[str, float]]:
         if not self.model.languages:
             return [("und", 0.0)] * len(texts)
-        if len(self.ids) > MEMO_ENTRIES or self.bulky > MEMO_ENTRIES:
+        if len(self.ids) > MEMO_WORDS or self.bulky > MEMO_WORDS:
             self._reset()
         split = [_LETTERS.findall(t.lower()) if t else [] for t in texts]
         every = set().union(*split)

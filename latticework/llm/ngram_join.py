@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, bit_filter, by_bytes, discard, materialize, pick, probe
+from .common import BLANKS, bit_filter, by_bytes, discard, materialize, pick, probe, release_worker
 from .components import connected_components
 
 WORDS, PERCENT = 5, 80
@@ -155,6 +155,7 @@ def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    release_worker()
     for batch in batches:
         for part in by_bytes(batch, "text", CHUNK - 20_000):
             yield part, shingle_sets([t or "" for t in part.column("text").to_pylist()])
@@ -180,7 +181,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 known.add(d)
                 stretch.append(s)
                 held += len(s)
-        if held > 4_000_000:
+        if held > 2_000_000:
             yield hot(stretch)
             known, stretch, held = set(), [], 0
     if stretch:
@@ -533,6 +534,7 @@ def shingles(text: str, words: int = WORDS) -> set[tuple[bytes, ...]]:
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b) that link, from rows (hub, salt, member, id, text) in order: a hub's own texts come before its members'."""
+    release_worker()
     key, hubs = None, []
     for batch in batches:
         for part in by_bytes(batch, "text"):
