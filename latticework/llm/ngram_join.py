@@ -264,15 +264,15 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     # 3. Recursion where members other than the pivot are still apart.
     cells = regions.filter("id <> pivot").select(F.col("h").alias("cell"), "id", F.lit(True).alias("home"), F.lit(0).alias("level"), F.lit(False).alias("flat"))
-    if (cells := join.open(cells, vectors)) is not None:
-        cells = _rings(cells)
-    while cells is not None and (cells := join.open(cells, vectors)) is not None:
+    cells, whole = join.open(cells, vectors), True
+    while cells is not None:
         direct = (F.col("members") <= BLOCK) | F.col("flat")
-        pairs = join.compare(cells.filter(direct))
-        split, near = join.split(cells.filter(~direct))
+        pairs, large = join.compare(cells.filter(direct)), cells.filter(~direct)
+        # Large regions are cut by size first, then by pivots round by round.
+        split, near = (_rings(large), None) if whole else join.split(large)
         join.check(pairs if near is None else pairs.unionByName(near))
         discard(spark, cells, pairs)
-        cells = split
+        cells, whole = None if split is None else join.open(split, vectors), False
 
     # The result.
     final, every = join.groups, join.every()
