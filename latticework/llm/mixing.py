@@ -75,7 +75,8 @@ def _running(df: DataFrame, key: str, order: list, value: str, out: str, n_piece
     inner = Window.partitionBy(key, "piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = df.withColumn("local", F.coalesce(F.sum(value).over(inner), F.lit(0)))
     joined = local.join(pieces, (F.col(key) == F.col("p_key")) & (F.col("piece") == F.col("p_piece")))
-    return joined.withColumn(out, F.col("offset") + F.col("local")).drop("offset", "local", "p_key", "p_piece")
+    # The upper levels' sum is itself named offset: it is chosen, not what is left after others are dropped.
+    return joined.select(*df.columns, (F.col("offset") + F.col("local")).alias(out))
 
 
 def place(doc_id: Column, seed: int = SEED) -> Column:

@@ -204,6 +204,26 @@ def test_mixing(docs, none):
         assert abs(slots[:half].count(k) - slots.count(k) / 2) <= 8
 
 
+def test_mixing_sums_over_many_levels_of_pieces(spark, monkeypatch):
+    """A source of more than PIECE * PIECE rows needs sums over sums of pieces."""
+    text = F.concat_ws(" ", F.array_repeat(F.lit("w"), (F.col("id") % 7).cast("int")))
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), text.alias("text"), F.when(F.col("id") % 4 == 0, "x").otherwise("y").alias("source"))
+    rows = lambda df: sorted(map(str, df.collect()))
+    counts, mixed = rows(mixing.mixing_counts(docs)), rows(mixing.mixed_documents(docs))
+    monkeypatch.setattr(mixing, "PIECE", 4)
+    plan = mixing.mixing_plan(docs)
+    for k in (1, 2):
+        start, turn = 0, 0
+        for r in plan.positions.filter(F.col("k") == k).orderBy("place", "doc_id").collect():
+            assert r["start"] == start
+            start += r["size"]
+        for r in plan.slots.filter(F.col("k") == k).orderBy("slot").collect():
+            assert r["j"] == turn
+            turn += 1
+        assert start and turn
+    assert rows(mixing.mixing_counts(docs)) == counts and rows(mixing.mixed_documents(docs)) == mixed
+
+
 def test_token_counts_and_codec(docs, none):
     import tiktoken
     from tokenizers import Tokenizer
