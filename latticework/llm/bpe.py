@@ -23,9 +23,9 @@ split_pattern = regex.compile(public_tokenizers.PATTERN)
 class Memo(dict):
     """``memo[x]`` is ``make(x)``, kept for short keys only."""
 
-    def __init__(self, make: Callable):
+    def __init__(self, make: Callable, most: int = MEMO_ENTRIES):
         super().__init__()
-        self.make = make
+        self.make, self.most = make, most
 
     def __missing__(self, key):
         value = self.make(key)
@@ -34,7 +34,7 @@ class Memo(dict):
         return value
 
     def trim(self) -> None:
-        if len(self) > MEMO_ENTRIES:
+        if len(self) > self.most:
             self.clear()
 
 

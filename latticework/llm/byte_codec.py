@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from .bpe import Memo, Splitter, heap_encode, read_ranks, split_pattern
 from .common import by_bytes, per_worker, pick
 
+#: Entries of a worker's memo, beyond which it is emptied: the executors of a pipeline hold much else by now.
+MEMO_ENTRIES = 200_000
 _MIX, _WORD = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
@@ -86,7 +88,7 @@ class ByteCodec:
         self.table = table
         self.ranks = dict(zip(table.keys, table.ranks, strict=True))
         self.bytes_of = {r: k for k, r in self.ranks.items()}
-        self.memo = Memo(self._piece)
+        self.memo = Memo(self._piece, MEMO_ENTRIES)
         self.split = Splitter(split_pattern)
 
     def _piece(self, token: str) -> bytes:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 from collections.abc import Callable, Hashable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,14 +84,18 @@ _HELD: dict[tuple[str, Hashable], object] = {}
 def per_worker(kind: str, key: Hashable, make: Callable[[], object]):
     """What ``make()`` gives, kept by a Python worker from task to task; one value at a time."""
     if (kind, key) not in _HELD:
-        _HELD.clear()
+        release_worker()
         _HELD[kind, key] = make()
     return _HELD[kind, key]
 
 
 def release_worker() -> None:
-    """Drop what the worker keeps: its memory belongs to the tasks of another operator."""
+    """Drop what the worker keeps and give free pages back: its memory belongs to the tasks of another operator."""
     _HELD.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+        _trim(0)
 
 
 #: log2 of the bits in a filter: least and greatest. 2**27 bits are 4 096 pieces of 4 KB: what is broadcast never exceeds 16 MB.

@@ -32,6 +32,8 @@ from .common import by_bytes, per_worker, pick, share
 SAMPLE_DOCS, SAMPLE_WORDS, FIT_LETTERS = 600, 40_000, 48
 #: Words of a worker's memo, beyond which it is emptied.
 MEMO_WORDS = 300_000
+#: Bytes of texts that are split into words at once.
+PART = 1 << 20
 #: Letters of words that are summed side by side.
 BATCH_LETTERS = 1 << 16
 ROUNDS, SMOOTH = 3, 0.05
@@ -264,7 +266,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
         scorer = None
         for batch in batches:
             scorer = scorer or shared.value.scorer()
-            for part in by_bytes(batch, "text"):
+            for part in by_bytes(batch, "text", PART):
                 found = scorer.score(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
@@ -281,7 +283,7 @@ def keep_known(docs: DataFrame, model: LanguageModel, text_col: str = "text", le
         scorer = None
         for batch in batches:
             scorer = scorer or shared.value.scorer()
-            for part in by_bytes(batch, text_col):
+            for part in by_bytes(batch, text_col, PART):
                 found = scorer.score(part.column(at_text).to_pylist())
                 yield part.filter(pa.array([lang != "und" and score >= least for lang, score in found]))
 

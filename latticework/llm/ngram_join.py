@@ -159,6 +159,7 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
     for batch in batches:
         for part in by_bytes(batch, "text", CHUNK - 20_000):
             yield part, shingle_sets([t or "" for t in part.column("text").to_pylist()])
+    release_worker()
 
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -548,6 +549,7 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 elif any(_link(x, y) for y in hubs):
                     found.append((hub, i))
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+    release_worker()
 
 
 def _link(x: set, y: set) -> bool:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from latticework.llm import bpe, byte_codec, embedding_dedup, exact_dedup, language_id, mixing, ngram_join, queries, secrets_scan, token_counts, token_store, toxicity
+from latticework.llm import bpe, byte_codec, common, embedding_dedup, exact_dedup, language_id, mixing, ngram_join, queries, secrets_scan, token_counts, token_store, toxicity
 from latticework.llm.components import connected_components
 from latticework.llm.common import crc_mod
 
@@ -530,6 +530,24 @@ def test_encoder_agrees_with_the_library_on_every_code_point():
     assert token_store.LibraryEncoder(other).encode(["A naïve Text"])[0].tolist() == Tokenizer.from_str(other).encode("A naïve Text").ids
 
 
+def test_workers_give_memory_back(monkeypatch):
+    calls = []
+    monkeypatch.setattr(ngram_join, "release_worker", lambda: calls.append(1))
+    for work in (ngram_join._survey, ngram_join._linked):
+        assert list(work(iter([]))) == []
+    assert len(calls) == 4  # each before its first batch and after its last one
+    common._HELD["kind", 1] = "a memo"
+    monkeypatch.setattr(common, "release_worker", lambda: (calls.append(2), common._HELD.clear()))
+    assert common.per_worker("kind", 1, lambda: "other") == "a memo" and calls[-1] == 1
+    assert common.per_worker("kind", 2, lambda: "other") == "other" and calls[-1] == 2 and len(common._HELD) == 1
+    common._HELD.clear()
+    monkeypatch.setattr(byte_codec, "MEMO_ENTRIES", 10)
+    codec = byte_codec.ByteCodec(byte_codec.perfect_hash("byte_bpe_multi_50k.tiktoken"))
+    for i in range(40):
+        codec.encode(f"word{i}")
+        assert len(codec.memo) <= 20
+
+
 def test_the_manifest_is_a_tree(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(token_store, "PIECE_DOCS", 40)
     monkeypatch.setattr(token_store, "LEAF_DOCS", 4)
