@@ -1,7 +1,8 @@
 """Content-addressed store of token ids.
 
-Encoding: each worker splits texts into pre-tokens, asks the tokenizer library for the ids of those its bounded
-memo lacks, and appends the end id to each document; texts that the split could see otherwise than the library, and
+Encoding: each worker splits texts at blanks, which no pre-token reaches over, looks the stretches between up in a bounded
+memo, cuts those that it lacks into pre-tokens, asks the tokenizer library for the ids of those that a second memo
+lacks, and appends the end id to each document; texts that the split could see otherwise than the library, and
 vocabulary files of another build, go to the library whole. Chunking: a rolling hash over the last ids of a document
 cuts its stream, with a least and a greatest length. Files below ``path``: ``chunks`` (each distinct chunk once:
 SHA-256, ids as little-endian unsigned 32-bit integers), ``recipes`` (documents in ascending doc_id order: start,
@@ -24,7 +25,7 @@ import itertools
 import json
 import os
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -33,7 +34,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import MEMO_ENTRIES, splitter
+from .bpe import splitter
 from .common import bit_filter, by_bytes, discard, materialize, per_worker, pick, probe, scratch_path
 
 END_ID = 1
@@ -41,8 +42,12 @@ END_ID = 1
 LEAST, GREATEST, CUT_BITS, SPAN = 128, 4096, 9, 8
 #: Documents in a piece of the recipes, up to MOST_PIECES pieces; documents to a leaf of the manifest; binary digits of a parent's children.
 PIECE_DOCS, MOST_PIECES, LEAF_DOCS, FAN_BITS = 1 << 14, 20_000, 1 << 10, 6
-#: Places in the memo's table of ids.
-_ROOM = 1 << 22
+#: A memo is emptied beyond this number of entries or ids, so a worker's memory stays bounded; bytes of texts that are encoded at once.
+MEMO_ENTRIES, _ROOM, PART = 400_000, 1 << 22, 1 << 21
+#: The split that no blank is part of; stretches between blanks can be cut alone.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Python's str.split takes these for blanks, the split does not.
+_ODD_BLANKS = regex.compile("[\x1c-\x1f]")
 
 
 class _Places(dict):
@@ -58,6 +63,41 @@ class _Places(dict):
         return place
 
 
+class _Table:
+    """Words, numbered as they come, and the ids of each."""
+
+    def __init__(self):
+        self.places, self.n, self.used = _Places(), 0, 0
+        self.starts, self.sizes, self.ids = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, "<u4")
+
+    def full(self) -> bool:
+        return len(self.places) > MEMO_ENTRIES or self.used > _ROOM
+
+    def numbers(self, words: Iterable[str], n: int) -> np.ndarray:
+        return np.fromiter(map(self.places.__getitem__, words), np.int64, n)
+
+    def fresh(self) -> list[str]:
+        words, self.places.fresh = self.places.fresh, []
+        return words
+
+    def add(self, sizes: np.ndarray, flat: np.ndarray) -> None:
+        """The ids of the next words, end to end."""
+        n = len(sizes)
+        while self.n + n > len(self.starts):
+            self.starts, self.sizes = np.concatenate([self.starts, self.starts]), np.concatenate([self.sizes, self.sizes])
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, self.ids])
+        self.starts[self.n : self.n + n], self.sizes[self.n : self.n + n] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.n, self.used = self.n + n, self.used + len(flat)
+
+    def ids_of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words with these numbers, end to end, and where those of each end."""
+        sizes = self.sizes[at]
+        ends = np.cumsum(sizes)
+        return self.ids[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+
 class LibraryEncoder:
     """Ids of whole texts, as the tokenizers library gives them, with a memo of pre-tokens where the file's build allows it."""
 
@@ -84,11 +124,13 @@ class LibraryEncoder:
         self.last[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
         self.alike: set[str] = set(map(chr, range(128)))
         self.strange: set[str] = set()
+        self.marked = regex.compile(self.pattern.pattern + "|\n")
         self._reset()
 
     def _reset(self) -> None:
-        self.places = _Places()
-        self.starts, self.sizes, self.ids, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, "<u4"), 0
+        self.stretches, self.words = _Table(), _Table()
+        self.words.places["\n"] = 0  # stands between stretches that are cut together, and has no ids
+        self.words.add(np.zeros(1, np.int64), np.zeros(0, "<u4"))
 
     @staticmethod
     def _pattern(data: dict) -> regex.Pattern | None:
@@ -101,7 +143,7 @@ class LibraryEncoder:
             return None
         if [c.get("type") for c in cuts] != ["Split", "ByteLevel"] or cuts[0]["behavior"] != "Removed" or not cuts[0]["invert"] or cuts[1]["use_regex"] or cuts[1]["add_prefix_space"]:
             return None
-        return regex.compile(cuts[0]["pattern"]["Regex"])
+        return regex.compile(_SPLIT) if cuts[0]["pattern"] == {"Regex": _SPLIT} else None
 
     @staticmethod
     def normalise(text: str) -> str:
@@ -121,43 +163,42 @@ class LibraryEncoder:
 
     def _learn(self) -> None:
         """Ids of the fresh words, in order."""
-        words, self.places.fresh = self.places.fresh, []
-        first = len(self.places) - len(words)
+        words = self.words.fresh()
         for at in range(0, len(words), 4096):
             part = words[at : at + 4096]
             flat = np.array(self.pieces.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            n, stops = len(part), np.flatnonzero(self.last[flat]) + 1
-            if len(stops) != n:
+            stops = np.flatnonzero(self.last[flat]) + 1
+            if len(stops) != len(part):
                 self._reset()  # nothing half learned is left to a next try
                 raise ValueError("the vocabulary does not mark the end of every word")
-            while first + n > len(self.starts):
-                self.starts, self.sizes = np.concatenate([self.starts, self.starts]), np.concatenate([self.sizes, self.sizes])
-            while self.used + len(flat) > len(self.ids):
-                self.ids = np.concatenate([self.ids, self.ids])
-            sizes = np.diff(stops, prepend=0)
-            self.starts[first : first + n], self.sizes[first : first + n] = self.used + stops - sizes, sizes
-            self.ids[self.used : self.used + len(flat)] = flat
-            self.used += len(flat)
-            first += n
+            self.words.add(np.diff(stops, prepend=0), flat)
+
+    def _learn_stretches(self) -> None:
+        """Ids of the fresh stretches, in order."""
+        found = self.marked.findall(self.normalise("\n".join(self.stretches.fresh())))
+        at = self.words.numbers(found, len(found))
+        self._learn()
+        ids, ends = self.words.ids_of(at)
+        self.stretches.add(np.diff(np.concatenate([[0], ends[at == 0], [len(ids)]])), ids)
 
     def _run(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of texts without special strings that hold known characters only."""
-        split = [self.pattern.findall(self.normalise(t)) for t in texts]
+        split = [t.split() if not _ODD_BLANKS.search(t) else regex.split(r"\s+", t) for t in texts]
         counts = np.cumsum([0, *map(len, split)])
-        at = np.fromiter(map(self.places.__getitem__, itertools.chain.from_iterable(split)), np.int64, int(counts[-1]))
-        if self.places.fresh:
-            self._learn()
-        sizes = self.sizes[at]
-        ends = np.cumsum(sizes)
-        ids = self.ids[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        at = self.stretches.numbers(itertools.chain.from_iterable(split), int(counts[-1]))
+        if self.stretches.places.fresh:
+            self._learn_stretches()
+        ids, ends = self.stretches.ids_of(at)
         edges = np.concatenate([[0], ends])[counts]
         return [ids[a:b] for a, b in zip(edges, edges[1:], strict=False)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if self.pattern is None:
             return [np.array(e.ids, "<u4") for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
-        if len(self.places) > MEMO_ENTRIES or self.used > _ROOM:
+        if self.words.full():
             self._reset()
+        elif self.stretches.full():
+            self.stretches = _Table()
         parts = [self.cut(t) if self._knows(t) else None for t in texts]
         runs = iter(self._run([p for doc in parts if doc is not None for p in doc[::2]]))
         out = []
@@ -214,7 +255,7 @@ def _stage(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
         encoder, given = None, set()
         for batch in batches:
             encoder = encoder or per_worker("encoder", vocabulary, lambda: LibraryEncoder(shared.value))
-            for part in by_bytes(batch, "text"):
+            for part in by_bytes(batch, "text", PART):
                 counts, offsets, digests, ends, payloads = [], [0], [], [], []
                 streams = [np.append(ids, end) for ids in encoder.encode([t or "" for t in part.column("text").to_pylist()])]
                 flat = np.concatenate(streams)

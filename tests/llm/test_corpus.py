@@ -548,6 +548,23 @@ def test_workers_give_memory_back(monkeypatch):
         assert len(codec.memo) <= 20
 
 
+def test_stretches_between_blanks_are_cut_once(monkeypatch):
+    """Each distinct stretch is cut once, across calls and emptied memos, with the library's ids."""
+    from tokenizers import Tokenizer
+
+    with open(P.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = f.read()
+    lib, own = Tokenizer.from_str(spec), token_store.LibraryEncoder(spec)
+    texts = ["It's a (naïve) Test, it's.", "", " \u2003 ", "a\x1cb\x1f c\x85d\u2028e\u3000f", "\u0308a e\u0301x \u0301y ΑΣ ΑΣ. <|endoftext|>s 12 1a2", *(f"w{i % 40}, x{i}" for i in range(300))] * 2
+    expected = [e.ids for e in lib.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in own.encode(texts)] == expected
+    monkeypatch.setattr(own, "marked", None)  # nothing is cut any more
+    assert [x.tolist() for x in own.encode(texts)] == expected
+    monkeypatch.setattr(token_store, "MEMO_ENTRIES", 100)
+    own = token_store.LibraryEncoder(spec)
+    assert [x.tolist() for at in range(0, len(texts), 7) for x in own.encode(texts[at : at + 7])] == expected
+
+
 def test_the_manifest_is_a_tree(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(token_store, "PIECE_DOCS", 40)
     monkeypatch.setattr(token_store, "LEAF_DOCS", 4)
