@@ -9,6 +9,8 @@ one stays in the second; of equal texts the longest original stays, then the lea
 and a row with a null id links with nothing; a document that the mix takes in two passes is there twice, with equal columns; an
 empty table gives an empty result; texts of any length pass whole; further columns of documents, whatever their names, are carried
 up to the last stage and never read.
+
+Executors give back the free pages of their heaps before each stage, so what one stage's shuffles filled is there for the next one's workers.
 """
 
 from __future__ import annotations
@@ -16,26 +18,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from latticework.llm import byte_codec, exact_dedup, language_id, mixing, ngram_join
-from latticework.llm.common import crc_mod, discard_path, scratch_path
+from latticework.llm.common import crc_mod, discard_path, scratch_path, shrink_heaps
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    shrink_heaps(spark)
     return language_id.keep_known(docs, language_id.fit(docs, crc_mod("doc_id", 4) != 2))
 
 
 def one_of_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    shrink_heaps(spark)
     return exact_dedup.exact_dedup(docs)
 
 
 def one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    shrink_heaps(spark)
     return ngram_join.near_dedup(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    shrink_heaps(spark)
     return mixing.mixed_documents(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    shrink_heaps(spark)
     return byte_codec.byte_encode(docs)
 
 

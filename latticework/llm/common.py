@@ -98,6 +98,15 @@ def release_worker() -> None:
         _trim(0)
 
 
+def shrink_heaps(spark: SparkSession) -> None:
+    """Executors collect garbage and give what their heaps no longer hold back to the system, for the Python workers of the next operator.
+
+    A heap that shuffles have filled up keeps its pages otherwise. One short task a core; an executor that gets none keeps its heap.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, cores, 1, cores).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 #: log2 of the bits in a filter: least and greatest. 2**27 bits are 4 096 pieces of 4 KB: what is broadcast never exceeds 16 MB.
 #: A filter has 16 bits a key; beyond some 100 M keys more and more rows count as hits, which costs a shuffle of them, not results.
 FEWEST_BITS, MOST_BITS, KEY_BITS = 23, 27, 4

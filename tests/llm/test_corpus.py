@@ -548,6 +548,25 @@ def test_workers_give_memory_back(monkeypatch):
         assert len(codec.memo) <= 20
 
 
+def test_heaps_shrink_before_each_stage(spark, docs, monkeypatch):
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if re.search("Old|MarkSweep", b.getName()))
+    before = full()
+    common.shrink_heaps(spark)
+    assert full() > before
+
+    class Called(Exception):
+        pass
+
+    def called(session):
+        raise Called
+
+    monkeypatch.setattr(corpus_pipeline, "shrink_heaps", called)
+    for _, stage in corpus_pipeline.STAGES:
+        with pytest.raises(Called):
+            stage(spark, docs, "")
+
+
 def test_stretches_between_blanks_are_cut_once(monkeypatch):
     """Each distinct stretch is cut once, across calls and emptied memos, with the library's ids."""
     from tokenizers import Tokenizer
