@@ -92,6 +92,11 @@ def per_worker(kind: str, key: Hashable, make: Callable[[], object]):
 def release_worker() -> None:
     """Drop what the worker keeps and give free pages back: its memory belongs to the tasks of another operator."""
     _HELD.clear()
+    trim_worker()
+
+
+def trim_worker() -> None:
+    """Give a worker's free pages back, as far as they are whole."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     if _trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only

@@ -1,8 +1,8 @@
 """Content-addressed store of token ids.
 
-Encoding: each worker splits texts at blanks, which no pre-token reaches over, looks the stretches between up in a bounded
-memo, cuts those that it lacks into pre-tokens, asks the tokenizer library for the ids of those that a second memo
-lacks, and appends the end id to each document; texts that the split could see otherwise than the library, and
+Encoding: each worker splits texts at ASCII blanks, which no pre-token reaches over, numbers the stretches between by a dictionary
+of the texts at hand, looks the distinct ones up in a bounded memo, cuts those that it lacks into pre-tokens, asks the tokenizer library for
+the ids of those that a second memo lacks, and appends the end id to each document; texts that the split could see otherwise than the library, and
 vocabulary files of another build, go to the library whole. Chunking: a rolling hash over the last ids of a document
 cuts its stream, with a least and a greatest length. Files below ``path``: ``chunks`` (each distinct chunk once:
 SHA-256, ids as little-endian unsigned 32-bit integers), ``recipes`` (documents in ascending doc_id order: start,
@@ -20,65 +20,61 @@ documents of their own; whole texts of any length; an empty table writes empty f
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 import json
 import os
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import splitter
-from .common import bit_filter, by_bytes, discard, materialize, per_worker, pick, probe, scratch_path
+from .bpe import byte_letters, splitter
+from .common import bit_filter, by_bytes, discard, materialize, per_worker, pick, probe, scratch_path, trim_worker
 
 END_ID = 1
 #: Chunk lengths in ids: least, greatest, and one cut in 2**CUT_BITS places on average.
 LEAST, GREATEST, CUT_BITS, SPAN = 128, 4096, 9, 8
 #: Documents in a piece of the recipes, up to MOST_PIECES pieces; documents to a leaf of the manifest; binary digits of a parent's children.
 PIECE_DOCS, MOST_PIECES, LEAF_DOCS, FAN_BITS = 1 << 14, 20_000, 1 << 10, 6
-#: A memo is emptied beyond this number of entries or ids, so a worker's memory stays bounded; bytes of texts that are encoded at once.
-MEMO_ENTRIES, _ROOM, PART = 400_000, 1 << 22, 1 << 21
+#: A memo of stretches is emptied beyond this number of entries, that of words beyond WORDS times as many, both beyond so many ids, so a
+#: worker's memory stays bounded; bytes of texts that are encoded at once.
+MEMO_ENTRIES, WORDS, _ROOM, PART = 400_000, 1.6, 1 << 22, 1 << 22
+#: Words that one call of the library encodes.
+CALL = 256
 #: The split that no blank is part of; stretches between blanks can be cut alone.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Python's str.split takes these for blanks, the split does not.
-_ODD_BLANKS = regex.compile("[\x1c-\x1f]")
-
-
-class _Places(dict):
-    """Numbers words as they come; ``fresh`` are those since the last look."""
-
-    def __init__(self):
-        super().__init__()
-        self.fresh: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        place = self[word] = len(self)
-        self.fresh.append(word)
-        return place
 
 
 class _Table:
-    """Words, numbered as they come, and the ids of each."""
+    """Words and the ids of each, by number."""
 
     def __init__(self):
-        self.places, self.n, self.used = _Places(), 0, 0
+        self.places: dict[str, int] = {}
+        self.n, self.used = 0, 0
         self.starts, self.sizes, self.ids = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, "<u4")
 
-    def full(self) -> bool:
-        return len(self.places) > MEMO_ENTRIES or self.used > _ROOM
+    def full(self, times: float = 1) -> bool:
+        return len(self.places) > times * MEMO_ENTRIES or self.used > _ROOM
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """-1 for a word that is not held."""
+        return np.fromiter(map(self.places.get, words, itertools.repeat(-1)), np.int64, len(words))
 
-    def numbers(self, words: Iterable[str], n: int) -> np.ndarray:
-        return np.fromiter(map(self.places.__getitem__, words), np.int64, n)
+    def keep(self, words: list[str]) -> None:
+        """The words that are added next."""
+        self.places.update(zip(words, range(self.n, self.n + len(words)), strict=True))
 
-    def fresh(self) -> list[str]:
-        words, self.places.fresh = self.places.fresh, []
-        return words
+    def drop(self, n: int, used: int) -> None:
+        """Back to the first n words, which have so many ids."""
+        self.n, self.used = n, used
 
     def add(self, sizes: np.ndarray, flat: np.ndarray) -> None:
         """The ids of the next words, end to end."""
@@ -114,10 +110,11 @@ class LibraryEncoder:
         if self.pattern is None:
             return
         self.cut = splitter(list(self.special))
-        # The same model for pre-tokens that are normalised and split already.
+        # The same model for pre-tokens that are normalised, split and written in byte letters already.
         self.pieces = Tokenizer.from_str(spec)
         self.pieces.normalizer = normalizers.Sequence([])
-        self.pieces.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.pieces.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.letters = {**dict(enumerate(byte_letters())), 32: " "}
         # Every pre-token's last id, and no other, has the file's mark of a word's end: so many can be encoded in one call.
         suffix, vocab = data["model"]["end_of_word_suffix"], self.whole.get_vocab(False)
         self.last = np.zeros(max(vocab.values()) + 1, bool)
@@ -161,41 +158,58 @@ class LibraryEncoder:
             (self.alike if same and len(cut) == len(words) else self.strange).add(c)
         return self.strange.isdisjoint(text)
 
-    def _learn(self) -> None:
-        """Ids of the fresh words, in order."""
-        words = self.words.fresh()
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
-            flat = np.array(self.pieces.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+    def _learn(self, words: list[str]) -> None:
+        """Keeps fresh words and their ids."""
+        for at in range(0, len(words), CALL):
+            part = words[at : at + CALL]
+            line = " ".join(part)
+            if not line.isascii():
+                line = line.encode().decode("latin-1").translate(self.letters)
+            flat = np.array(self.pieces.encode_batch_fast([line], add_special_tokens=False)[0].ids, "<u4")
             stops = np.flatnonzero(self.last[flat]) + 1
             if len(stops) != len(part):
-                self._reset()  # nothing half learned is left to a next try
                 raise ValueError("the vocabulary does not mark the end of every word")
+            self.words.keep(part)
             self.words.add(np.diff(stops, prepend=0), flat)
 
-    def _learn_stretches(self) -> None:
-        """Ids of the fresh stretches, in order."""
-        found = self.marked.findall(self.normalise("\n".join(self.stretches.fresh())))
-        at = self.words.numbers(found, len(found))
-        self._learn()
+    def _cut(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each stretch has, and the ids, end to end."""
+        found = self.marked.findall(self.normalise("\n".join(stretches)))
+        at = self.words.numbers(found)
+        if len(fresh := np.flatnonzero(at < 0)):
+            words = [found[i] for i in fresh.tolist()]
+            self._learn(list(dict.fromkeys(words)))
+            at[fresh] = self.words.numbers(words)
         ids, ends = self.words.ids_of(at)
-        self.stretches.add(np.diff(np.concatenate([[0], ends[at == 0], [len(ids)]])), ids)
+        return np.diff(np.concatenate([[0], ends[at == 0], [len(ids)]])), ids
 
     def _run(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of texts without special strings that hold known characters only."""
-        split = [t.split() if not _ODD_BLANKS.search(t) else regex.split(r"\s+", t) for t in texts]
-        counts = np.cumsum([0, *map(len, split)])
-        at = self.stretches.numbers(itertools.chain.from_iterable(split), int(counts[-1]))
-        if self.stretches.places.fresh:
-            self._learn_stretches()
-        ids, ends = self.stretches.ids_of(at)
-        edges = np.concatenate([[0], ends])[counts]
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.string() if sum(map(len, texts)) < 1 << 29 else pa.large_string()))
+        coded = split.values.dictionary_encode()
+        words, indices = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        at, table = self.stretches.numbers(words), self.stretches
+        if len(fresh := np.flatnonzero(at < 0)):
+            # Stretches that occur here more than once are kept; the others are mostly rare, and go with these texts.
+            often = np.bincount(indices, minlength=len(words))[fresh] > 1
+            kept = int(often.sum())
+            fresh = np.concatenate([fresh[often], fresh[~often]])
+            cut = [words[i] for i in fresh.tolist()]
+            sizes, flat = self._cut(cut)
+            at[fresh] = np.arange(table.n, table.n + len(cut))
+            table.keep(cut[:kept])
+            table.add(sizes, flat)
+            ids, ends = table.ids_of(at[indices])
+            table.drop(table.n - len(cut) + kept, table.used - int(sizes[kept:].sum()))
+        else:
+            ids, ends = table.ids_of(at[indices])
+        edges = np.concatenate([[0], ends])[split.offsets.to_numpy()]
         return [ids[a:b] for a, b in zip(edges, edges[1:], strict=False)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if self.pattern is None:
             return [np.array(e.ids, "<u4") for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
-        if self.words.full():
+        if self.words.full(WORDS):
             self._reset()
         elif self.stretches.full():
             self.stretches = _Table()
@@ -220,9 +234,9 @@ def marks(ids: np.ndarray) -> np.ndarray:
         mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(29)
         mixed *= np.uint64(0xBF58476D1CE4E5B9)
-        rolled = mixed[SPAN - 1 :].copy()
-        for k in range(1, SPAN):
-            rolled += mixed[SPAN - 1 - k : n - k] << np.uint64(k)
+        rolled, k = mixed, 1
+        while k < SPAN:  # over 2 k ids: those of the last k, and those of the k before moved up
+            rolled, k = rolled[k:] + (rolled[:-k] << np.uint64(k)), 2 * k
     return np.flatnonzero(rolled >> np.uint64(64 - CUT_BITS) == 0) + SPAN
 
 
@@ -279,8 +293,12 @@ def _stage(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
                 inner = pa.StructArray.from_arrays([pa.array(digests, pa.binary()), pa.array(ends, pa.int64()), pa.array(payloads, pa.binary())], ["digest", "end", "ids"])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), inner)], ["doc_id", "n_tokens", "chunks"])
 
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        trim_worker()  # the worker idles while the store is written
+
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.mapInArrow(work, f"doc_id {kind}, n_tokens long, chunks array<struct<digest: binary, end: long, ids: binary>>")
+    return docs.mapInArrow(task, f"doc_id {kind}, n_tokens long, chunks array<struct<digest: binary, end: long, ids: binary>>")
 
 
 def write_store(docs: DataFrame, path: str, vocabulary: str = "word_bpe_49k.json", id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> None:
@@ -352,16 +370,26 @@ def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+@functools.cache
+def _moves(k: int) -> np.ndarray:
+    """What each value of each of the four bytes of a CRC adds when 2**k bytes follow."""
+    square = np.full(1, 0x00800000, np.uint32)  # x**8
+    for _ in range(k):
+        square = _times(square, square.copy())
+    values = np.arange(256, dtype=np.uint32) << np.arange(0, 32, 8, dtype=np.uint32)[:, None]
+    return _times(values, np.broadcast_to(square, values.shape).copy())
+
+
 def shift_crc(crc: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
     """What a chunk's CRC adds to that of a stream in which ``n_bytes`` follow it."""
-    square = np.full(1, 0x00800000, np.uint32)  # x**8
-    out, left = crc.astype(np.uint32), n_bytes.astype(np.int64).copy()
+    out, left, k = crc.astype(np.uint32), n_bytes.astype(np.int64).copy(), 0
     while left.any():
-        odd = (left & 1).astype(bool)
-        if odd.any():
-            out[odd] = _times(out[odd], np.broadcast_to(square, (int(odd.sum()),)).copy())
-        square = _times(square, square.copy())
+        odd = np.flatnonzero(left & 1)
+        if len(odd):
+            some, moves = out[odd], _moves(k)
+            out[odd] = moves[0][some & 255] ^ moves[1][some >> 8 & 255] ^ moves[2][some >> 16 & 255] ^ moves[3][some >> 24]
         left >>= 1
+        k += 1
     return out
 
 

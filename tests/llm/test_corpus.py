@@ -584,6 +584,42 @@ def test_stretches_between_blanks_are_cut_once(monkeypatch):
     assert [x.tolist() for at in range(0, len(texts), 7) for x in own.encode(texts[at : at + 7])] == expected
 
 
+def test_rare_stretches_are_not_kept(monkeypatch):
+    """Stretches that a part of the texts holds once leave no entry behind; the library gets words in small calls."""
+    from tokenizers import Tokenizer
+
+    with open(P.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = f.read()
+    lib, own = Tokenizer.from_str(spec), token_store.LibraryEncoder(spec)
+    monkeypatch.setattr(token_store, "CALL", 3)
+    for k in range(3):
+        texts = [f"the  na\u00efve, rare{k}x{i} \u4e2d{i}\u3000word\x1f{i} " for i in range(50)] + ["", " ", "\u0301a\u00a0b \u03a3"]
+        assert [x.tolist() for x in own.encode(texts)] == [e.ids for e in lib.encode_batch_fast(texts, add_special_tokens=False)]
+    assert set(own.stretches.places) == {"", "the", "na\u00efve,"}
+    assert own.stretches.n == 3 and own.stretches.used == own.stretches.sizes[:3].sum()
+
+
+def test_staging_trims_its_worker(spark, monkeypatch):
+    calls, tasks = [], []
+    monkeypatch.setattr(token_store, "trim_worker", lambda: calls.append(1), raising=False)
+    df = spark.createDataFrame([(1, "a text"), (2, None)], "doc_id long, text string")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, task, schema: tasks.append(task))
+    token_store._stage(df, "word_bpe_49k.json", 1)
+    rows = tasks[0](iter(df.toArrow().to_batches()))
+    assert [n for b in rows for n in b.column("n_tokens").to_pylist()] == [3, 1] and calls == [1]
+    common._HELD.clear()
+
+
+def test_cut_marks_follow_the_rolling_hash():
+    ids = np.random.default_rng(3).integers(0, 50_000, 5000).astype("<u4")
+    mixed = []
+    for i in ids.tolist():
+        x = (i + 1) * 0x9E3779B97F4A7C15 % 2**64
+        mixed.append((x ^ x >> 29) * 0xBF58476D1CE4E5B9 % 2**64)
+    rolled = [sum(mixed[at - k] << k for k in range(token_store.SPAN)) % 2**64 for at in range(token_store.SPAN - 1, len(mixed))]
+    assert token_store.marks(ids).tolist() == [at + token_store.SPAN for at, x in enumerate(rolled) if x >> 64 - token_store.CUT_BITS == 0]
+
+
 def test_the_manifest_is_a_tree(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(token_store, "PIECE_DOCS", 40)
     monkeypatch.setattr(token_store, "LEAF_DOCS", 4)
