@@ -99,7 +99,7 @@ class LibraryEncoder:
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_str(spec)
         self.whole.no_padding()
@@ -111,8 +111,7 @@ class LibraryEncoder:
             return
         self.cut = splitter(list(self.special))
         # The same model for pre-tokens that are normalised, split and written in byte letters already.
-        self.pieces = Tokenizer.from_str(spec)
-        self.pieces.normalizer = normalizers.Sequence([])
+        self.pieces = Tokenizer(self.whole.model)
         self.pieces.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.letters = {**dict(enumerate(byte_letters())), 32: " "}
         # Every pre-token's last id, and no other, has the file's mark of a word's end: so many can be encoded in one call.
