@@ -63,6 +63,14 @@ def lanczos_weight(x: Column) -> Column:
     return F.when(x == 0, 1.0).when(F.abs(x) >= 3, 0.0).otherwise(3 * F.sin(px) * F.sin(px / 3) / (px * px))
 
 
+def lanczos_weights_of(x: np.ndarray) -> np.ndarray:
+    """The same for an array."""
+    px = x * math.pi
+    with np.errstate(invalid="ignore", divide="ignore"):
+        w = 3 * np.sin(px) * np.sin(px / 3) / (px * px)
+    return np.where(x == 0, 1.0, np.where(np.abs(x) >= 3, 0.0, w))
+
+
 def lanczos_reach(axis: str, n_src: int, n_dst: int) -> tuple[Column, Column]:
     """[low, high) of destinations among which are all that sample the index."""
     s, i = F.lit(_scale(n_src, n_dst, "f64")), F.col(axis).cast("double")

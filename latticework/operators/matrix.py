@@ -9,20 +9,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument
+from ..functions.pieces import dealt
 from ..functions.policies import merge_entries
 
 SCHEMA = "row long, col long, value double, seq long"
 #: Bytes of the coordinate and row-compressed layouts, for memory estimates: index, index, value.
 INDEX_BYTES, VALUE_BYTES = 8, 4
+#: Policies that leave a cell's only entry as it is.
+ALONE = ("sum", "avg", "max", "min")
 
 
 @dataclass(frozen=True)
 class SparseMatrix:
-    """``df`` has row, col (from 0), value and, where the order of entries matters, seq. All methods are lazy unless they return plain values."""
+    """``df`` has row, col (from 0), value and, where the order of entries matters, seq. All methods are lazy unless they return plain values.
+    ``unique``: no cell has two entries, so nothing is left to merge. ``spread``: entries for each row of the sources, about; tasks are dealt out by it."""
 
     df: DataFrame
     n_rows: int
     n_cols: int
+    unique: bool = False
+    spread: float = 1.0
 
     def __post_init__(self):
         if self.n_rows <= 0 or self.n_cols <= 0:
@@ -49,8 +55,8 @@ class SparseMatrix:
     def builder(cls, spark: SparkSession, n_rows: int, n_cols: int) -> MatrixBuilder:
         return MatrixBuilder(spark, n_rows, n_cols)
 
-    def with_df(self, df: DataFrame) -> SparseMatrix:
-        return SparseMatrix(df, self.n_rows, self.n_cols)
+    def with_df(self, df: DataFrame, unique: bool = False) -> SparseMatrix:
+        return SparseMatrix(df, self.n_rows, self.n_cols, unique, self.spread)
 
     def append(self, other: SparseMatrix) -> SparseMatrix:
         """The entries of both, duplicates and all; those of ``other`` come later. Entries without an order of their own have none among
@@ -68,26 +74,32 @@ class SparseMatrix:
         return self.with_df(self.df.limit(0))
 
     def merged(self, policy: str = "sum") -> SparseMatrix:
-        return self.with_df(merge_entries(self.df, policy))
+        if self.unique and policy in ALONE and dict(self.df.dtypes)["value"] == "double":
+            return self.with_df(self.df.select("row", "col", "value"), True)
+        return self.with_df(merge_entries(self.df, policy, cells=self.n_rows * self.n_cols, spread=self.spread), True)
+
+    def dealt(self, *keys: str) -> DataFrame:
+        """The entries dealt out by these columns, to tasks by their size."""
+        return dealt(self.df, *keys, spread=self.spread)
 
     def sorted(self) -> SparseMatrix:
         """A global order by row and column: range partitioning and a sort inside each partition."""
-        return self.with_df(self.df.orderBy("row", "col"))
+        return self.with_df(self.df.orderBy("row", "col"), self.unique)
 
     def transposed(self) -> SparseMatrix:
         others = [c for c in self.df.columns if c not in ("row", "col")]
-        return SparseMatrix(self.df.select(F.col("col").alias("row"), F.col("row").alias("col"), *others), self.n_cols, self.n_rows)
+        return SparseMatrix(self.df.select(F.col("col").alias("row"), F.col("row").alias("col"), *others), self.n_cols, self.n_rows, self.unique, self.spread)
 
     def partitioned(self, n: int | None = None) -> SparseMatrix:
         """Contiguous row ranges, one or more to a partition."""
         return self.with_df(self.df.repartitionByRange(n, "row") if n else self.df.repartitionByRange("row"))
 
     def without_zeros(self) -> SparseMatrix:
-        return self.with_df(self.df.filter("value <> 0"))
+        return self.with_df(self.df.filter("value <> 0"), self.unique)
 
     def above(self, threshold: float, strict: bool = True) -> SparseMatrix:
         size = F.abs("value")
-        return self.with_df(self.df.filter(size > threshold if strict else size >= threshold))
+        return self.with_df(self.df.filter(size > threshold if strict else size >= threshold), self.unique)
 
     def _check(self, row: int, col: int = 0) -> None:
         if not (0 <= row < self.n_rows and 0 <= col < self.n_cols):

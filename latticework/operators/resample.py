@@ -12,17 +12,24 @@ from pyspark.sql import functions as F
 from ..errors import InvalidArgument, Unsupported
 from ..functions import kernels
 from ..functions.policies import merge_entries
+from . import tiles
 from .matrix import SparseMatrix
 from .validate import is_binary
 
 
+def _spread(m: SparseMatrix, n_rows: int, n_cols: int) -> float:
+    """Entries of the result for each row of the sources, about."""
+    return max(m.spread, m.spread * (n_rows / m.n_rows) * (n_cols / m.n_cols))
+
+
 def scale_nearest(m: SparseMatrix, n_rows: int, n_cols: int, policy: str = "sum", precision: str = "f64") -> SparseMatrix:
     """Every entry fills its block with its full value. Blocks of different cells are disjoint, so cells are merged first: the
     shuffle moves source entries, and the blow-up that follows is a narrow step."""
-    df = merge_entries(m.without_zeros().df, policy)
+    df = m.without_zeros().merged(policy).df
     df = kernels.nearest(df, "row", m.n_rows, n_rows, "r", precision)
     df = kernels.nearest(df, "col", m.n_cols, n_cols, "c", precision)
-    return SparseMatrix(df.select(F.col("r").alias("row"), F.col("c").alias("col"), "value"), n_rows, n_cols)
+    apart = precision == "f64" and max(m.n_rows, m.n_cols) < 1 << 50  # halves of larger indices are rounded, and so are all in single precision
+    return SparseMatrix(df.select(F.col("r").alias("row"), F.col("c").alias("col"), "value"), n_rows, n_cols, apart, _spread(m, n_rows, n_cols))
 
 
 #: A weight counts above this. Up to its inverse many cells no product of two true weights comes near it, so it cuts rounding noise only.
@@ -55,27 +62,33 @@ def lanczos_candidates(m: SparseMatrix, size: int) -> DataFrame:
     return places.select(around("r").alias("row"), "c").select("row", around("c").alias("col"))
 
 
+def _scale_candidates(m: SparseMatrix, size: int, candidates: DataFrame) -> DataFrame:
+    """Results on the given candidates: the row axis is spread and summed; then stretches of a row's candidates meet the sums that reach into them."""
+    width = max(16, math.ceil(6 * size / m.n_cols))  # columns of a stretch; it has no more candidates than that
+    stretches = candidates.groupBy(F.col("row").alias("r"), F.expr(f"col div {width}").alias("stretch")).agg(F.collect_set("col").alias("cs"))
+    df = kernels.lanczos(m.df.filter("value <> 0"), "row", m.n_rows, size, "r", "wr", "tr")
+    df = df.groupBy("r", "col").agg(F.sum(F.col("value") * F.col("wr") / F.col("tr")).alias("value"))
+    low, high = kernels.lanczos_reach("col", m.n_cols, size)
+    df = df.withColumn("lo", low).withColumn("hi", high).filter("hi > lo").withColumn("stretch", F.explode(F.expr(f"sequence(lo div {width}, (hi - 1) div {width})")))
+    df = df.join(stretches, ["r", "stretch"]).select("r", "col", "value", F.explode("cs").alias("c"))
+    df = kernels.lanczos_weights(df, "col", m.n_cols, size, "c", "wc", "tc")
+    return df.groupBy(F.col("r").alias("row"), F.col("c").alias("col")).agg(F.sum(F.col("value") * F.col("wc") / F.col("tc")).alias("value"))
+
+
 def scale_lanczos(m: SparseMatrix, n_rows: int, n_cols: int, candidate_cap: int | None = None) -> SparseMatrix:
-    """Normalised three-lobed kernel on the candidates.
+    """Normalised three-lobed kernel on the candidates, tile by tile.
 
-    The row axis is spread and summed; then stretches of a row's candidates meet the sums that reach into them, so columns are spread to
-    candidates only. ``candidate_cap`` keeps the first candidates by row and column; there is none unless it is asked for.
+    ``candidate_cap`` keeps the first candidates by row and column; there is none unless it is asked for.
     """
     if m.n_rows != m.n_cols or n_rows != n_cols:
         raise InvalidArgument("Lanczos scaling goes from square to square")
-    candidates = lanczos_candidates(m, n_rows)
-    if candidate_cap is not None:
-        candidates = candidates.distinct().orderBy("row", "col").limit(candidate_cap)
-    width = max(16, math.ceil(6 * n_cols / m.n_cols))  # columns of a stretch; it has no more candidates than that
-    stretches = candidates.groupBy(F.col("row").alias("r"), F.expr(f"col div {width}").alias("stretch")).agg(F.collect_set("col").alias("cs"))
-    df = kernels.lanczos(merge_entries(m.df).filter("value <> 0"), "row", m.n_rows, n_rows, "r", "wr", "tr")
-    df = df.groupBy("r", "col").agg(F.sum(F.col("value") * F.col("wr") / F.col("tr")).alias("value"))
-    low, high = kernels.lanczos_reach("col", m.n_cols, n_cols)
-    df = df.withColumn("lo", low).withColumn("hi", high).filter("hi > lo").withColumn("stretch", F.explode(F.expr(f"sequence(lo div {width}, (hi - 1) div {width})")))
-    df = df.join(stretches, ["r", "stretch"]).select("r", "col", "value", F.explode("cs").alias("c"))
-    df = kernels.lanczos_weights(df, "col", m.n_cols, n_cols, "c", "wc", "tc")
-    df = df.groupBy(F.col("r").alias("row"), F.col("c").alias("col")).agg(F.sum(F.col("value") * F.col("wc") / F.col("tc")).alias("value"))
-    return SparseMatrix(df.filter(F.abs("value") > 1e-10), n_rows, n_cols)
+    cells = m.merged()
+    if candidate_cap is None:
+        axis = tiles.Axis("lanczos", m.n_rows, n_rows)
+        return SparseMatrix(tiles.scaled(cells.df, axis, axis, m.spread), n_rows, n_cols, True, _spread(m, n_rows, n_cols))
+    candidates = lanczos_candidates(cells, n_rows).distinct().orderBy("row", "col").limit(candidate_cap)
+    df = _scale_candidates(cells, n_rows, candidates)
+    return SparseMatrix(df.filter(F.abs("value") > 1e-10), n_rows, n_cols, True, _spread(m, n_rows, n_cols))
 
 
 def scale_fft(m: SparseMatrix, n_rows: int, n_cols: int, threshold: float | None = None, batch_rows: int | None = 256) -> SparseMatrix:
@@ -92,7 +105,7 @@ def scale_fft(m: SparseMatrix, n_rows: int, n_cols: int, threshold: float | None
     if n_cols < m.n_cols // 2 or n_rows < m.n_rows // 2:
         raise Unsupported("Fourier scaling below half the size has no defined result")
     batches = kernels.fourier_batches(m.n_rows, n_rows, batch_rows)
-    df = merge_entries(m.df, "last" if "seq" in m.df.columns else "sum")
+    df = m.merged("last" if "seq" in m.df.columns else "sum").df
     if m.n_cols * n_cols <= kernels.BROADCAST_ROWS:
         k_col = kernels.kernel_relation(m.spark, [(0, m.n_cols, 0, n_cols)])
         df = df.join(kernels.sized(k_col, m.n_cols * n_cols), F.col("col") == F.col("src"))
@@ -143,7 +156,7 @@ def scale_wavelet(m: SparseMatrix, n_rows: int, n_cols: int, policy: str = "sum"
         raise InvalidArgument("wavelet scaling uses the row ratio for both axes; allow_anisotropic=True accepts another column ratio")
     size = kernels.wavelet_size(s)
     impulses = m.spark.createDataFrame(kernels.wavelet_impulses(s), "tr int, tc int, i int, j int, w double")
-    df = merge_entries(m.df, "last" if "seq" in m.df.columns else "sum")
+    df = m.merged("last" if "seq" in m.df.columns else "sum").df
     df = df.withColumn("tr", (F.col("row") % 4).cast("int")).withColumn("tc", (F.col("col") % 4).cast("int"))
     df = df.withColumn("br", F.expr("row div 4")).withColumn("bc", F.expr("col div 4"))
     df = df.join(F.broadcast(impulses), ["tr", "tc"]).groupBy("br", "bc", "i", "j").agg(F.sum(F.col("value") * F.col("w")).alias("value"))
