@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument, Unsupported
 from ..functions import kernels
+from ..functions.pieces import dealt
 from ..functions.policies import merge_entries
 from . import tiles
 from .matrix import SparseMatrix
@@ -37,19 +38,17 @@ LEAST_WEIGHT = 1e-12
 
 
 def scale_bilinear(m: SparseMatrix, n_rows: int, n_cols: int, precision: str = "f64") -> SparseMatrix:
-    """Sums of weighted neighbours whose weight, the product of both axes', is above LEAST_WEIGHT. Rows go first and are summed before
-    columns are spread, with the cut on each axis: the shuffles move nnz * s and nnz * s * s rows instead of four times as many. Where true
-    weights can come near the cut (single precision, or very many cells) both axes are spread before the product is cut."""
-    df = merge_entries(m.without_zeros().df)
+    """Sums of weighted neighbours whose weight, the product of both axes', is above LEAST_WEIGHT. They are summed tile by tile, with the cut on
+    each axis; only merged cells are shuffled. Where true weights can come near the cut (single precision, or very many cells) both axes are
+    spread before the product is cut."""
+    df, grown = m.without_zeros().merged().df, _spread(m, n_rows, n_cols)
+    if precision == "f64" and n_rows * n_cols <= 1 / LEAST_WEIGHT:
+        df = tiles.scaled(df, tiles.Axis("bilinear", m.n_rows, n_rows), tiles.Axis("bilinear", m.n_cols, n_cols), m.spread, LEAST_WEIGHT)
+        return SparseMatrix(df, n_rows, n_cols, True, grown)
     df = kernels.bilinear(df, "row", m.n_rows, n_rows, "r", "wr", precision)
-    if precision == "f32" or n_rows * n_cols > 1 / LEAST_WEIGHT:
-        df = kernels.bilinear(df, "col", m.n_cols, n_cols, "c", "wc", precision).filter(F.col("wr") * F.col("wc") > LEAST_WEIGHT)
-        df = df.groupBy(F.col("r").alias("row"), F.col("c").alias("col")).agg(F.sum(F.col("value") * F.col("wr") * F.col("wc")).alias("value"))
-        return SparseMatrix(df, n_rows, n_cols)
-    df = df.filter(F.col("wr") > LEAST_WEIGHT).groupBy("r", "col").agg(F.sum(F.col("value") * F.col("wr")).alias("value"))
-    df = kernels.bilinear(df, "col", m.n_cols, n_cols, "c", "wc", precision).filter(F.col("wc") > LEAST_WEIGHT)
-    df = df.groupBy(F.col("r").alias("row"), F.col("c").alias("col")).agg(F.sum(F.col("value") * F.col("wc")).alias("value"))
-    return SparseMatrix(df, n_rows, n_cols)
+    df = kernels.bilinear(df, "col", m.n_cols, n_cols, "c", "wc", precision).filter(F.col("wr") * F.col("wc") > LEAST_WEIGHT)
+    df = dealt(df.select(F.col("r").alias("row"), F.col("c").alias("col"), (F.col("value") * F.col("wr") * F.col("wc")).alias("value")), "row", "col", spread=4 * grown)
+    return SparseMatrix(df.groupBy("row", "col").agg(F.sum("value").alias("value")), n_rows, n_cols, True, grown)
 
 
 def lanczos_candidates(m: SparseMatrix, size: int) -> DataFrame:
@@ -62,6 +61,17 @@ def lanczos_candidates(m: SparseMatrix, size: int) -> DataFrame:
     return places.select(around("r").alias("row"), "c").select("row", around("c").alias("col"))
 
 
+def _first_rows(m: SparseMatrix, size: int, cap: int) -> SparseMatrix:
+    """The rows of merged cells that the first ``cap`` candidates come from and sample. Every place is a candidate itself, so as many places in
+    order give as many candidates no later than the last of these places."""
+    s, rho = size / m.n_rows, kernels.lanczos_radius(size / m.n_rows)
+    shared = 1 if s >= 1 else (math.ceil(1 / s) + 1) ** 2  # cells of one place, at most
+    first = m.df.select("row", "col").orderBy("row", "col").limit(cap * shared)
+    last = first.agg(F.least(F.floor(F.max("row") * F.lit(s) + 0.5), F.lit(size - 1)).alias("last"))
+    upto = last.select((F.ceil((F.col("last") + rho + 1) / F.lit(s)) + 3).alias("upto"))
+    return m.with_df(m.df.crossJoin(F.broadcast(upto)).filter("row <= upto").drop("upto"), True)  # one row
+
+
 def _scale_candidates(m: SparseMatrix, size: int, candidates: DataFrame) -> DataFrame:
     """Results on the given candidates: the row axis is spread and summed; then stretches of a row's candidates meet the sums that reach into them."""
     width = max(16, math.ceil(6 * size / m.n_cols))  # columns of a stretch; it has no more candidates than that
@@ -78,7 +88,8 @@ def _scale_candidates(m: SparseMatrix, size: int, candidates: DataFrame) -> Data
 def scale_lanczos(m: SparseMatrix, n_rows: int, n_cols: int, candidate_cap: int | None = None) -> SparseMatrix:
     """Normalised three-lobed kernel on the candidates, tile by tile.
 
-    ``candidate_cap`` keeps the first candidates by row and column; there is none unless it is asked for.
+    ``candidate_cap`` keeps the first candidates by row and column; there is none unless it is asked for. Then only the rows that these
+    candidates come from and sample are scaled.
     """
     if m.n_rows != m.n_cols or n_rows != n_cols:
         raise InvalidArgument("Lanczos scaling goes from square to square")
@@ -86,6 +97,7 @@ def scale_lanczos(m: SparseMatrix, n_rows: int, n_cols: int, candidate_cap: int
     if candidate_cap is None:
         axis = tiles.Axis("lanczos", m.n_rows, n_rows)
         return SparseMatrix(tiles.scaled(cells.df, axis, axis, m.spread), n_rows, n_cols, True, _spread(m, n_rows, n_cols))
+    cells = _first_rows(cells, n_rows, candidate_cap)
     candidates = lanczos_candidates(cells, n_rows).distinct().orderBy("row", "col").limit(candidate_cap)
     df = _scale_candidates(cells, n_rows, candidates)
     return SparseMatrix(df.filter(F.abs("value") > 1e-10), n_rows, n_cols, True, _spread(m, n_rows, n_cols))

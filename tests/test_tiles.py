@@ -75,3 +75,16 @@ def test_lanczos_shuffles_entries_only(spark):
     m = SparseMatrix(spark.range(1000).selectExpr("id % 97 as row", "id % 89 as col", "1.0d as value"), 5000, 5000)
     text = plan(m.scale("lanczos", 10_000, 10_000).df)
     assert "Join" not in text and text.count("Exchange hashpartitioning") == 2, text
+
+
+@pytest.mark.parametrize(("n", "m", "cap"), [(31, 62, 40), (31, 62, 900), (40, 20, 25), (40, 7, 12), (5, 60, 70), (31, 62, 10**6)])
+def test_capped_lanczos_by_hand(spark, n, m, cap):
+    found = entries(np.random.default_rng(cap), 60, n, n)
+    by_hand = dict(list(lanczos_by_hand(found, n, m).items())[:cap])
+    alike(cells(SparseMatrix.from_entries(spark, found, n, n).scale("lanczos", m, m, candidate_cap=cap)), {k: v for k, v in by_hand.items() if abs(v) > 1e-10})
+
+
+def test_a_cap_leaves_later_rows_out(spark):
+    """Candidates are made of the rows that the first ones come from, not of all entries before they are cut."""
+    m = SparseMatrix.from_entries(spark, [(k, k % 50, 1.0) for k in range(400)], 400, 400).merged()
+    assert resample._first_rows(m, 800, 60).nnz() < 70
