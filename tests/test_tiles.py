@@ -88,3 +88,44 @@ def test_a_cap_leaves_later_rows_out(spark):
     """Candidates are made of the rows that the first ones come from, not of all entries before they are cut."""
     m = SparseMatrix.from_entries(spark, [(k, k % 50, 1.0) for k in range(400)], 400, 400).merged()
     assert resample._first_rows(m, 800, 60).nnz() < 70
+
+
+@pytest.mark.parametrize(("n", "m"), [((31, 20), (62, 80)), ((40, 40), (20, 9)), ((5, 7), (60, 7)), ((33, 12), (33, 50))])
+def test_bilinear_by_tiles(spark, sizes, n, m):
+    found = entries(np.random.default_rng(sum(n)), 90, *n)
+    x, _ = dense(found, *n)
+    axes = []
+    for k in (0, 1):
+        w, s = np.zeros((m[k], n[k])), m[k] / n[k]
+        for d in range(m[k]):
+            i0 = min(int(np.floor(d / s)), n[k] - 1)
+            f = min(max(d / s - i0, 0.0), 1.0)
+            w[d, i0] += 1 - f
+            if i0 + 1 < n[k]:
+                w[d, i0 + 1] += f
+        axes.append(np.where(w > 1e-12, w, 0.0))
+    z, reached = axes[0] @ x @ axes[1].T, ((axes[0] > 0).astype(int) @ (x != 0).astype(int) @ (axes[1] > 0).T.astype(int)) > 0
+    alike(cells(SparseMatrix.from_entries(spark, found, *n).scale("bilinear", *m)), {(r, c): z[r, c] for r, c in zip(*np.nonzero(reached), strict=True)})
+
+
+def big(spark, tmp_path, monkeypatch):
+    """A matrix from files that count as many pieces."""
+    from latticework.functions import pieces
+
+    path = str(tmp_path / "entries")
+    spark.range(3000).selectExpr("id * 37 % 2003 as row", "id * 91 % 2011 as col", "cast(id % 7 + 1 as double) as value").write.parquet(path)
+    df = spark.read.parquet(path)
+    monkeypatch.setattr(pieces, "PIECE_BYTES", pieces.source_bytes(df) // 20)
+    return SparseMatrix(df, 2048, 2048)
+
+
+def dealt_to(df):
+    import re
+
+    return [int(n) for n in re.findall(r"Exchange hashpartitioning\(.*?, (\d+)\), REPARTITION_BY_NUM", plan(df))]
+
+
+def test_bilinear_tasks_follow_the_input(spark, tmp_path, monkeypatch):
+    """The spread sums are not shuffled; entries go to as many tasks as their files are large, not to Spark's fixed number."""
+    df = big(spark, tmp_path, monkeypatch).scale("bilinear", 4096, 8192).df
+    assert plan(df).count("Exchange") == 2 and len(dealt_to(df)) == 2 and min(dealt_to(df)) >= 20, plan(df)
