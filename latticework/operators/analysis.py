@@ -136,6 +136,9 @@ def scale_type(before: SparseMatrix, after: SparseMatrix) -> str:
 
 
 def _scaling_facts(m: SparseMatrix, prefix: str) -> DataFrame:
+    """Entries, sum and diagonal cells that are not zero; one pass where a cell has one entry."""
+    if m.unique:
+        return m.df.agg(F.count(F.lit(1)).alias(f"{prefix}_nnz"), F.coalesce(F.sum("value"), F.lit(0.0)).alias(f"{prefix}_sum"), F.count_if((F.col("row") == F.col("col")) & (F.col("value") != 0)).alias(f"{prefix}_diag"))
     diagonal = m.df.filter("row = col").groupBy("row").agg(F.sum("value").alias("v")).agg(F.count_if(F.col("v") != 0).alias(f"{prefix}_diag"))
     return m.df.agg(F.count(F.lit(1)).alias(f"{prefix}_nnz"), F.coalesce(F.sum("value"), F.lit(0.0)).alias(f"{prefix}_sum")).crossJoin(F.broadcast(diagonal))  # one row each
 

@@ -129,3 +129,15 @@ def test_bilinear_tasks_follow_the_input(spark, tmp_path, monkeypatch):
     """The spread sums are not shuffled; entries go to as many tasks as their files are large, not to Spark's fixed number."""
     df = big(spark, tmp_path, monkeypatch).scale("bilinear", 4096, 8192).df
     assert plan(df).count("Exchange") == 2 and len(dealt_to(df)) == 2 and min(dealt_to(df)) >= 20, plan(df)
+
+
+def test_bilinear_is_compared_in_one_pass(spark, tmp_path, monkeypatch):
+    from latticework.operators import analysis
+
+    m = big(spark, tmp_path, monkeypatch).merged()
+    for compare in (analysis.detect_method, analysis.compare_scaling):
+        text = plan(compare(m, m.scale("bilinear", 4096, 4096)))
+        assert text.count("MapInArrow") == 1 and "REPARTITION_BY_NUM" in text, text
+    up = m.scale("bilinear", 4096, 4096)
+    r, x = analysis.compare_scaling(m, up).first(), cells(up)
+    assert (r["after_nnz"], r["after_diag"]) == (len(x), sum(a == b and v != 0 for (a, b), v in x.items())) and abs(r["after_sum"] - sum(x.values())) < 1e-6
