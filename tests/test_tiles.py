@@ -141,3 +141,8 @@ def test_bilinear_is_compared_in_one_pass(spark, tmp_path, monkeypatch):
     up = m.scale("bilinear", 4096, 4096)
     r, x = analysis.compare_scaling(m, up).first(), cells(up)
     assert (r["after_nnz"], r["after_diag"]) == (len(x), sum(a == b and v != 0 for (a, b), v in x.items())) and abs(r["after_sum"] - sum(x.values())) < 1e-6
+
+
+def test_lanczos_tasks_follow_the_input(spark, tmp_path, monkeypatch):
+    df = big(spark, tmp_path, monkeypatch).scale("lanczos", 1024, 1024).df
+    assert len(dealt_to(df)) == 2 and min(dealt_to(df)) >= 20, plan(df)
