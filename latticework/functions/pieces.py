@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 #: Bytes of source files whose rows one task holds: some 600 000 entries of lineitem.
 PIECE_BYTES = 8 << 20
@@ -19,7 +19,7 @@ def source_bytes(df: DataFrame) -> int:
     return sum(s for s in sizes if s < UNKNOWN)
 
 
-def dealt(df: DataFrame, *keys: str, spread: float = 1.0) -> DataFrame:
+def dealt(df: DataFrame, *keys: str | Column, spread: float = 1.0) -> DataFrame:
     """The frame dealt out by its keys to a task for each PIECE_BYTES of its sources, times ``spread``, the rows it has for a source row. An
     aggregation by these keys needs no other shuffle. Small frames are returned as they are: Spark's own shuffle has tasks enough for them."""
     n = -int(-source_bytes(df) * spread // PIECE_BYTES)

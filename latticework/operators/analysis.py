@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument
+from ..functions.pieces import dealt
 from .matrix import SparseMatrix
 
 #: Grades of the overall score, in percent. Fixed values of the result's definition.
@@ -62,6 +63,15 @@ def value_asymmetry(m: SparseMatrix) -> DataFrame:
     return both.groupBy("row", "col").agg(F.sum("value").alias("value")).filter("value <> 0")
 
 
+#: Columns of a pair of mirror cells: the lesser index and the greater.
+PAIR = ("a", "b")
+
+
+def _mirror_pairs(cells: DataFrame, m: SparseMatrix, *more: str) -> DataFrame:
+    """The cells by the pair that they and their mirror cell are, dealt out to tasks by their size."""
+    return dealt(cells.select(F.least("row", "col").alias("a"), F.greatest("row", "col").alias("b"), *more), *PAIR, spread=m.spread)
+
+
 def stats_general(m: SparseMatrix) -> DataFrame:
     """Any shape; one row. sim: 1 if equal to its mirror; psym: Jaccard likeness of the pattern and its mirror; profile: per row the
     farthest entry from the diagonal, summed; rmx, rmi, mean, rstd, sum describe the values; dist is rstd / |mean|. Without entries
@@ -101,6 +111,21 @@ def _axis(per: DataFrame, size: int, prefix: str, *more) -> DataFrame:
     return per.agg(F.coalesce(F.max("n"), F.lit(0)).alias(f"{prefix}mx"), F.coalesce(F.min("n"), F.lit(0)).alias(f"{prefix}mi"), F.coalesce(spread, F.lit(0.0)).alias(f"{prefix}std"), *more)
 
 
+def _mirror_count(m: SparseMatrix) -> DataFrame:
+    """One row: the pairs of off-diagonal cells that mirror each other. Cells go in words to tasks by their size: a word is the pair of blocks of 8 x 8
+    cells, the side and the place in the block; bits of either side are gathered in 64 of them. Repeated cells set the same bit."""
+    off = m.df.filter("row <> col")
+    if m.n_rows >= 1 << 31:
+        mirror = _mirror_pairs(off.select("row", "col").distinct(), m).groupBy(*PAIR).agg(F.count(F.lit(1)).alias("k"))
+        return mirror.agg(F.count_if(F.col("k") == 2).alias("pairs"))
+    off = off.select(F.least("row", "col").alias("a"), F.greatest("row", "col").alias("b"), (F.col("row") < F.col("col")).cast("long").alias("side"))
+    word = F.expr(f"shiftleft(shiftright(a, 3) * {m.n_rows // 8 + 1}L + shiftright(b, 3), 7) + side * 64 + (a & 7) * 8 + (b & 7)")
+    words = dealt(off.select(word.alias("word")), F.expr("shiftright(word, 7)"), spread=m.spread)
+    bits = lambda side: F.expr(f"coalesce(bit_or(IF(word & 64 = {64 * side}, shiftleft(1L, CAST(word & 63 AS INT)), 0L)), 0L)")
+    blocks = words.groupBy(F.expr("shiftright(word, 7)").alias("block")).agg(bits(0).alias("lower"), bits(1).alias("upper"))
+    return blocks.agg(F.coalesce(F.sum(F.expr("bit_count(lower & upper)")), F.lit(0)).alias("pairs"))
+
+
 def features_square(m: SparseMatrix) -> DataFrame:
     """Square matrices; one row. Here psym is the share of off-diagonal entries with a mirror entry, ndg the number of distinct
     diagonals, dist the mean distance from the diagonal over n, profil the sum over rows of the first entry's distance, and
@@ -117,7 +142,7 @@ def features_square(m: SparseMatrix) -> DataFrame:
     one = _axis(rows, n, "r", total("n").alias("nnz"), total("on").alias("diag"), total("gaps").alias("gaps"), F.coalesce(F.max("far"), F.lit(0)).alias("band"), total("lead").alias("profil"))
     columns = _axis(cells.groupBy("col").agg(count.alias("n")), n, "c")
     diagonals = cells.select((F.col("col") - F.col("row")).alias("d")).distinct().agg(F.count(F.lit(1)).alias("ndg"))
-    pairs = cells.filter("row <> col").groupBy(F.least("row", "col").alias("a"), F.greatest("row", "col").alias("b")).agg(count.alias("k")).agg(F.count_if(F.col("k") == 2).alias("pairs"))
+    pairs = _mirror_count(m)
     for part in (columns, diagonals, pairs):
         one = one.crossJoin(F.broadcast(part))  # one row each
     psym = F.when(F.col("nnz") > F.col("diag"), 2 * F.col("pairs") / (F.col("nnz") - F.col("diag"))).otherwise(1.0)

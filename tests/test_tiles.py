@@ -146,3 +146,33 @@ def test_bilinear_is_compared_in_one_pass(spark, tmp_path, monkeypatch):
 def test_lanczos_tasks_follow_the_input(spark, tmp_path, monkeypatch):
     df = big(spark, tmp_path, monkeypatch).scale("lanczos", 1024, 1024).df
     assert len(dealt_to(df)) == 2 and min(dealt_to(df)) >= 20, plan(df)
+
+
+def test_features_of_many_cells(spark, tmp_path, monkeypatch):
+    """A scaled matrix whose cells are apart already is not merged again, and mirror pairs go to tasks by the size of the files."""
+    from latticework.operators import analysis
+
+    m = big(spark, tmp_path, monkeypatch)
+    up = m.scale("nearest", 4096, 4096)
+    text = plan(analysis.features_square(up))
+    assert text.count("REPARTITION_BY_NUM") == 5 and min(dealt_to(analysis.features_square(up))) >= 20, text  # four times the entries, once the pairs
+    assert "least(row" not in "".join(x for x in text.splitlines() if "HashAggregate" in x)
+    x = set(cells(m))
+    x = {(2 * r + i, 2 * c + j) for r, c in x for i in (-1, 0) for j in (-1, 0) if 2 * r + i >= 0 and 2 * c + j >= 0}
+    pairs, off = sum((c, r) in x for r, c in x if r < c), sum(r != c for r, c in x)
+    found = analysis.features_square(up).first()
+    assert found["nnz"] == len(x) and found["ndg"] == len({c - r for r, c in x}) and abs(found["psym"] - 2 * pairs / off) < 1e-12 and pairs > 0
+
+
+def test_mirror_pairs_of_all_places(spark):
+    """All places of a block and its neighbours, repeated cells, and a matrix with long indices."""
+    from latticework.operators import analysis
+
+    rng = np.random.default_rng(11)
+    found = [(int(r), int(c), 1.0) for r, c in rng.integers(0, 33, (700, 2))]
+    x = {(r, c) for r, c, _ in found}
+    pairs, off = sum((c, r) in x for r, c in x if r < c), sum(r != c for r, c in x)
+    m = SparseMatrix.from_entries(spark, found, 33, 33)
+    for at, n in ((0, 33), (2**31 - 100, 2**31 - 1), (2**40, 2**41)):
+        moved = SparseMatrix(m.df.selectExpr(f"row + {at}L as row", f"col + {at}L as col", "value"), n, n)
+        assert abs(analysis.features_square(moved).first()["psym"] - 2 * pairs / off) < 1e-12
