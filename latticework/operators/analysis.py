@@ -90,7 +90,7 @@ def stats_general(m: SparseMatrix) -> DataFrame:
     )
     if m.n_rows == m.n_cols:
         # Each unordered pair of mirror cells meets once: how many are stored, and whether they are equal.
-        mirror = cells.groupBy(F.least("row", "col").alias("a"), F.greatest("row", "col").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+        mirror = _mirror_pairs(cells, m, "value").groupBy(*PAIR).agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
         off = F.col("a") != F.col("b")
         alike = mirror.agg(F.coalesce(F.sum(F.when(off & (F.col("n") == 2), 2).when(~off, 1).otherwise(0)), F.lit(0)).alias("both"), F.coalesce(F.sum(F.when(off, 2).otherwise(1)), F.lit(0)).alias("any"), F.coalesce(F.bool_and(~off | ((F.col("n") == 2) & (F.col("lo") == F.col("hi"))) | ((F.col("n") == 1) & (F.col("lo") == 0))), F.lit(True)).alias("same"))
         one = one.crossJoin(F.broadcast(alike))  # one row each
