@@ -171,7 +171,7 @@ def scale_wavelet(m: SparseMatrix, n_rows: int, n_cols: int, policy: str = "sum"
     df = m.merged("last" if "seq" in m.df.columns else "sum").df
     df = df.withColumn("tr", (F.col("row") % 4).cast("int")).withColumn("tc", (F.col("col") % 4).cast("int"))
     df = df.withColumn("br", F.expr("row div 4")).withColumn("bc", F.expr("col div 4"))
-    df = df.join(F.broadcast(impulses), ["tr", "tc"]).groupBy("br", "bc", "i", "j").agg(F.sum(F.col("value") * F.col("w")).alias("value"))
+    df = dealt(df, "br", "bc", spread=_spread(m, n_rows, n_cols)).join(F.broadcast(impulses), ["tr", "tc"]).groupBy("br", "bc", "i", "j").agg(F.sum(F.col("value") * F.col("w")).alias("value"))
     origin = lambda b: F.floor((4 * F.col(b) * F.lit(s)).cast("float")).cast("long")
     df = df.filter(F.abs("value") > 1e-5).select((origin("br") + F.col("i")).alias("row"), (origin("bc") + F.col("j")).alias("col"), "value", (F.col("br") * (1 << 31) + F.col("bc")).alias("seq"))
     df = df.filter((F.col("row") < n_rows) & (F.col("col") < n_cols))
