@@ -48,13 +48,15 @@ def matrix_stats(m: SparseMatrix) -> DataFrame:
 
 def pattern_intersection(m: SparseMatrix) -> DataFrame:
     """Cells of the matrix whose mirror cell is stored too."""
-    p = m.df.select("row", "col").distinct()
-    return p.join(p.select(F.col("col").alias("row"), F.col("row").alias("col")), ["row", "col"], "left_semi")
+    p = m.df.select("row", "col")
+    mirror = dealt(p.select(F.col("col").alias("row"), F.col("row").alias("col")), "row", "col", spread=m.spread)
+    p = dealt(p, "row", "col", spread=m.spread)
+    return (p if m.unique else p.distinct()).join(mirror, ["row", "col"], "left_semi")
 
 
 def pattern_union(m: SparseMatrix) -> DataFrame:
     p = m.df.select("row", "col")
-    return p.union(p.select("col", "row")).distinct()
+    return dealt(p.union(p.select("col", "row")), "row", "col", spread=m.spread).distinct()
 
 
 def value_asymmetry(m: SparseMatrix) -> DataFrame:
