@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument
@@ -62,7 +62,7 @@ def pattern_union(m: SparseMatrix) -> DataFrame:
 def value_asymmetry(m: SparseMatrix) -> DataFrame:
     """Non-zero cells of the matrix less its mirror: one aggregation of the entries and their negated mirror images."""
     both = m.df.select("row", "col", "value").union(m.df.select("col", "row", -F.col("value")))
-    return both.groupBy("row", "col").agg(F.sum("value").alias("value")).filter("value <> 0")
+    return dealt(both, "row", "col", spread=m.spread).groupBy("row", "col").agg(F.sum("value").alias("value")).filter("value <> 0")
 
 
 #: Columns of a pair of mirror cells: the lesser index and the greater.
