@@ -50,9 +50,9 @@ def to_csr(m: SparseMatrix, dedup: str | None = None) -> DataFrame:
     """(row, cols, vals) of rows with entries, columns ascending. Duplicate cells raise unless ``dedup`` names a policy."""
     if dedup:
         m = m.merged(dedup)
-    elif m.df.groupBy("row", "col").count().filter("count > 1").take(1):
+    elif not m.unique and m.dealt("row", "col").groupBy("row", "col").count().filter("count > 1").take(1):
         raise InvalidArgument("duplicate cells: the row-compressed layout holds one entry a cell; name a policy in dedup")
-    rows = m.df.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("col", "value"))).alias("e"))
+    rows = m.dealt("row").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("col", "value"))).alias("e"))
     return rows.select("row", F.col("e")["col"].alias("cols"), F.col("e")["value"].alias("vals"))
 
 
@@ -63,7 +63,7 @@ def from_csr(rows: DataFrame, n_rows: int, n_cols: int) -> SparseMatrix:
 
 def row_ranks(m: SparseMatrix) -> DataFrame:
     """Entries with their place inside the row."""
-    return m.df.withColumn("rank", (F.row_number().over(Window.partitionBy("row").orderBy("col")) - 1).cast("long"))
+    return m.dealt("row").withColumn("rank", (F.row_number().over(Window.partitionBy("row").orderBy("col")) - 1).cast("long"))
 
 
 def row_owners(m: SparseMatrix, parts: int) -> DataFrame:

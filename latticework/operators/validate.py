@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.policies import FEW_CELLS
 from .matrix import SparseMatrix
 
 
@@ -21,7 +22,8 @@ def coo_violations(m: SparseMatrix) -> DataFrame:
 
 def csr_violations(m: SparseMatrix) -> DataFrame:
     """One row: nnz, out_of_bounds, duplicate_cells, valid. The row-compressed layout allows one entry a cell."""
-    cells = m.df.groupBy("row", "col").agg(F.count(F.lit(1)).alias("n"))
+    few = m.n_rows * m.n_cols <= FEW_CELLS
+    cells = (m.df if few else m.dealt("row", "col")).groupBy("row", "col").agg(F.count(F.lit(1)).alias("n"))
     counts = cells.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("nnz"), F.coalesce(F.sum(F.when(_outside(m), F.col("n"))), F.lit(0)).alias("out_of_bounds"), F.count_if(F.col("n") > 1).alias("duplicate_cells"))
     return counts.withColumn("valid", (F.col("out_of_bounds") == 0) & (F.col("duplicate_cells") == 0))
 
